@@ -1,0 +1 @@
+"""Empty on purpose: the task is batch work from files and has no streaming operator."""
