@@ -1,5 +1,9 @@
 """Catalog price prediction as Spark batch jobs: read, split, sample, predict, check, score, rank, fetch."""
 
+import sys
+
+from pyspark.cloudpickle import register_pickle_by_value
+
 from pricemill.functions.hashing import hash_price, seeded_digest, unit_hash
 from pricemill.functions.links import link_basename, target_path
 from pricemill.operators.chunking import assign_chunks, chunk_counts, row_index
@@ -12,6 +16,9 @@ from pricemill.operators.validation import check_submission, evaluate_submission
 from pricemill.sources.csv import read_csv, read_products, read_submission, write_csv
 from pricemill.sources.files import list_files, read_chunks, write_chunks
 
+# Functions of this package reach the Python workers by value, so executors need no copy of it.
+register_pickle_by_value(sys.modules[__name__])
+
 __all__ = [
     "FolderStore",
     "assign_chunks",

@@ -14,7 +14,8 @@ def null_tokens_to_null(text: str | Column) -> Column:
 def number_text(number: str | Column) -> Column:
     """A double as Python prints it: plain digits in [1e-4, 1e16), short exponent form outside.
 
-    Spark switches to its exponent form ('2.0E7', '5.0E-4') much earlier.
+    Spark switches to its exponent form ('2.0E7', '5.0E-4') much earlier. From 1e16 on, Java before
+    version 19 may print one digit more than needed; the text still stands for the same number.
     """
     number = F.col(number) if isinstance(number, str) else number
     size = F.abs(number)

@@ -6,70 +6,80 @@ from pyspark.sql import functions as F
 from pricemill.functions.hashing import seeded_digest
 from pricemill.schema import SAMPLE_ROWS, SAMPLE_SEED
 
-# Up to this size a sample is a top-n of each task and one merge; above it, a filter on a cut-off.
+# Up to this size the cut-off is the last of the top n hashes; above it, it is searched by counting.
 _TOP_N_ROWS = 1_000
-# Hex digits of the digest counted per pass; a pass groups by at most 16**3 new values.
+# Hex digits of the hash counted per pass; a pass groups by at most 16**3 new values.
 _DIGITS = (3, 6, 9, 32)
-# Once the bucket of the cut-off is this small, the next pass counts whole digests.
+# Once the bucket of the cut-off is this small, the next pass counts whole hashes.
 _SMALL_BUCKET = 100_000
 
 
-def _key_columns(key: str | list[str]) -> list[str]:
-    return [key] if isinstance(key, str) else list(key)
+def _too_many(n: int, total: int) -> ValueError:
+    return ValueError(f"cannot sample {n} rows out of {total} without replacement")
 
 
-def _check_size(n: int, total: int) -> None:
-    if n < 0:
-        raise ValueError(f"cannot sample {n} rows")
-    if n > total:
-        raise ValueError(f"cannot sample {n} rows out of {total} without replacement")
+def _not_unique(n: int) -> ValueError:
+    return ValueError(f"the key has copies at row {n} of the sample order: add columns to make it unique")
 
 
-def in_sample(
-    df: DataFrame, n: int = SAMPLE_ROWS, key: str | list[str] = "sample_id", seed=SAMPLE_SEED
-) -> Column:
-    """Condition on ``key`` that is true for exactly ``n`` rows of ``df``; ``key`` must be unique.
+def _top_n_cutoff(hashes: DataFrame, n: int) -> str:
+    """The n-th smallest hash, from the n + 1 smallest ones."""
+    top = [row.digest for row in hashes.orderBy("digest").limit(n + 1).collect()]
+    if len(top) < n:
+        raise _too_many(n, len(top))
+    if top[n - 1] in top[n:]:
+        raise _not_unique(n)
+    return top[n - 1]
 
-    The sample is every row up to a cut-off in hash order. The cut-off is found by counting rows per
-    hash prefix, then again within the one prefix that holds it, until single hashes are counted; each
-    pass returns one row. The condition needs no join and no sort, and can be put on any table that has
-    the key.
-    """
-    digest = seeded_digest(seed, *_key_columns(key))
-    hashes = df.select(digest.alias("digest"))
-    running = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    everything = running.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+def _counted_cutoff(hashes: DataFrame, n: int) -> str:
+    """The n-th smallest hash, by counting rows per hash prefix and again inside the prefix it has."""
+    running = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     prefix, below, bucket_rows = "", 0, None
     while len(prefix) < _DIGITS[-1]:
         digits = next(d for d in _DIGITS if d > len(prefix))
         if bucket_rows is not None and bucket_rows <= _SMALL_BUCKET:
             digits = _DIGITS[-1]
+        inside = hashes.filter(F.col("digest").startswith(prefix)) if prefix else hashes
         counts = (
-            hashes.filter(F.col("digest").startswith(prefix))
-            .groupBy(F.substring("digest", 1, digits).alias("bucket"))
+            inside.groupBy(F.substring("digest", 1, digits).alias("bucket"))
             .agg(F.count("*").alias("rows"))
             .withColumn("upto", F.sum("rows").over(running))
-            .withColumn("total", F.sum("rows").over(everything))
         )
-        hit = counts.filter((F.col("upto") + below >= n) | (F.col("upto") == F.col("total")))
-        hit = hit.orderBy("bucket").first()
-        if not prefix:
-            _check_size(n, hit.total if hit else 0)
-            if n == 0:
-                return F.lit(False)
-        prefix, bucket_rows = hit.bucket, hit.rows
-        below += hit.upto - hit.rows
+        reached = F.when(F.col("upto") + below >= n, F.col("bucket"))
+        hit = counts.agg(
+            F.coalesce(F.sum("rows"), F.lit(0)).alias("total"),
+            F.min_by(F.struct("bucket", "rows", "upto"), reached).alias("first"),
+        ).first()
+        if hit.first is None:
+            raise _too_many(n, hit.total)
+        prefix, bucket_rows = hit.first.bucket, hit.first.rows
+        below += hit.first.upto - bucket_rows
     if below + bucket_rows != n:
-        raise ValueError(f"{key!r} is not unique: add columns that tell its {bucket_rows} copies apart")
-    return digest <= prefix
+        raise _not_unique(n)
+    return prefix
+
+
+def in_sample(
+    df: DataFrame, n: int = SAMPLE_ROWS, key: str | list[str] = "sample_id", seed=SAMPLE_SEED
+) -> Column:
+    """Condition on ``key`` that is true for exactly ``n`` rows of ``df``; ``key`` must be unique.
+
+    The sample is every row up to a cut-off in hash order. Finding the cut-off reads the key alone and
+    returns a few values to the driver. The condition itself needs no join, sort or shuffle, and can be
+    put on any table that has the key.
+    """
+    if n < 0:
+        raise ValueError(f"cannot sample {n} rows")
+    digest = seeded_digest(seed, *([key] if isinstance(key, str) else key))
+    if n == 0:
+        return F.lit(False)
+    find = _top_n_cutoff if n <= _TOP_N_ROWS else _counted_cutoff
+    return digest <= find(df.select(digest.alias("digest")), n)
 
 
 def sample_exact(
     df: DataFrame, n: int = SAMPLE_ROWS, key: str | list[str] = "sample_id", seed=SAMPLE_SEED
 ) -> DataFrame:
     """Exactly ``n`` rows without replacement; ``n`` above the row count raises."""
-    if n > _TOP_N_ROWS:
-        return df.filter(in_sample(df, n, key, seed))
-    _check_size(n, df.count())
-    keys = _key_columns(key)
-    return df.orderBy(seeded_digest(seed, *keys), *keys).limit(n)
+    return df.filter(in_sample(df, n, key, seed))

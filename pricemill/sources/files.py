@@ -8,20 +8,31 @@ from pricemill.sources.csv import csv_columns, csv_writer, read_csv
 
 
 def write_chunks(
-    chunked: DataFrame, path: str, file_format: str = "csv", mode: str = "errorifexists"
+    chunked: DataFrame,
+    path: str,
+    file_format: str = "csv",
+    mode: str = "errorifexists",
+    rows_per_file: int | None = None,
 ) -> None:
-    """One file per chunk under ``path/chunk=k/``, rows in index order, index not written.
+    """Write ``path/chunk=k/``, rows in index order, index not written; one file per chunk.
 
-    A reader that filters on ``chunk`` opens that folder only.
+    A reader that filters on ``chunk`` opens that folder only. One task writes one file, so for chunks
+    too large for a task set ``rows_per_file``, which splits a chunk into consecutive files.
     """
     if file_format not in ("csv", "parquet"):
         raise ValueError(f"file_format must be csv or parquet, not {file_format!r}")
     rows = chunked if file_format == "parquet" else csv_columns(chunked)
-    rows = rows.repartition("chunk").sortWithinPartitions("chunk", "idx").drop("idx")
+    file_keys = [F.col("chunk")]
+    if rows_per_file is not None:
+        file_keys.append(F.expr(f"idx div {int(rows_per_file)}"))
+    rows = rows.repartition(*file_keys).sortWithinPartitions("chunk", "idx").drop("idx")
     if file_format == "parquet":
-        rows.write.mode(mode).partitionBy("chunk").parquet(path)
+        writer = rows.write.mode(mode)
     else:
-        csv_writer(rows, mode).partitionBy("chunk").csv(path)
+        writer = csv_writer(rows, mode)
+    if rows_per_file is not None:
+        writer = writer.option("maxRecordsPerFile", int(rows_per_file))
+    writer.partitionBy("chunk").format(file_format).save(path)
 
 
 def read_chunks(
