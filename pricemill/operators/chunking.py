@@ -10,10 +10,13 @@ _ROW_IN_PARTITION = (1 << 33) - 1
 _MAX_BROADCAST_RANGES = 100_000
 
 
-def row_index(df: DataFrame, order_by: str | list[str]) -> DataFrame:
+def row_index(
+    df: DataFrame, order_by: str | list[str], n_ranges: int | None = None
+) -> DataFrame:
     """Add ``idx``: 0, 1, 2, ... along ``order_by``, the same on any partitioning.
 
-    ``order_by`` must be unique over the table; add columns until it is.
+    ``order_by`` must be unique over the table; add columns until it is. ``n_ranges`` is the number of
+    sorted ranges, ``spark.sql.shuffle.partitions`` or fewer by default; a range should fit an executor.
 
     One range shuffle sorts the rows into ranges. Range number and offset are written with the rows, so
     both later uses (range sizes, rows) see one and the same layout even if executors are lost. Only the
@@ -21,9 +24,9 @@ def row_index(df: DataFrame, order_by: str | list[str]) -> DataFrame:
     """
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
     spark = df.sparkSession
+    by_range = df.repartitionByRange(n_ranges, *keys) if n_ranges else df.repartitionByRange(*keys)
     ranges = (
-        df.repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
+        by_range.sortWithinPartitions(*keys)
         .withColumn("_range", F.spark_partition_id())
         .withColumn("_offset", F.monotonically_increasing_id().bitwiseAND(_ROW_IN_PARTITION))
     )
@@ -34,8 +37,8 @@ def row_index(df: DataFrame, order_by: str | list[str]) -> DataFrame:
         .agg(F.count("*").alias("_rows"))
         .select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
     )
-    # There are at most as many ranges as shuffle partitions.
-    if int(spark.conf.get("spark.sql.shuffle.partitions")) <= _MAX_BROADCAST_RANGES:
+    most_ranges = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if most_ranges <= _MAX_BROADCAST_RANGES:
         starts = F.broadcast(starts)
     return (
         ranges.join(starts, "_range")
@@ -45,12 +48,16 @@ def row_index(df: DataFrame, order_by: str | list[str]) -> DataFrame:
 
 
 def assign_chunks(
-    df: DataFrame, order_by: str | list[str], chunk_rows: int = CHUNK_ROWS
+    df: DataFrame,
+    order_by: str | list[str],
+    chunk_rows: int = CHUNK_ROWS,
+    n_ranges: int | None = None,
 ) -> DataFrame:
     """Add ``idx`` and ``chunk``: consecutive blocks of ``chunk_rows`` rows, from 1; the last may be short."""
     if chunk_rows < 1:
         raise ValueError(f"chunk_rows must be at least 1, not {chunk_rows}")
-    return row_index(df, order_by).withColumn("chunk", F.expr(f"idx div {int(chunk_rows)} + 1"))
+    chunk = F.expr(f"idx div {int(chunk_rows)} + 1")
+    return row_index(df, order_by, n_ranges).withColumn("chunk", chunk)
 
 
 def chunk_counts(chunked: DataFrame) -> DataFrame:

@@ -103,5 +103,5 @@ def fetch_images(
                 }
             )
 
-    work = pending.select("filename", "url", "path").repartition(n_tasks)
+    work = pending.select("filename", "url", "path").repartition(n_tasks, "filename")
     return work.mapInPandas(fetch_batches, FETCH_SCHEMA)

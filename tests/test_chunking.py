@@ -58,6 +58,13 @@ def test_index_is_the_sort_position(spark, parts, coalesce):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+@pytest.mark.parametrize("n_ranges", [1, 2, 11])
+def test_number_of_ranges_does_not_matter(spark, n_ranges):
+    indexed = row_index(shuffled(spark, 2000, 3), ["v", "id"], n_ranges)
+    got = [(r.v, r.id) for r in indexed.orderBy("idx").collect()]
+    assert len(got) == 2000 and got == sorted(got)
+
+
 def test_hot_first_key_is_spread_over_ranges(spark, monkeypatch):
     tables = []
     monkeypatch.setattr(chunking, "staged", lambda df, name: tables.append(staged(df, name)) or tables[0])

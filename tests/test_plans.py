@@ -1,0 +1,76 @@
+import pandas as pd
+import pytest
+
+from pricemill import plans
+from pricemill.operators.predict import row_predictor
+from pricemill.sources.csv import read_submission
+
+
+@pytest.fixture
+def train_file(tmp_path):
+    frame = pd.DataFrame(
+        {
+            "sample_id": [(i * 7919) % 100_003 for i in range(230)],
+            "catalog_content": [f"Item {i}\nPack of {i % 7}, \"new\"" for i in range(230)],
+            "image_link": [None if i % 10 == 0 else f"https://h/{i % 40}.jpg" for i in range(230)],
+            "price": [1.25 * (i + 1) for i in range(230)],
+        }
+    )
+    path = f"{tmp_path}/train-table.csv"
+    frame.to_csv(path, index=False)
+    return path, frame
+
+
+def test_predict_file(spark, tmp_path, train_file):
+    path, frame = train_file
+    frame.drop(columns="price").to_csv(f"{tmp_path}/unpriced.csv", index=False)
+    report = plans.predict_file(spark, f"{tmp_path}/unpriced.csv", f"{tmp_path}/out").first()
+    assert tuple(report) == (f"{tmp_path}/out", 230)
+    written = {r.sample_id: r.price for r in read_submission(spark, f"{tmp_path}/out").collect()}
+    assert set(written) == set(frame["sample_id"])
+    assert all(5 <= p <= 500 and p == round(p, 2) for p in written.values())
+
+
+def test_split_then_sample(spark, tmp_path, train_file):
+    path, frame = train_file
+    counts = plans.split_file(spark, path, f"{tmp_path}/chunks", priced=True, chunk_rows=100)
+    assert {r.chunk: r.n_rows for r in counts.collect()} == {1: 100, 2: 100, 3: 30}
+    sample = plans.sample_file(spark, f"{tmp_path}/chunks", f"{tmp_path}/sample", n=20).toPandas()
+    assert len(sample) == 20
+    first_chunk = frame.head(100).set_index("sample_id")
+    for row in sample.itertuples():
+        source = first_chunk.loc[row.sample_id]
+        assert row.catalog_content == source.catalog_content and row.price == source.price
+    again = plans.sample_file(spark, f"{tmp_path}/chunks", f"{tmp_path}/again", n=20).toPandas()
+    assert set(again["sample_id"]) == set(sample["sample_id"])
+    with pytest.raises(ValueError, match="31 rows out of 30"):
+        plans.sample_file(spark, f"{tmp_path}/chunks", f"{tmp_path}/no", chunk=3, n=31)
+
+
+def test_chunks_follow_the_file(spark, tmp_path, train_file):
+    path, frame = train_file
+    plans.split_file(spark, path, f"{tmp_path}/chunks", priced=True, chunk_rows=100)
+    from pricemill.schema import TRAIN_SCHEMA
+    from pricemill.sources.files import read_chunks
+
+    chunks = read_chunks(spark, f"{tmp_path}/chunks", TRAIN_SCHEMA)
+    for k, block in enumerate([frame[:100], frame[100:200], frame[200:]], start=1):
+        got = chunks.filter(f"chunk = {k}").toPandas()
+        assert list(got["sample_id"]) == list(block["sample_id"])
+        assert list(got["catalog_content"]) == list(block["catalog_content"])
+
+
+def test_evaluate_and_rank(spark, tmp_path, train_file):
+    path, frame = train_file
+    truth = spark.createDataFrame(frame[["sample_id", "price"]])
+    frame.drop(columns="price").to_csv(f"{tmp_path}/unpriced.csv", index=False)
+    known = dict(zip(frame["sample_id"].tolist(), frame["price"].tolist()))
+    good = row_predictor(lambda sample_id: known[sample_id] * 1.2, ["sample_id"])
+    plans.predict_file(spark, f"{tmp_path}/unpriced.csv", f"{tmp_path}/good", good)
+    plans.predict_file(spark, f"{tmp_path}/unpriced.csv", f"{tmp_path}/dummy")
+    row = plans.evaluate(spark, f"{tmp_path}/good", truth).first()
+    assert row.ok and round(row.smape, 6) == 18.181818
+    files = {"good": f"{tmp_path}/good", "dummy": f"{tmp_path}/dummy"}
+    board = {r.submission_id: r for r in plans.rank(spark, files, truth, n_public=75).collect()}
+    assert board["good"].final_rank == 1 and board["dummy"].final_rank == 2
+    assert board["good"].public_smape == 18.181818
