@@ -38,5 +38,8 @@ def fetch(
 
 def fetch_summary(status: DataFrame) -> DataFrame:
     """Files per status; a file that came through in any round counts as 'ok'."""
-    best = status.groupBy("filename").agg(F.max("status").alias("status"))
+    came_through = F.bool_or(F.col("status") == "ok")
+    best = status.groupBy("filename").agg(
+        F.when(came_through, "ok").otherwise("error").alias("status")
+    )
     return best.groupBy("status").agg(F.count("*").alias("n_files"))

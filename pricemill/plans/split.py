@@ -7,6 +7,7 @@ from pricemill.operators.sampling import sample_exact
 from pricemill.schema import CHUNK_ROWS, SAMPLE_ROWS, SAMPLE_SEED, TEST_SCHEMA, TRAIN_SCHEMA
 from pricemill.sources.csv import FILE_ORDER, read_products, write_csv
 from pricemill.sources.files import read_chunks, write_chunks
+from pricemill.sources.staging import released_after
 
 
 def split_file(
@@ -19,8 +20,9 @@ def split_file(
 ) -> DataFrame:
     """Write ``output_path/chunk=k/``; returns the rows per chunk, counted on the written output."""
     rows = read_products(spark, products_path, priced, file_order=True)
-    chunked = assign_chunks(rows, list(FILE_ORDER), chunk_rows).drop(*FILE_ORDER)
-    write_chunks(chunked, output_path, mode=mode)
+    with released_after(spark):
+        chunked = assign_chunks(rows, list(FILE_ORDER), chunk_rows).drop(*FILE_ORDER)
+        write_chunks(chunked, output_path, mode=mode)
     schema = TRAIN_SCHEMA if priced else TEST_SCHEMA
     return chunk_counts(read_chunks(spark, output_path, schema))
 

@@ -12,26 +12,22 @@ def write_chunks(
     path: str,
     file_format: str = "csv",
     mode: str = "errorifexists",
-    rows_per_file: int | None = None,
+    one_file: bool = True,
 ) -> None:
-    """Write ``path/chunk=k/``, rows in index order, index not written; one file per chunk.
+    """Write ``path/chunk=k/``: one file per chunk, rows in index order, index not written.
 
-    A reader that filters on ``chunk`` opens that folder only. One task writes one file, so for chunks
-    too large for a task set ``rows_per_file``, which splits a chunk into consecutive files.
+    A reader that filters on ``chunk`` opens that folder only. One file means that all rows are shuffled
+    by chunk and that one task writes each chunk. For chunks too large for a task, ``one_file=False``
+    skips the shuffle: the sorted ranges behind the index are written where they are, so a chunk has as
+    many files as it has ranges, each in index order.
     """
     if file_format not in ("csv", "parquet"):
         raise ValueError(f"file_format must be csv or parquet, not {file_format!r}")
     rows = chunked if file_format == "parquet" else csv_columns(chunked)
-    file_keys = [F.col("chunk")]
-    if rows_per_file is not None:
-        file_keys.append(F.expr(f"idx div {int(rows_per_file)}"))
-    rows = rows.repartition(*file_keys).sortWithinPartitions("chunk", "idx").drop("idx")
-    if file_format == "parquet":
-        writer = rows.write.mode(mode)
-    else:
-        writer = csv_writer(rows, mode)
-    if rows_per_file is not None:
-        writer = writer.option("maxRecordsPerFile", int(rows_per_file))
+    if one_file:
+        rows = rows.repartition("chunk")
+    rows = rows.sortWithinPartitions("chunk", "idx").drop("idx")
+    writer = rows.write.mode(mode) if file_format == "parquet" else csv_writer(rows, mode)
     writer.partitionBy("chunk").format(file_format).save(path)
 
 

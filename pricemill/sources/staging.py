@@ -2,10 +2,14 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: list[str] = []
+_job_folder: ContextVar[str | None] = ContextVar("job_folder", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,15 +25,30 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/pricemill/{name}-{uuid.uuid4().hex}"
+    folder = _job_folder.get() or f"{shared_folder(spark)}/pricemill"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet and return the table read back.
 
     Values fixed at write time (partition ids, random or fetched values) stay the same for every later
-    job, also after lost executors. Like checkpoints, the folders stay until the caller removes them.
+    job, also after lost executors. Like checkpoints, the tables stay until someone removes them, unless
+    they are made inside ``released_after``.
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def released_after(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables staged inside the block at its end, for jobs that write their own output."""
+    folder = new_path(spark, "job")
+    token = _job_folder.set(folder)
+    try:
+        yield
+    finally:
+        _job_folder.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

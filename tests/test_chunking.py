@@ -103,12 +103,20 @@ def test_one_file_per_chunk_in_index_order(spark, tmp_path, file_format):
     assert dict(back.dtypes)["chunk"] == "bigint"
 
 
-def test_large_chunks_can_be_split_into_files(spark, tmp_path):
-    chunked = assign_chunks(priced(spark, 1000), "price", 600)
-    write_chunks(chunked, f"{tmp_path}/c", rows_per_file=200)
-    assert len(glob.glob(f"{tmp_path}/c/chunk=1/part-*")) == 3
-    assert len(glob.glob(f"{tmp_path}/c/chunk=2/part-*")) == 2
-    assert sizes(read_chunks(spark, f"{tmp_path}/c", SUBMISSION_SCHEMA)) == [600, 400]
+def test_large_chunks_can_be_written_without_a_shuffle(spark, tmp_path):
+    chunked = assign_chunks(priced(spark, 1000), "price", 600, n_ranges=5)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        write_chunks(chunked, f"{tmp_path}/c", one_file=False)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    back = read_chunks(spark, f"{tmp_path}/c", SUBMISSION_SCHEMA)
+    assert sizes(back) == [600, 400]
+    files = glob.glob(f"{tmp_path}/c/chunk=1/part-*")
+    assert len(files) > 1
+    for name in files:
+        prices = [r.price for r in spark.read.csv(name, header=True, schema=SUBMISSION_SCHEMA).collect()]
+        assert prices == sorted(prices) and max(prices) < 600
 
 
 def test_reading_one_chunk_opens_one_folder(spark, tmp_path):

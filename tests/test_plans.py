@@ -1,9 +1,15 @@
+import glob
+
 import pandas as pd
 import pytest
 
 from pricemill import plans
+from pricemill.__main__ import main
 from pricemill.operators.predict import row_predictor
+from pricemill.schema import TRAIN_SCHEMA
+from pricemill.sources import staging
 from pricemill.sources.csv import read_submission
+from pricemill.sources.files import read_chunks
 
 
 @pytest.fixture
@@ -35,6 +41,7 @@ def test_split_then_sample(spark, tmp_path, train_file):
     path, frame = train_file
     counts = plans.split_file(spark, path, f"{tmp_path}/chunks", priced=True, chunk_rows=100)
     assert {r.chunk: r.n_rows for r in counts.collect()} == {1: 100, 2: 100, 3: 30}
+    assert glob.glob(f"{staging.shared_folder(spark)}/pricemill/job-*") == []
     sample = plans.sample_file(spark, f"{tmp_path}/chunks", f"{tmp_path}/sample", n=20).toPandas()
     assert len(sample) == 20
     first_chunk = frame.head(100).set_index("sample_id")
@@ -50,9 +57,6 @@ def test_split_then_sample(spark, tmp_path, train_file):
 def test_chunks_follow_the_file(spark, tmp_path, train_file):
     path, frame = train_file
     plans.split_file(spark, path, f"{tmp_path}/chunks", priced=True, chunk_rows=100)
-    from pricemill.schema import TRAIN_SCHEMA
-    from pricemill.sources.files import read_chunks
-
     chunks = read_chunks(spark, f"{tmp_path}/chunks", TRAIN_SCHEMA)
     for k, block in enumerate([frame[:100], frame[100:200], frame[200:]], start=1):
         got = chunks.filter(f"chunk = {k}").toPandas()
@@ -74,3 +78,20 @@ def test_evaluate_and_rank(spark, tmp_path, train_file):
     board = {r.submission_id: r for r in plans.rank(spark, files, truth, n_public=75).collect()}
     assert board["good"].final_rank == 1 and board["dummy"].final_rank == 2
     assert board["good"].public_smape == 18.181818
+
+
+def test_command_line(spark, tmp_path, train_file, capsys):
+    path, frame = train_file
+    frame.drop(columns="price").to_csv(f"{tmp_path}/unpriced.csv", index=False)
+    main(["predict", f"{tmp_path}/unpriced.csv", f"{tmp_path}/out"])
+    assert "230" in capsys.readouterr().out
+    with pytest.raises(Exception, match="(?i)already exists"):
+        main(["predict", f"{tmp_path}/unpriced.csv", f"{tmp_path}/out"])
+    main(["predict", f"{tmp_path}/unpriced.csv", f"{tmp_path}/out", "--overwrite"])
+    main(["split", path, f"{tmp_path}/chunks", "--priced", "--chunk-rows", "100"])
+    main(["sample", f"{tmp_path}/chunks", f"{tmp_path}/sample", "--priced", "--rows", "7"])
+    capsys.readouterr()
+    main(["evaluate", f"{tmp_path}/out", path])
+    assert "true" in capsys.readouterr().out
+    main(["rank", path, f"me={tmp_path}/out", "--public-rows", "70"])
+    assert "me" in capsys.readouterr().out
