@@ -17,17 +17,16 @@ def image_manifest(products: DataFrame, folder: str) -> DataFrame:
 
     Rows without a link, and links that name no file ('' and '..' are folders), are left out. Links that
     share a file name share a file: the smallest link is kept and ``n_urls`` tells how many there are.
-    Links are made distinct first, so a name or link repeated very often is small before each shuffle.
+    Links are made distinct first, so a link or a name repeated very often is small before each shuffle.
     """
     links = (
         products.select(F.col("image_link").alias("url"))
-        .withColumn("filename", link_basename("url"))
-        .filter(F.col("url").isNotNull() & ~F.col("filename").isin("", ".."))
+        .filter(F.col("url").isNotNull())
         .distinct()
+        .withColumn("filename", link_basename("url"))
+        .filter(~F.col("filename").isin("", ".."))
     )
-    files = links.groupBy("filename").agg(
-        F.min("url").alias("url"), F.count("*").alias("n_urls")
-    )
+    files = links.groupBy("filename").agg(F.min("url").alias("url"), F.count("*").alias("n_urls"))
     return files.withColumn("path", target_path(folder, "filename"))
 
 

@@ -175,3 +175,13 @@ def test_unused_columns_are_not_parsed(spark, tmp_path):
     plan = read_products(spark, f"{tmp_path}/t", priced=True).select("sample_id")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<sample_id:bigint>" in text
+
+
+def test_random_texts_survive(spark, tmp_path):
+    rng = random.Random(11)
+    alphabet = ['"', "'", ",", "\n", "\r", "\r\n", " ", "\t", "\\", "a", "é", "漢", "🙂", ";", "#", "0", "NA"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(1, 12))) for _ in range(3000)]
+    texts = [t for t in texts if t not in NULL_TOKENS]
+    rows = product_rows(texts)
+    write_csv(spark.createDataFrame(rows, TRAIN_SCHEMA).repartition(5), f"{tmp_path}/t")
+    assert by_id(read_products(spark, f"{tmp_path}/t", priced=True)) == rows
