@@ -1,5 +1,7 @@
 """The operators as queries over a folder of Parquet tables, each with its SQL twin."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,22 +53,21 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One complete submission per team, and as the last one the order lines, which repeat and miss ids."""
-    teams = F.array(*[F.lit(team) for team in range(1, TEAMS + 1)])
-    complete = (
-        _truth(spark, sf_dir)
-        .select(F.explode(teams).alias("submission_id"), "sample_id")
-        .select(
-            "submission_id",
+    truth = _truth(spark, sf_dir)
+    complete = [
+        truth.select(
+            F.lit(team).alias("submission_id"),
             "sample_id",
-            F.round(5 + 495 * _unit(F.col("submission_id"), F.col("sample_id")), 2).alias("price"),
+            F.round(5 + 495 * _unit(F.lit(team), F.col("sample_id")), 2).alias("price"),
         )
-    )
+        for team in range(1, TEAMS + 1)
+    ]
     lines = _table(spark, sf_dir, "lineitem").select(
         F.lit(TEAMS + 1).alias("submission_id"),
         F.col("l_orderkey").alias("sample_id"),
         F.col("l_extendedprice").alias("price"),
     )
-    return complete.unionByName(lines)
+    return reduce(DataFrame.unionByName, complete, lines)
 
 
 def _unit(*keys):

@@ -28,7 +28,10 @@ def read_csv(
     multi_line: bool = True,
     file_order: bool = False,
 ) -> DataFrame:
-    """Headed CSV under a fixed schema; a wrong header or an unparseable value fails the job.
+    """Headed CSV under a fixed schema; a wrong header or an unparseable value fails.
+
+    The header of one file is compared here, letter by letter; Spark compares that of every file when
+    the rows are read, without regard to case.
 
     ``pandas_nulls`` turns the null tokens of a pandas read into nulls in text columns; empty text is
     null either way. A file with quoted newlines cannot be split, so it is one task: give a large table
@@ -37,6 +40,9 @@ def read_csv(
 
     Spark parses only the columns a job uses, so a job that skips a column does not check it.
     """
+    header = spark.read.options(**_FORMAT).option("multiLine", multi_line).csv(path).columns
+    if header != schema.names:
+        raise ValueError(f"the header is {header}, not {schema.names}")
     df = (
         spark.read.schema(schema)
         .options(**_FORMAT)

@@ -101,6 +101,11 @@ def test_submission_file_is_byte_identical_after_a_round_trip(spark, tmp_path):
         "price,sample_id\n1,2.0\n",
         "sample_id,price,extra\n1,2.0,3\n",
         "sample_id\n1\n",
+        "Sample_Id,PRICE\n1,2.0\n",
+        "sample_id, price\n1,2.0\n",
+        "sample_id,sample_id\n1,2\n",
+        "1,2.0\n",
+        "",
         "sample_id,price\n1,cheap\n",
         "sample_id,price\n1,NA\n",
         "sample_id,price\nx,2.0\n",
@@ -116,6 +121,14 @@ def test_malformed_submission_fails(spark, tmp_path, text):
         read_submission(spark, path).collect()
 
 
+def test_wrong_header_in_a_later_file_fails(spark, tmp_path):
+    for name, header in (("a", "sample_id,price"), ("b", "sample_id,cost")):
+        with open(f"{tmp_path}/{name}.csv", "w") as out:
+            out.write(f"{header}\n1,2.0\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_submission(spark, str(tmp_path)).collect()
+
+
 def test_odd_prices_are_read_not_dropped(spark, tmp_path):
     path = f"{tmp_path}/odd.csv"
     with open(path, "w") as out:
