@@ -6,7 +6,13 @@ from pyspark.cloudpickle import register_pickle_by_value
 
 from pricemill.functions.hashing import hash_price, seeded_digest, unit_hash
 from pricemill.functions.links import link_basename, target_path
-from pricemill.operators.chunking import assign_chunks, chunk_counts, row_index
+from pricemill.operators.chunking import (
+    assign_chunks,
+    chunk_counts,
+    file_row_index,
+    row_index,
+    with_chunk,
+)
 from pricemill.operators.images import FolderStore, fetch_images, image_manifest, pending_images
 from pricemill.operators.leaderboard import leaderboard, public_score, score_submissions
 from pricemill.operators.predict import batch_predictor, hash_predictor, predict, row_predictor
@@ -28,6 +34,7 @@ __all__ = [
     "error_metrics",
     "evaluate_submission",
     "fetch_images",
+    "file_row_index",
     "hash_predictor",
     "hash_price",
     "image_manifest",
@@ -50,6 +57,7 @@ __all__ = [
     "smape",
     "target_path",
     "unit_hash",
+    "with_chunk",
     "write_chunks",
     "write_csv",
 ]

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricemill.schema import CHUNK_ROWS
+from pricemill.sources.csv import FILE_ORDER
 from pricemill.sources.staging import staged
 
 _ROW_IN_PARTITION = (1 << 33) - 1
@@ -47,17 +48,52 @@ def row_index(
     )
 
 
+def file_row_index(rows: DataFrame) -> DataFrame:
+    """Replace the ``FILE_ORDER`` columns of ``read_csv(..., file_order=True)`` by ``idx``, from 0.
+
+    Rows of one file block already stand in order, so nothing is sorted or shuffled: the rows are
+    written once, block sizes (one row per block) are summed up in file order and joined back. ``rows``
+    must be all rows of the files; a block with gaps fails the job.
+    """
+    block = ["source_file", "source_block"]
+    rows = staged(rows, "file-row-index")
+    sizes = rows.groupBy(*block).agg(
+        F.count("*").alias("_rows"),
+        F.min("source_row").alias("_first"),
+        F.max("source_row").alias("_last"),
+    )
+    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.col("_last") - F.col("_first") + 1 == F.col("_rows")
+    start = F.coalesce(F.sum("_rows").over(before), F.lit(0))
+    starts = sizes.select(
+        *block,
+        "_first",
+        F.when(whole, start).otherwise(F.raise_error(F.lit("rows of a file are missing"))).alias("_start"),
+    )
+    if sizes.count() <= _MAX_BROADCAST_RANGES:
+        starts = F.broadcast(starts)
+    return (
+        rows.join(starts, block)
+        .withColumn("idx", F.col("_start") + F.col("source_row") - F.col("_first"))
+        .drop(*FILE_ORDER, "_start", "_first")
+    )
+
+
+def with_chunk(indexed: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Add ``chunk`` to rows that have ``idx``: blocks of ``chunk_rows``, from 1; the last may be short."""
+    if chunk_rows < 1:
+        raise ValueError(f"chunk_rows must be at least 1, not {chunk_rows}")
+    return indexed.withColumn("chunk", F.expr(f"idx div {int(chunk_rows)} + 1"))
+
+
 def assign_chunks(
     df: DataFrame,
     order_by: str | list[str],
     chunk_rows: int = CHUNK_ROWS,
     n_ranges: int | None = None,
 ) -> DataFrame:
-    """Add ``idx`` and ``chunk``: consecutive blocks of ``chunk_rows`` rows, from 1; the last may be short."""
-    if chunk_rows < 1:
-        raise ValueError(f"chunk_rows must be at least 1, not {chunk_rows}")
-    chunk = F.expr(f"idx div {int(chunk_rows)} + 1")
-    return row_index(df, order_by, n_ranges).withColumn("chunk", chunk)
+    """Add ``idx`` and ``chunk``: consecutive blocks of ``chunk_rows`` rows along ``order_by``."""
+    return with_chunk(row_index(df, order_by, n_ranges), chunk_rows)
 
 
 def chunk_counts(chunked: DataFrame) -> DataFrame:

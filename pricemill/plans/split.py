@@ -2,10 +2,10 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricemill.operators.chunking import assign_chunks, chunk_counts
+from pricemill.operators.chunking import chunk_counts, file_row_index, with_chunk
 from pricemill.operators.sampling import sample_exact
 from pricemill.schema import CHUNK_ROWS, SAMPLE_ROWS, SAMPLE_SEED, TEST_SCHEMA, TRAIN_SCHEMA
-from pricemill.sources.csv import FILE_ORDER, read_products, write_csv
+from pricemill.sources.csv import read_products, write_csv
 from pricemill.sources.files import read_chunks, write_chunks
 from pricemill.sources.staging import released_after
 
@@ -21,8 +21,7 @@ def split_file(
     """Write ``output_path/chunk=k/``; returns the rows per chunk, counted on the written output."""
     rows = read_products(spark, products_path, priced, file_order=True)
     with released_after(spark):
-        chunked = assign_chunks(rows, list(FILE_ORDER), chunk_rows).drop(*FILE_ORDER)
-        write_chunks(chunked, output_path, mode=mode)
+        write_chunks(with_chunk(file_row_index(rows), chunk_rows), output_path, mode=mode)
     schema = TRAIN_SCHEMA if priced else TEST_SCHEMA
     return chunk_counts(read_chunks(spark, output_path, schema))
 

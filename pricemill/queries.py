@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pricemill.functions.hashing import hash_price
 from pricemill.functions.links import link_basename
-from pricemill.operators.chunking import assign_chunks, chunk_counts
+from pricemill.operators.chunking import assign_chunks, chunk_counts, file_row_index, with_chunk
 from pricemill.operators.images import fetch_images, image_manifest, pending_images
 from pricemill.operators.leaderboard import leaderboard, public_score
 from pricemill.operators.predict import batch_predictor, hash_predictor, predict, row_predictor
@@ -15,7 +15,7 @@ from pricemill.operators.sampling import sample_exact
 from pricemill.operators.scoring import error_metrics, smape
 from pricemill.operators.validation import check_submission, evaluate_submission
 from pricemill.schema import NULL_TOKENS, SUBMISSION_SCHEMA, TRAIN_SCHEMA
-from pricemill.sources.csv import read_products, read_submission, write_csv
+from pricemill.sources.csv import read_csv, read_products, read_submission, write_csv
 from pricemill.sources.files import read_chunks, write_chunks
 from pricemill.sources.staging import new_path
 
@@ -107,6 +107,13 @@ def chunk_assign(spark, sf_dir):
     return assign_chunks(rows, ["o_totalprice", "o_orderkey"], CHUNK_ROWS)
 
 
+def chunk_file(spark, sf_dir):
+    path = new_path(spark, "chunk-file")
+    write_csv(_truth(spark, sf_dir).orderBy("price", "sample_id"), path)
+    rows = read_csv(spark, path, SUBMISSION_SCHEMA, multi_line=False, file_order=True)
+    return with_chunk(file_row_index(rows), CHUNK_ROWS)
+
+
 def chunk_counts_query(spark, sf_dir):
     return chunk_counts(chunk_assign(spark, sf_dir))
 
@@ -254,6 +261,7 @@ QUERIES = {
     "csv_roundtrip": csv_roundtrip,
     "submission_roundtrip": submission_roundtrip,
     "chunk_assign": chunk_assign,
+    "chunk_file": chunk_file,
     "chunk_counts": chunk_counts_query,
     "chunk_write": chunk_write,
     "sample_exact": sample_exact_query,
@@ -356,6 +364,9 @@ from documents
 """,
     "submission_roundtrip": "select o_orderkey as sample_id, o_totalprice as price from orders",
     "chunk_assign": _CHUNKED,
+    "chunk_file": f"""
+select o_orderkey as sample_id, o_totalprice as price, idx, chunk from ({_CHUNKED})
+""",
     "chunk_counts": f"select chunk, count(*) as n_rows from ({_CHUNKED}) group by chunk",
     "chunk_write": f"""
 select chunk, count(*) as n_rows, min(o_totalprice) as low, max(o_totalprice) as high,

@@ -4,7 +4,9 @@ import random
 import pandas as pd
 import pytest
 
-from pricemill.operators.chunking import row_index
+from pyspark.sql.types import StructType
+
+from pricemill.operators.chunking import file_row_index, row_index
 from pricemill.schema import NULL_TOKENS, TRAIN_SCHEMA
 from pricemill.sources.csv import FILE_ORDER, read_csv, read_products, read_submission, write_csv
 
@@ -154,8 +156,9 @@ def test_existing_output_is_kept_unless_asked(spark, tmp_path):
     assert read_products(spark, f"{tmp_path}/deep/t", priced=True).count() == 0
 
 
-@pytest.mark.parametrize("multi_line", [True, False])
-def test_file_order(spark, tmp_path, multi_line):
+@pytest.fixture(params=["whole files", "files in blocks"])
+def ordered_files(spark, tmp_path, request):
+    """Three files read one task per file, or cut into many blocks; and the ids in file order."""
     rng = random.Random(3)
     expected = []
     for name in ("a", "b", "c"):
@@ -164,23 +167,43 @@ def test_file_order(spark, tmp_path, multi_line):
         pd.DataFrame({"sample_id": ids, "price": [1.0] * 700}).to_csv(
             f"{tmp_path}/{name}.csv", index=False
         )
-    if not multi_line:
+    blocks = request.param == "files in blocks"
+    if blocks:
         spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
         spark.conf.set("spark.sql.files.openCostInBytes", "0")
-    try:
-        schema = "sample_id bigint, price double"
-        from pyspark.sql.types import StructType
+    schema = StructType.fromDDL("sample_id bigint, price double")
+    rows = read_csv(spark, str(tmp_path), schema, multi_line=not blocks, file_order=True)
+    yield rows, expected
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
 
-        rows = read_csv(
-            spark, str(tmp_path), StructType.fromDDL(schema), multi_line=multi_line, file_order=True
-        )
-        if not multi_line:
-            assert rows.rdd.getNumPartitions() > 3
-        indexed = row_index(rows, list(FILE_ORDER))
-        assert [r.sample_id for r in indexed.orderBy("idx").collect()] == expected
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+def test_file_order(ordered_files):
+    rows, expected = ordered_files
+    indexed = row_index(rows, list(FILE_ORDER))
+    assert [r.sample_id for r in indexed.orderBy("idx").collect()] == expected
+
+
+def test_file_row_index(ordered_files):
+    rows, expected = ordered_files
+    indexed = file_row_index(rows)
+    assert indexed.columns == ["sample_id", "price", "idx"]
+    got = indexed.orderBy("idx").collect()
+    assert [r.sample_id for r in got] == expected and [r.idx for r in got] == list(range(2100))
+    plan = indexed._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_file_row_index_needs_all_rows(ordered_files):
+    rows, expected = ordered_files
+    with pytest.raises(Exception, match="rows of a file are missing"):
+        file_row_index(rows.filter(f"sample_id <> {expected[900]}")).collect()
+
+
+def test_file_row_index_of_no_rows(spark, tmp_path):
+    write_csv(spark.createDataFrame([], TRAIN_SCHEMA), f"{tmp_path}/t")
+    rows = read_products(spark, f"{tmp_path}/t", priced=True, file_order=True)
+    assert file_row_index(rows).collect() == []
 
 
 def test_unused_columns_are_not_parsed(spark, tmp_path):
