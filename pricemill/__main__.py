@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 from pricemill import plans
 from pricemill.schema import CHUNK_ROWS, PUBLIC_ROWS, SAMPLE_ROWS, SAMPLE_SEED
-from pricemill.sources.csv import read_products
+from pricemill.sources.csv import read_products, read_submission
 
 
 def parser() -> argparse.ArgumentParser:
@@ -52,6 +52,7 @@ def main(arguments: list[str] | None = None) -> None:
     mode = "overwrite" if getattr(args, "overwrite", False) else "errorifexists"
     if args.job == "predict":
         plans.predict_file(spark, args.products, args.output, mode=mode).show(truncate=False)
+        read_submission(spark, args.output).show(5)
     elif args.job == "split":
         counts = plans.split_file(
             spark, args.products, args.output, args.priced, args.chunk_rows, mode

@@ -16,8 +16,9 @@ def row_index(
 ) -> DataFrame:
     """Add ``idx``: 0, 1, 2, ... along ``order_by``, the same on any partitioning.
 
-    ``order_by`` must be unique over the table; add columns until it is. ``n_ranges`` is the number of
-    sorted ranges, ``spark.sql.shuffle.partitions`` or fewer by default; a range should fit an executor.
+    Rows with equal keys follow a hash of their other columns, so a key that many rows share is spread
+    over ranges as well; only whole copies of a row stay together. ``n_ranges`` is the number of sorted
+    ranges, ``spark.sql.shuffle.partitions`` or fewer by default; a range should fit an executor.
 
     One range shuffle sorts the rows into ranges. Range number and offset are written with the rows, so
     both later uses (range sizes, rows) see one and the same layout even if executors are lost. Only the
@@ -25,9 +26,11 @@ def row_index(
     """
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
     spark = df.sparkSession
-    by_range = df.repartitionByRange(n_ranges, *keys) if n_ranges else df.repartitionByRange(*keys)
+    others = [F.col(f"`{name}`") for name in df.columns if name not in keys]
+    order = [*keys, F.xxhash64(*others)] if others else keys
+    by_range = df.repartitionByRange(n_ranges, *order) if n_ranges else df.repartitionByRange(*order)
     ranges = (
-        by_range.sortWithinPartitions(*keys)
+        by_range.sortWithinPartitions(*order)
         .withColumn("_range", F.spark_partition_id())
         .withColumn("_offset", F.monotonically_increasing_id().bitwiseAND(_ROW_IN_PARTITION))
     )

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricemill.functions.hashing import seeded_digest
+from pricemill.operators.chunking import row_index
 from pricemill.schema import SAMPLE_ROWS, SAMPLE_SEED
 
 # Up to this size the cut-off is the last of the top n hashes; above it, it is searched by counting.
@@ -18,22 +19,17 @@ def _too_many(n: int, total: int) -> ValueError:
     return ValueError(f"cannot sample {n} rows out of {total} without replacement")
 
 
-def _not_unique(n: int) -> ValueError:
-    return ValueError(f"the key has copies at row {n} of the sample order: add columns to make it unique")
-
-
-def _top_n_cutoff(hashes: DataFrame, n: int) -> str:
-    """The n-th smallest hash, from the n + 1 smallest ones."""
+def _top_n_cutoff(hashes: DataFrame, n: int) -> tuple[str, int, bool]:
+    """From the n + 1 smallest hashes."""
     top = [row.digest for row in hashes.orderBy("digest").limit(n + 1).collect()]
     if len(top) < n:
         raise _too_many(n, len(top))
-    if top[n - 1] in top[n:]:
-        raise _not_unique(n)
-    return top[n - 1]
+    cutoff = top[n - 1]
+    return cutoff, top.index(cutoff), cutoff not in top[n:]
 
 
-def _counted_cutoff(hashes: DataFrame, n: int) -> str:
-    """The n-th smallest hash, by counting rows per hash prefix and again inside the prefix it has."""
+def _counted_cutoff(hashes: DataFrame, n: int) -> tuple[str, int, bool]:
+    """By counting rows per hash prefix, and again inside the prefix that holds the n-th hash."""
     running = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     prefix, below, bucket_rows = "", 0, None
     while len(prefix) < _DIGITS[-1]:
@@ -55,9 +51,22 @@ def _counted_cutoff(hashes: DataFrame, n: int) -> str:
             raise _too_many(n, hit.total)
         prefix, bucket_rows = hit.first.bucket, hit.first.rows
         below += hit.first.upto - bucket_rows
-    if below + bucket_rows != n:
-        raise _not_unique(n)
-    return prefix
+    return prefix, below, below + bucket_rows == n
+
+
+def _cutoff(df: DataFrame, n: int, digest: Column) -> tuple[str, int, bool]:
+    """The n-th smallest hash, the rows below it, and whether the rows up to it are n.
+
+    Reads the key alone and returns a few values to the driver.
+    """
+    find = _top_n_cutoff if n <= _TOP_N_ROWS else _counted_cutoff
+    return find(df.select(digest.alias("digest")), n)
+
+
+def _sample_digest(n: int, key: str | list[str], seed) -> Column:
+    if n < 0:
+        raise ValueError(f"cannot sample {n} rows")
+    return seeded_digest(seed, *([key] if isinstance(key, str) else key))
 
 
 def in_sample(
@@ -65,21 +74,32 @@ def in_sample(
 ) -> Column:
     """Condition on ``key`` that is true for exactly ``n`` rows of ``df``; ``key`` must be unique.
 
-    The sample is every row up to a cut-off in hash order. Finding the cut-off reads the key alone and
-    returns a few values to the driver. The condition itself needs no join, sort or shuffle, and can be
-    put on any table that has the key.
+    The sample is every row up to a cut-off in hash order. The condition itself needs no join, sort or
+    shuffle, and can be put on any table that has the key.
     """
-    if n < 0:
-        raise ValueError(f"cannot sample {n} rows")
-    digest = seeded_digest(seed, *([key] if isinstance(key, str) else key))
+    digest = _sample_digest(n, key, seed)
     if n == 0:
         return F.lit(False)
-    find = _top_n_cutoff if n <= _TOP_N_ROWS else _counted_cutoff
-    return digest <= find(df.select(digest.alias("digest")), n)
+    cutoff, _, exact = _cutoff(df, n, digest)
+    if not exact:
+        raise ValueError(f"{key!r} has copies at row {n} of the sample order: it must be unique")
+    return digest <= cutoff
 
 
 def sample_exact(
     df: DataFrame, n: int = SAMPLE_ROWS, key: str | list[str] = "sample_id", seed=SAMPLE_SEED
 ) -> DataFrame:
-    """Exactly ``n`` rows without replacement; ``n`` above the row count raises."""
-    return df.filter(in_sample(df, n, key, seed))
+    """Exactly ``n`` rows without replacement; ``n`` above the row count raises.
+
+    A filter on the scan, as in ``in_sample``. If copies of one key lie across the cut-off, those needed
+    are taken in the order of ``row_index``.
+    """
+    digest = _sample_digest(n, key, seed)
+    if n == 0:
+        return df.filter(F.lit(False))
+    cutoff, below, exact = _cutoff(df, n, digest)
+    if exact:
+        return df.filter(digest <= cutoff)
+    copies = row_index(df.filter(digest == cutoff), key)
+    needed = copies.filter(F.col("idx") < n - below).drop("idx")
+    return df.filter(digest < cutoff).unionByName(needed)

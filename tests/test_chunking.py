@@ -77,6 +77,25 @@ def test_hot_first_key_is_spread_over_ranges(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_shared_keys_are_spread_and_keep_their_numbers(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(chunking, "staged", lambda df, name: tables.append(staged(df, name)) or tables[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        numbers = []
+        for parts in (1, 6):
+            indexed = row_index(shuffled(spark, 20000, parts), "v")
+            rows = sorted((r.idx, r.v, r.id) for r in indexed.collect())
+            assert [r[0] for r in rows] == list(range(20000))
+            assert [r[1] for r in rows] == sorted(r[1] for r in rows)
+            numbers.append(rows)
+            ranges = tables[-1].groupBy("_range").count().collect()
+            assert max(r["count"] for r in ranges) < 2 * 20000 / 8
+        assert numbers[0] == numbers[1]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_index_stays_the_same_on_every_use(spark):
     chunked = assign_chunks(spark.range(3000).withColumn("r", F.rand()), ["r", "id"], 100)
     first = {r.id: r.chunk for r in chunked.collect()}

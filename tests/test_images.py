@@ -125,6 +125,8 @@ def test_list_files(spark, tmp_path):
         (tmp_path / name).write_bytes(b"123")
     got = rows(list_files(spark, str(tmp_path)).select("filename", "n_bytes"))
     assert got == sorted((n, 3) for n in names)
+    plan = list_files(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<path:string,length:bigint>" in plan
     (tmp_path / "empty").mkdir()
     assert list_files(spark, str(tmp_path / "empty")).isEmpty()
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):

@@ -54,20 +54,23 @@ def test_seed_changes_the_sample(spark):
     assert a != b
 
 
-def test_copies_of_a_key_at_the_cutoff_are_refused(spark, method):
+def test_copies_of_a_key_at_the_cutoff(spark, method):
     third_is_one_key = spark.range(900).withColumn(
         "k", F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id"))
     )
-    order = sorted(
-        [("k", -1 if i % 3 == 0 else i) for i in range(900)],
-        key=lambda r: hashlib.md5(f"42:{r[1]}".encode()).hexdigest(),
+    keys = sorted(
+        (-1 if i % 3 == 0 else i for i in range(900)),
+        key=lambda k: hashlib.md5(f"42:{k}".encode()).hexdigest(),
     )
-    hot_start = order.index(("k", -1))
+    hot_start = keys.index(-1)
+    for n in (hot_start, hot_start + 1, hot_start + 10, hot_start + 299, hot_start + 300, hot_start + 301):
+        got = [r.k for r in sample_exact(third_is_one_key, n, "k", 42).collect()]
+        assert sorted(got) == sorted(keys[:n])
     with pytest.raises(ValueError, match="unique"):
-        sample_exact(third_is_one_key, hot_start + 10, "k", 42)
-    # Away from the copies, and with a second column, the sample is exact.
-    assert sample_exact(third_is_one_key, hot_start + 300, "k", 42).count() == hot_start + 300
-    assert sample_exact(third_is_one_key, hot_start + 10, ["k", "id"], 42).count() == hot_start + 10
+        in_sample(third_is_one_key, hot_start + 10, "k", 42)
+    first = set(ids_of(sample_exact(third_is_one_key, hot_start + 10, "k", 42)))
+    again = set(ids_of(sample_exact(third_is_one_key.repartition(5), hot_start + 10, "k", 42)))
+    assert first == again and len(first) == hot_start + 10
 
 
 def test_null_keys_take_part(spark):
