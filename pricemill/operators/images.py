@@ -3,13 +3,14 @@
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricemill.functions.links import link_basename, target_path
-from pricemill.schema import FETCH_SCHEMA, FETCH_TASKS
+from pricemill.schema import FETCH_SCHEMA, FETCH_TASKS, FETCH_THREADS
 
 
 def image_manifest(products: DataFrame, folder: str) -> DataFrame:
@@ -68,12 +69,16 @@ def fetch_images(
     fetcher: Callable[[str], bytes],
     store=None,
     n_tasks: int = FETCH_TASKS,
+    threads: int = FETCH_THREADS,
 ) -> DataFrame:
     """Fetch every pending link; returns ``filename, url, status, n_bytes, error`` per file.
 
     ``fetcher(url)`` returns the bytes or raises. A failed link becomes a row with status 'error' and
     does not stop the others. A file that is there already is not fetched again, so a repeated task does
     no harm. Like every Spark table the result is lazy: write it once and read the written table.
+
+    Each task waits for up to ``threads`` links at a time, so running tasks times ``threads`` links are
+    open at once; use ``threads=1`` for a fetcher that is not thread-safe.
     """
     store = store or FolderStore()
 
@@ -89,18 +94,14 @@ def fetch_images(
             return "error", None, f"{type(error).__name__}: {error}"
 
     def fetch_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            results = [fetch_one(url, path) for url, path in zip(batch["url"], batch["path"])]
-            status, n_bytes, error = zip(*results) if results else ((), (), ())
-            yield pd.DataFrame(
-                {
-                    "filename": batch["filename"].to_list(),
-                    "url": batch["url"].to_list(),
-                    "status": list(status),
-                    "n_bytes": pd.array(list(n_bytes), dtype="Int64"),
-                    "error": list(error),
-                }
-            )
+        with ThreadPoolExecutor(threads) as pool:
+            for batch in batches:
+                results = list(pool.map(fetch_one, batch["url"], batch["path"]))
+                outcome = pd.DataFrame(results, columns=["status", "n_bytes", "error"])
+                outcome["n_bytes"] = outcome["n_bytes"].astype("Int64")
+                outcome.insert(0, "filename", batch["filename"].to_numpy())
+                outcome.insert(1, "url", batch["url"].to_numpy())
+                yield outcome
 
     work = pending.select("filename", "url", "path").repartition(n_tasks, "filename")
     return work.mapInPandas(fetch_batches, FETCH_SCHEMA)

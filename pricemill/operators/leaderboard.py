@@ -29,8 +29,7 @@ def score_submissions(submissions: DataFrame, truth: DataFrame, public: Column)
     )
     n_expected = truth.agg(F.count("*").alias("n")).scalar()
     bad_truth = truth.agg(F.count_if(not_a_number("price")).alias("n")).scalar()
-    predicted, actual = F.col("predicted"), F.when(F.col("known"), F.col("actual"))
-    shown = F.col("public")
+    predicted, actual, shown = F.col("predicted"), F.col("actual"), F.col("public")
     counts = (
         per_id.join(known, "sample_id", "left")
         .groupBy("submission_id")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricemill.operators.images import fetch_images, image_manifest, pending_images
-from pricemill.schema import FETCH_SCHEMA, FETCH_TASKS
+from pricemill.schema import FETCH_SCHEMA, FETCH_TASKS, FETCH_THREADS
 
 
 def fetch(
@@ -17,6 +17,7 @@ def fetch(
     fetcher: Callable[[str], bytes],
     store=None,
     n_tasks: int = FETCH_TASKS,
+    threads: int = FETCH_THREADS,
 ) -> DataFrame:
     """One round: fetch what the status table does not list as 'ok', append the outcome to it.
 
@@ -32,7 +33,8 @@ def fetch(
             raise
     else:
         pending = pending_images(pending, done)
-    fetch_images(pending, fetcher, store, n_tasks).write.mode("append").parquet(status_path)
+    outcome = fetch_images(pending, fetcher, store, n_tasks, threads)
+    outcome.write.mode("append").parquet(status_path)
     return fetch_summary(spark.read.schema(FETCH_SCHEMA).parquet(status_path))
 
 

@@ -31,6 +31,7 @@ PUBLIC_ROWS = 25_000
 PRICE_LOW = 5.0
 PRICE_HIGH = 500.0
 FETCH_TASKS = 100
+FETCH_THREADS = 8
 
 # Texts a pandas CSV read takes for missing (exact match, quoted or not).
 NULL_TOKENS = [

@@ -1,4 +1,5 @@
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +106,22 @@ def test_names_that_cannot_be_written_are_errors(spark, tmp_path):
     assert sorted(r.status for r in got.collect()) == ["error", "ok"]
 
 
+@pytest.mark.parametrize("threads", [1, 20])
+def test_links_of_one_task_are_fetched_together(spark, tmp_path, threads):
+    def slow(url):
+        start = time.monotonic()
+        time.sleep(0.1)
+        return f"{start} {time.monotonic()}".encode()
+
+    images = str(tmp_path / "images")
+    table = links(spark, [f"h/{i}" for i in range(20)])
+    got = fetch_images(image_manifest(table, images), slow, n_tasks=1, threads=threads)
+    assert {r.status for r in got.collect()} == {"ok"}
+    spans = [tuple(map(float, (tmp_path / "images" / n).read_text().split())) for n in os.listdir(images)]
+    together = max(sum(a <= start < b for a, b in spans) for start, _ in spans)
+    assert together == 1 if threads == 1 else together > 5
+
+
 def test_nothing_pending(spark, tmp_path):
     empty = fetch_images(image_manifest(links(spark, [None]), "o"), lambda url: b"", n_tasks=2)
     assert empty.collect() == []

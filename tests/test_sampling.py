@@ -63,7 +63,7 @@ def test_copies_of_a_key_at_the_cutoff(spark, method):
         key=lambda k: hashlib.md5(f"42:{k}".encode()).hexdigest(),
     )
     hot_start = keys.index(-1)
-    for n in (hot_start, hot_start + 1, hot_start + 10, hot_start + 299, hot_start + 300, hot_start + 301):
+    for n in (hot_start, hot_start + 10, hot_start + 300):
         got = [r.k for r in sample_exact(third_is_one_key, n, "k", 42).collect()]
         assert sorted(got) == sorted(keys[:n])
     with pytest.raises(ValueError, match="unique"):
