@@ -17,11 +17,15 @@ def split_file(
     priced: bool,
     chunk_rows: int = CHUNK_ROWS,
     mode: str = "errorifexists",
+    one_file: bool = True,
 ) -> DataFrame:
-    """Write ``output_path/chunk=k/``; returns the rows per chunk, counted on the written output."""
+    """Write ``output_path/chunk=k/``; returns the rows per chunk, counted on the written output.
+
+    ``one_file`` as in ``write_chunks``.
+    """
     rows = read_products(spark, products_path, priced, file_order=True)
     with released_after(spark):
-        write_chunks(with_chunk(file_row_index(rows), chunk_rows), output_path, mode=mode)
+        write_chunks(with_chunk(file_row_index(rows), chunk_rows), output_path, mode=mode, one_file=one_file)
     schema = TRAIN_SCHEMA if priced else TEST_SCHEMA
     return chunk_counts(read_chunks(spark, output_path, schema))
 

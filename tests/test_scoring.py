@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pricemill.operators.leaderboard import leaderboard, public_score
+from pricemill.operators.leaderboard import leaderboard, public_score, score_submissions
 from pricemill.operators.predict import predict
 from pricemill.operators.scoring import error_metrics, smape
 from pricemill.operators.validation import check_submission, evaluate_submission
@@ -158,3 +158,51 @@ def test_ties_and_unscored_submissions(spark):
     assert {k for k, r in got.items() if r.ok} == {"a", "b", "c"}
     assert got["a"].public_rank == 1 and got["c"].public_rank == 3
     assert got["short"].public_smape is None and got["short"].final_smape is None
+
+
+def test_checks_agree_with_plain_python(spark):
+    rng = random.Random(8)
+    truth = {i: rng.uniform(1, 100) for i in range(60)}
+    rows = []
+    for name in range(30):
+        ids = list(truth)
+        if name % 2:
+            ids = rng.sample(ids, rng.randint(50, 60)) + rng.choices(range(80), k=rng.randint(0, 5))
+        bad = [0.0, -3.0, None, float("nan"), float("inf")]
+        risk = 0.05 if name % 3 == 0 else 0
+        rows += [
+            (name, i, rng.choice(bad) if rng.random() < risk else rng.uniform(1, 100)) for i in ids
+        ]
+    table = spark.createDataFrame(rows, "submission_id int, sample_id bigint, price double")
+    truth_table = prices(spark, truth)
+    public = F.col("sample_id") < 20
+    scored = {r.submission_id: r for r in score_submissions(table, truth_table, public).collect()}
+
+    def smape_over(pairs, ids):
+        return round(sum(100 * abs(pairs[i] - truth[i]) / ((pairs[i] + truth[i]) / 2) for i in ids) / len(ids), 6)
+
+    n_ok = 0
+    for name in range(30):
+        mine = [(i, p) for s, i, p in rows if s == name]
+        ids = [i for i, _ in mine]
+        expected = (
+            len(set(truth) - set(ids)),
+            len(set(ids) - set(truth)),
+            sum(ids.count(i) > 1 for i in set(ids)),
+            sum(p is None or not math.isfinite(p) or p <= 0 for _, p in mine),
+        )
+        got = scored[name]
+        assert (got.missing, got.extra, got.dup_ids, got.bad_price) == expected
+        assert got.n_got == len(mine) and got.ok == (sum(expected) == 0)
+        if got.ok:
+            n_ok += 1
+            pairs = dict(mine)
+            assert got.final_smape == pytest.approx(smape_over(pairs, truth), abs=2e-6)
+            assert got.public_smape == pytest.approx(smape_over(pairs, range(20)), abs=2e-6)
+        else:
+            assert got.final_smape is None and got.public_smape is None
+    assert 0 < n_ok < 30
+    one = table.filter("submission_id = 3").drop("submission_id")
+    alone = check_submission(one, truth_table).first()
+    same = scored[3]
+    assert tuple(alone)[1:] == (same.n_got, same.missing, same.extra, same.dup_ids, same.bad_price, same.ok)
