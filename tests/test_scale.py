@@ -1,6 +1,7 @@
 """Plans that must hold at any size: hot keys, no cross joins, no rows through one task."""
 
 import re
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,18 +102,21 @@ def test_no_query_pairs_all_rows(spark, sf_dir, name, settings):
     assert "BatchEvalPython" not in plan
 
 
-def test_shared_folder_is_the_one_the_session_names(spark):
-    folder = spark.conf.get("spark.checkpoint.dir")
-    assert staging.new_path(spark, "x").startswith(f"{folder}/pricemill/x-")
+def session_with(**settings):
+    values = {name.replace("__", "."): value for name, value in settings.items()}
+    return SimpleNamespace(conf=SimpleNamespace(get=lambda name, default=None: values.get(name, default)))
 
 
-def test_a_cluster_without_a_shared_folder_is_refused():
-    class Conf:
-        def get(self, name, default=None):
-            return {"spark.master": "yarn"}.get(name, default)
+def test_shared_folder_is_the_one_the_session_names():
+    session = session_with(spark__master="yarn", spark__checkpoint__dir="hdfs:///shared/")
+    assert staging.new_path(session, "x").startswith("hdfs:///shared/pricemill/x-")
+
 
-    class Session:
-        conf = Conf()
+def test_a_local_session_may_do_without():
+    folder = staging.shared_folder(session_with(spark__master="local[2]"))
+    assert folder == staging.shared_folder(session_with(spark__master="local[2]"))
 
+
+def test_a_cluster_without_a_shared_folder_is_refused():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        staging.shared_folder(Session())
+        staging.shared_folder(session_with(spark__master="yarn"))
