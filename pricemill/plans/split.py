@@ -1,4 +1,4 @@
-"""Split a product file into chunks in file order and draw a sample from the first chunk."""
+"""Number the rows of a product file, split it into chunks, draw a sample from the first chunk."""
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,6 +10,24 @@ from pricemill.sources.files import read_chunks, write_chunks
 from pricemill.sources.staging import released_after
 
 
+def land_file(
+    spark: SparkSession,
+    products_path: str,
+    output_path: str,
+    priced: bool,
+    mode: str = "errorifexists",
+) -> DataFrame:
+    """Convert CSV to Parquet once, with the row's position as ``idx``; returns the written table.
+
+    A CSV file with quoted newlines is read by one task, Parquet by as many as needed. ``with_chunk``
+    on the result needs no shuffle.
+    """
+    with released_after(spark):
+        rows = file_row_index(read_products(spark, products_path, priced, file_order=True))
+        rows.write.mode(mode).parquet(output_path)
+    return spark.read.schema(rows.schema).parquet(output_path)
+
+
 def split_file(
     spark: SparkSession,
     products_path: str,

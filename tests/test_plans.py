@@ -5,6 +5,7 @@ import pytest
 
 from pricemill import plans
 from pricemill.__main__ import main
+from pricemill.operators.chunking import chunk_counts, with_chunk
 from pricemill.operators.predict import row_predictor
 from pricemill.schema import TRAIN_SCHEMA
 from pricemill.sources import staging
@@ -65,6 +66,16 @@ def test_chunks_follow_the_file(spark, tmp_path, train_file):
         assert list(got["catalog_content"]) == list(block["catalog_content"])
 
 
+def test_land_file(spark, tmp_path, train_file):
+    path, frame = train_file
+    table = plans.land_file(spark, path, f"{tmp_path}/table", priced=True)
+    got = table.orderBy("idx").toPandas()
+    assert list(got["idx"]) == list(range(230)) and list(got["sample_id"]) == list(frame["sample_id"])
+    chunked = with_chunk(table, 100)
+    assert {r.chunk: r.n_rows for r in chunk_counts(chunked).collect()} == {1: 100, 2: 100, 3: 30}
+    assert "Exchange" not in chunked._jdf.queryExecution().executedPlan().toString()
+
+
 def test_evaluate_and_rank(spark, tmp_path, train_file):
     path, frame = train_file
     truth = spark.createDataFrame(frame[["sample_id", "price"]])
