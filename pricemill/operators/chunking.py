@@ -7,18 +7,25 @@ from pricemill.schema import CHUNK_ROWS
 from pricemill.sources.csv import FILE_ORDER
 from pricemill.sources.staging import staged
 
-_ROW_IN_PARTITION = (1 << 33) - 1
 _MAX_BROADCAST_RANGES = 100_000
 
 
+def _row_in_partition():
+    return F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+
+
 def row_index(
-    df: DataFrame, order_by: str | list[str], n_ranges: int | None = None
+    df: DataFrame,
+    order_by: str | list[str],
+    n_ranges: int | None = None,
+    spread_copies: bool = False,
 ) -> DataFrame:
     """Add ``idx``: 0, 1, 2, ... along ``order_by``, the same on any partitioning.
 
     Rows with equal keys follow a hash of their other columns, so a key that many rows share is spread
-    over ranges as well; only whole copies of a row stay together. ``n_ranges`` is the number of sorted
-    ranges, ``spark.sql.shuffle.partitions`` or fewer by default; a range should fit an executor.
+    over ranges as well. Whole copies of a row share a range unless ``spread_copies`` is set. ``n_ranges``
+    is the number of sorted ranges, ``spark.sql.shuffle.partitions`` or fewer by default; a range should
+    fit an executor.
 
     One range shuffle sorts the rows into ranges. Range number and offset are written with the rows, so
     both later uses (range sizes, rows) see one and the same layout even if executors are lost. Only the
@@ -28,11 +35,16 @@ def row_index(
     spark = df.sparkSession
     others = [F.col(f"`{name}`") for name in df.columns if name not in keys]
     order = [*keys, F.xxhash64(*others)] if others else keys
+    if spread_copies:
+        # Positions after a local sort: a repeated task gives the copies of a row the same numbers.
+        df = df.sortWithinPartitions(*order).withColumn("_copy", _row_in_partition())
+        order = [*order, "_copy"]
     by_range = df.repartitionByRange(n_ranges, *order) if n_ranges else df.repartitionByRange(*order)
     ranges = (
         by_range.sortWithinPartitions(*order)
         .withColumn("_range", F.spark_partition_id())
-        .withColumn("_offset", F.monotonically_increasing_id().bitwiseAND(_ROW_IN_PARTITION))
+        .withColumn("_offset", _row_in_partition())
+        .drop("_copy")
     )
     ranges = staged(ranges, "row-index")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -94,9 +106,10 @@ def assign_chunks(
     order_by: str | list[str],
     chunk_rows: int = CHUNK_ROWS,
     n_ranges: int | None = None,
+    spread_copies: bool = False,
 ) -> DataFrame:
     """Add ``idx`` and ``chunk``: consecutive blocks of ``chunk_rows`` rows along ``order_by``."""
-    return with_chunk(row_index(df, order_by, n_ranges), chunk_rows)
+    return with_chunk(row_index(df, order_by, n_ranges, spread_copies), chunk_rows)
 
 
 def chunk_counts(chunked: DataFrame) -> DataFrame:

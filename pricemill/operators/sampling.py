@@ -100,6 +100,6 @@ def sample_exact(
     cutoff, below, exact = _cutoff(df, n, digest)
     if exact:
         return df.filter(digest <= cutoff)
-    copies = row_index(df.filter(digest == cutoff), key)
+    copies = row_index(df.filter(digest == cutoff), key, spread_copies=True)
     needed = copies.filter(F.col("idx") < n - below).drop("idx")
     return df.filter(digest < cutoff).unionByName(needed)

@@ -96,6 +96,24 @@ def test_shared_keys_are_spread_and_keep_their_numbers(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_whole_copies_are_spread_on_demand(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(chunking, "staged", lambda df, name: tables.append(staged(df, name)) or tables[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        value = F.when(F.col("id") % 3 == 0, 5000).otherwise(F.col("id"))
+        rows = spark.range(24000).repartition(5).select(value.alias("v"), F.lit("x").alias("text"))
+        indexed = row_index(rows, "v", spread_copies=True)
+        assert indexed.columns == ["v", "text", "idx"]
+        got = sorted((r.idx, r.v) for r in indexed.collect())
+        assert [i for i, _ in got] == list(range(24000))
+        assert [v for _, v in got] == sorted(5000 if i % 3 == 0 else i for i in range(24000))
+        ranges = tables[-1].groupBy("_range").count().collect()
+        assert len(ranges) == 8 and max(r["count"] for r in ranges) < 2 * 24000 / 8
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_index_stays_the_same_on_every_use(spark):
     chunked = assign_chunks(spark.range(3000).withColumn("r", F.rand()), ["r", "id"], 100)
     first = {r.id: r.chunk for r in chunked.collect()}
