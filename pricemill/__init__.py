@@ -6,49 +6,75 @@ from pyspark.cloudpickle import register_pickle_by_value
 
 from pricemill.functions.hashing import hash_price, seeded_digest, unit_hash
 from pricemill.functions.links import link_basename, target_path
+from pricemill.operators.catalog import (
+    clean,
+    ensemble,
+    flag_outliers,
+    in_holdout,
+    pack_quantity,
+    price_fences,
+    profile,
+)
 from pricemill.operators.chunking import (
     assign_chunks,
     chunk_counts,
-    file_row_index,
+    read_indexed_csv,
     row_index,
     with_chunk,
 )
-from pricemill.operators.images import FolderStore, fetch_images, image_manifest, pending_images
+from pricemill.operators.images import (
+    ArrowStore,
+    FolderStore,
+    fetch_images,
+    image_manifest,
+    pending_images,
+)
 from pricemill.operators.leaderboard import leaderboard, public_score, score_submissions
 from pricemill.operators.predict import batch_predictor, hash_predictor, predict, row_predictor
 from pricemill.operators.sampling import in_sample, sample_exact
 from pricemill.operators.scoring import error_metrics, smape
 from pricemill.operators.validation import check_submission, evaluate_submission
-from pricemill.sources.csv import read_csv, read_products, read_submission, write_csv
+from pricemill.sources.csv import headers, read_csv, read_products, read_submission, write_csv
 from pricemill.sources.files import list_files, read_chunks, write_chunks
+from pricemill.sources.staging import released_after
 
 # Functions of this package reach the Python workers by value, so executors need no copy of it.
 register_pickle_by_value(sys.modules[__name__])
 
 __all__ = [
+    "ArrowStore",
     "FolderStore",
     "assign_chunks",
     "batch_predictor",
     "check_submission",
     "chunk_counts",
+    "clean",
+    "ensemble",
     "error_metrics",
     "evaluate_submission",
     "fetch_images",
-    "file_row_index",
+    "flag_outliers",
     "hash_predictor",
     "hash_price",
+    "headers",
     "image_manifest",
+    "in_holdout",
     "in_sample",
     "leaderboard",
     "link_basename",
     "list_files",
+    "pack_quantity",
     "pending_images",
     "predict",
+    "price_fences",
+    "profile",
     "public_score",
     "read_chunks",
     "read_csv",
+    "read_indexed_csv",
     "read_products",
     "read_submission",
+    "released_after",
     "row_index",
     "row_predictor",
     "sample_exact",

@@ -1,4 +1,4 @@
-"""Command line for the whole jobs: ``spark-submit run.py predict products.csv out`` and the like."""
+"""Command line for the whole jobs: ``python -m pricemill predict products.csv out`` and the like."""
 
 import argparse
 
@@ -43,6 +43,8 @@ def parser() -> argparse.ArgumentParser:
 
     for job in (predict, split, sample):
         job.add_argument("--overwrite", action="store_true")
+    for job in (predict, split):
+        job.add_argument("--one-line", action="store_true", help="no text holds a newline: split large files")
     return top
 
 
@@ -51,11 +53,11 @@ def main(arguments: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName(f"pricemill-{args.job}").getOrCreate()
     mode = "overwrite" if getattr(args, "overwrite", False) else "errorifexists"
     if args.job == "predict":
-        plans.predict_file(spark, args.products, args.output, mode=mode).show(truncate=False)
+        plans.predict_file(spark, args.products, args.output, mode=mode, multi_line=not args.one_line).show(truncate=False)
         read_submission(spark, args.output).show(5)
     elif args.job == "split":
         counts = plans.split_file(
-            spark, args.products, args.output, args.priced, args.chunk_rows, mode
+            spark, args.products, args.output, args.priced, args.chunk_rows, mode, multi_line=not args.one_line
         )
         counts.orderBy("chunk").show()
     elif args.job == "sample":

@@ -7,9 +7,16 @@ from pricemill.schema import PRICE_HIGH, PRICE_LOW
 
 
 def seeded_digest(seed, *keys: str | Column) -> Column:
-    """Hex md5 of ``seed:key[:key...]``."""
+    """Hex md5 of ``seed:key`` for one key, else of ``seed`` and ``:length:key`` of every key.
+
+    Lengths tell ('a:b', 'c') from ('a', 'b:c'). A null among several keys is ``:-``; one null key alone
+    gives the digest of the seed.
+    """
     texts = [(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *texts))
+    if len(texts) == 1:
+        return F.md5(F.concat_ws(":", F.lit(str(seed)), *texts))
+    parts = [F.coalesce(F.concat(F.lit(":"), F.length(t).cast("string"), F.lit(":"), t), F.lit(":-")) for t in texts]
+    return F.md5(F.concat(F.lit(str(seed)), *parts))
 
 
 def unit_hash(seed, *keys: str | Column) -> Column:

@@ -34,24 +34,39 @@ def image_manifest(products: DataFrame, folder: str) -> DataFrame:
 def pending_images(manifest: DataFrame, present: DataFrame) -> DataFrame:
     """Manifest rows whose file is not there yet.
 
-    ``present`` has a ``filename`` column; where it also has ``status`` (a fetch table), only rows with
-    status 'ok' count as present, so failed links are tried again.
+    ``present`` has a ``path`` or, if all files lie in one folder, a ``filename`` column; where it also has
+    ``status`` (a fetch table), only rows with status 'ok' count as present, so failed links are tried again.
     """
     if "status" in present.columns:
         present = present.filter(F.col("status") == "ok")
-    return manifest.join(present.select("filename").distinct(), "filename", "left_anti")
+    key = "path" if "path" in present.columns else "filename"
+    return manifest.join(present.select(key).distinct(), key, "left_anti")
 
 
 class FolderStore:
-    """Files in a folder that every executor can reach under the same path."""
+    """Files in a folder that every executor reaches under the same path: one machine, or a shared mount.
+
+    ``shared`` is the caller's word that the folder is mounted on every machine of a cluster; without it
+    ``fetch_images`` refuses this store in a session that is not local.
+    """
+
+    def __init__(self, shared: bool = False):
+        self.shared = shared
+
+    @staticmethod
+    def _local(path: str) -> str:
+        if "://" in path or path.startswith("file:"):
+            raise ValueError(f"{path} is not a plain folder: use ArrowStore")
+        return path
 
     def size(self, path: str) -> int | None:
         """Size of a file that is already there, else None."""
+        path = self._local(path)
         return os.path.getsize(path) if os.path.exists(path) else None
 
     def save(self, path: str, content: bytes) -> None:
         """Write under a temporary name, then rename: a file under its final name is whole."""
-        folder, name = os.path.split(path)
+        folder, name = os.path.split(self._local(path))
         os.makedirs(folder, exist_ok=True)
         part = os.path.join(folder, f".{uuid.uuid4().hex}.part")
         try:
@@ -64,6 +79,42 @@ class FolderStore:
             raise
 
 
+class ArrowStore:
+    """Files of a file system that paths name by a scheme (hdfs, s3, gs, file), through pyarrow."""
+
+    @staticmethod
+    def _open(path: str):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(path)
+
+    def size(self, path: str) -> int | None:
+        from pyarrow import fs
+
+        system, plain = self._open(path)
+        info = system.get_file_info(plain)
+        return info.size if info.type == fs.FileType.File else None
+
+    def save(self, path: str, content: bytes) -> None:
+        system, plain = self._open(path)
+        folder, _, name = plain.rpartition("/")
+        system.create_dir(folder, recursive=True)
+        part = f"{folder}/.{uuid.uuid4().hex}.part"
+        try:
+            with system.open_output_stream(part) as out:
+                out.write(content)
+            system.move(part, plain)
+        except BaseException:
+            if self.size(f"{path[: path.rindex('/')]}/{part.rpartition('/')[2]}") is not None:
+                system.delete_file(part)
+            raise
+
+
+def store_for(folder: str):
+    """The store for a folder: ``ArrowStore`` if it has a scheme, else ``FolderStore``."""
+    return ArrowStore() if "://" in folder else FolderStore()
+
+
 def fetch_images(
     pending: DataFrame,
     fetcher: Callable[[str], bytes],
@@ -71,7 +122,7 @@ def fetch_images(
     n_tasks: int = FETCH_TASKS,
     threads: int = FETCH_THREADS,
 ) -> DataFrame:
-    """Fetch every pending link; returns ``filename, url, status, n_bytes, error`` per file.
+    """Fetch every pending link; returns ``filename, url, path, status, n_bytes, error`` per file.
 
     ``fetcher(url)`` returns the bytes or raises. A failed link becomes a row with status 'error' and
     does not stop the others. A file that is there already is not fetched again, so a repeated task does
@@ -81,6 +132,9 @@ def fetch_images(
     open at once; use ``threads=1`` for a fetcher that is not thread-safe.
     """
     store = store or FolderStore()
+    master = pending.sparkSession.conf.get("spark.master", "")
+    if isinstance(store, FolderStore) and not (store.shared or master.startswith("local")):
+        raise ValueError("executors of a cluster have folders of their own: use ArrowStore or FolderStore(shared=True)")
 
     def fetch_one(url, path):
         try:
@@ -101,6 +155,7 @@ def fetch_images(
                 outcome["n_bytes"] = outcome["n_bytes"].astype("Int64")
                 outcome.insert(0, "filename", batch["filename"].to_numpy())
                 outcome.insert(1, "url", batch["url"].to_numpy())
+                outcome.insert(2, "path", batch["path"].to_numpy())
                 yield outcome
 
     work = pending.select("filename", "url", "path").repartition(n_tasks, "filename")

@@ -3,6 +3,7 @@
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,42 +20,61 @@ def hash_predictor(seed=SAMPLE_SEED) -> Predictor:
     return lambda products: hash_price(seed, "sample_id")
 
 
+def _predictor(
+    price_of: Callable[..., Callable[[list[pa.Array]], pa.Array]], inputs: Sequence[str]
+) -> Predictor:
+    """Predictor from a maker of functions of Arrow columns; one function per task."""
+
+    def prices(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        price = price_of()
+        for batch in batches:
+            yield price(list(batch))
+
+    def prices_of_one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from prices((batch,) for batch in batches)
+
+    udf = F.arrow_udf(prices_of_one if len(inputs) == 1 else prices, "double")
+    return lambda products: udf(*[products[name] for name in inputs])
+
+
 def batch_predictor(
     make_model: Callable[[], Callable[..., pd.Series]], inputs: Sequence[str] = INPUTS
 ) -> Predictor:
     """Predictor from Python code that works on whole batches.
 
-    ``make_model`` runs once per task and returns a function of one Series per input column. Only the
-    input columns are sent to Python.
+    ``make_model`` runs once per task and returns a function of one Series per input column. Whole numbers
+    are nullable ``Int64`` in every batch, with or without nulls. Only the input columns are sent to Python.
     """
 
-    def price(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    def price_of():
         model = make_model()
-        for batch in batches:
-            yield pd.Series(model(*batch)).astype("float64")
+        types = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}
 
-    def price_of_one(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        yield from price((batch,) for batch in batches)
+        def price(columns):
+            series = [column.to_pandas(types_mapper=types.get) for column in columns]
+            return pa.array(pd.Series(model(*series)).astype("float64"), pa.float64(), from_pandas=True)
 
-    udf = F.pandas_udf(price_of_one if len(inputs) == 1 else price, "double")
-    return lambda products: udf(*[products[name] for name in inputs])
+        return price
+
+    return _predictor(price_of, inputs)
 
 
 def row_predictor(function: Callable[..., float], inputs: Sequence[str] = INPUTS) -> Predictor:
     """Predictor from a plain function of one row, ``function(sample_id, catalog_content, image_link)``.
 
-    Missing text and links arrive as None. Rows travel in Arrow batches; a function that can work on
-    whole columns is faster as a ``batch_predictor``.
+    Ids arrive as int and missing values as None, whatever else is in the batch. The function runs once
+    per row: an adapter for a contract of single rows, not the way to write a model; a function that can
+    work on whole columns is faster as a ``batch_predictor``.
     """
 
-    def make_model():
-        def model(*columns):
-            rows = zip(*[column.astype(object).where(column.notna(), None) for column in columns])
-            return pd.Series([function(*row) for row in rows], dtype="float64")
+    def price_of():
+        def price(columns):
+            rows = zip(*[column.to_pylist() for column in columns])
+            return pa.array([function(*row) for row in rows], pa.float64(), from_pandas=True)
 
-        return model
+        return price
 
-    return batch_predictor(make_model, inputs)
+    return _predictor(price_of, inputs)
 
 
 def predict(products: DataFrame, predictor: Predictor | None = None) -> DataFrame:

@@ -7,35 +7,24 @@ from pricemill.functions.hashing import seeded_digest
 from pricemill.operators.chunking import row_index
 from pricemill.schema import SAMPLE_ROWS, SAMPLE_SEED
 
-# Up to this size the cut-off is the last of the top n hashes; above it, it is searched by counting.
-_TOP_N_ROWS = 1_000
-# Hex digits of the hash counted per pass; a pass groups by at most 16**3 new values.
-_DIGITS = (3, 6, 9, 32)
-# Once the bucket of the cut-off is this small, the next pass counts whole hashes.
-_SMALL_BUCKET = 100_000
+# Hex digits of the hash counted per pass; a pass groups by at most 16**4 new values.
+_DIGITS = (4, 8, 12, 16, 20, 24, 28, 32)
 
 
 def _too_many(n: int, total: int) -> ValueError:
     return ValueError(f"cannot sample {n} rows out of {total} without replacement")
 
 
-def _top_n_cutoff(hashes: DataFrame, n: int) -> tuple[str, int, bool]:
-    """From the n + 1 smallest hashes."""
-    top = [row.digest for row in hashes.orderBy("digest").limit(n + 1).collect()]
-    if len(top) < n:
-        raise _too_many(n, len(top))
-    cutoff = top[n - 1]
-    return cutoff, top.index(cutoff), cutoff not in top[n:]
-
+def _cutoff(df: DataFrame, n: int, digest: Column) -> tuple[str, int, bool]:
+    """A prefix of hashes up to which n rows are reached, the rows below it, and whether it ends at n.
 
-def _counted_cutoff(hashes: DataFrame, n: int) -> tuple[str, int, bool]:
-    """By counting rows per hash prefix, and again inside the prefix that holds the n-th hash."""
+    Counts rows per hash prefix, and again inside the prefix that holds the n-th hash, until a prefix ends
+    at exactly n rows or is a whole hash. Reads the key alone; one row per pass reaches the driver.
+    """
+    hashes = df.select(digest.alias("digest"))
     running = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    prefix, below, bucket_rows = "", 0, None
-    while len(prefix) < _DIGITS[-1]:
-        digits = next(d for d in _DIGITS if d > len(prefix))
-        if bucket_rows is not None and bucket_rows <= _SMALL_BUCKET:
-            digits = _DIGITS[-1]
+    prefix, below = "", 0
+    for digits in _DIGITS:
         inside = hashes.filter(F.col("digest").startswith(prefix)) if prefix else hashes
         counts = (
             inside.groupBy(F.substring("digest", 1, digits).alias("bucket"))
@@ -49,18 +38,11 @@ def _counted_cutoff(hashes: DataFrame, n: int) -> tuple[str, int, bool]:
         ).first()
         if hit.first is None:
             raise _too_many(n, hit.total)
-        prefix, bucket_rows = hit.first.bucket, hit.first.rows
-        below += hit.first.upto - bucket_rows
-    return prefix, below, below + bucket_rows == n
-
-
-def _cutoff(df: DataFrame, n: int, digest: Column) -> tuple[str, int, bool]:
-    """The n-th smallest hash, the rows below it, and whether the rows up to it are n.
-
-    Reads the key alone and returns a few values to the driver.
-    """
-    find = _top_n_cutoff if n <= _TOP_N_ROWS else _counted_cutoff
-    return find(df.select(digest.alias("digest")), n)
+        prefix = hit.first.bucket
+        below += hit.first.upto - hit.first.rows
+        if below + hit.first.rows == n:
+            return prefix, below, True
+    return prefix, below, False
 
 
 def _sample_digest(n: int, key: str | list[str], seed) -> Column:
@@ -83,7 +65,7 @@ def in_sample(
     cutoff, _, exact = _cutoff(df, n, digest)
     if not exact:
         raise ValueError(f"{key!r} has copies at row {n} of the sample order: it must be unique")
-    return digest <= cutoff
+    return F.substring(digest, 1, len(cutoff)) <= cutoff
 
 
 def sample_exact(
@@ -99,7 +81,7 @@ def sample_exact(
         return df.filter(F.lit(False))
     cutoff, below, exact = _cutoff(df, n, digest)
     if exact:
-        return df.filter(digest <= cutoff)
-    copies = row_index(df.filter(digest == cutoff), key, spread_copies=True)
+        return df.filter(F.substring(digest, 1, len(cutoff)) <= cutoff)
+    copies = row_index(df.filter(digest == cutoff), key)
     needed = copies.filter(F.col("idx") < n - below).drop("idx")
     return df.filter(digest < cutoff).unionByName(needed)

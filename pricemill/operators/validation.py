@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pricemill.functions.errors import bad_price, mae_of, not_a_number, r2_of, rmse_of, smape_of
 
-_FAULTS = ("missing", "extra", "dup_ids", "bad_price")
+_FAULTS = ("missing", "extra", "dup_ids", "bad_price", "dup_truth")
 
 
 def _counts() -> list[Column]:
@@ -19,6 +19,7 @@ def _counts() -> list[Column]:
         F.count_if(~wanted & (got > 0)).alias("extra"),
         F.count_if(got > 1).alias("dup_ids"),
         F.coalesce(F.sum("bad"), F.lit(0)).alias("bad_price"),
+        F.count_if(F.col("expected") > 1).alias("dup_truth"),
     ]
 
 
@@ -27,7 +28,7 @@ def no_faults() -> Column:
     return reduce(Column.__and__, [F.col(fault) == 0 for fault in _FAULTS])
 
 
-def _by_id(submission: DataFrame, expected: DataFrame) -> DataFrame:
+def by_id(submission: DataFrame, expected: DataFrame) -> DataFrame:
     """One row per id of either table.
 
     Both tables go through one grouping, which counts rows per id before the shuffle: an id repeated
@@ -64,11 +65,12 @@ def _by_id(submission: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def check_submission(submission: DataFrame, expected: DataFrame) -> DataFrame:
-    """One row: ``n_expected, n_got, missing, extra, dup_ids, bad_price, ok``.
+    """One row: ``n_expected, n_got, missing, extra, dup_ids, bad_price, dup_truth, ok``.
 
-    ``missing``, ``extra`` and ``dup_ids`` count ids, ``n_got`` and ``bad_price`` count rows.
+    ``n_got`` and ``bad_price`` count rows, the others ids. ``dup_truth`` counts the expected ids that come
+    more than once: no submission can be right against such a table, so ``ok`` is false then.
     """
-    return _by_id(submission, expected.select("sample_id")).agg(*_counts()).withColumn("ok", no_faults())
+    return by_id(submission, expected.select("sample_id")).agg(*_counts()).withColumn("ok", no_faults())
 
 
 def evaluate_submission(submission: DataFrame, truth: DataFrame) -> DataFrame:
@@ -78,7 +80,7 @@ def evaluate_submission(submission: DataFrame, truth: DataFrame) -> DataFrame:
     """
     predicted, actual = F.col("predicted"), F.col("actual")
     checked = (
-        _by_id(submission, truth)
+        by_id(submission, truth)
         .agg(
             *_counts(),
             F.count_if((F.col("expected") > 0) & not_a_number(actual)).alias("bad_truth"),

@@ -13,11 +13,14 @@ def predict_file(
     output_path: str,
     predictor: Predictor | None = None,
     mode: str = "errorifexists",
+    **options,
 ) -> DataFrame:
     """Read, predict, write; returns one row ``path, n_rows`` counted on the written output.
 
+    ``options`` are those of ``read_csv``, such as ``multi_line=False``.
+
     The count reads the output again because a predictor may give other values when it is run twice.
     """
-    write_csv(predict(read_products(spark, products_path), predictor), output_path, mode)
+    write_csv(predict(read_products(spark, products_path, **options), predictor), output_path, mode)
     written = read_submission(spark, output_path)
     return written.agg(F.lit(output_path).alias("path"), F.count("*").alias("n_rows"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricemill.operators.chunking import chunk_counts, file_row_index, with_chunk
+from pricemill.operators.chunking import chunk_counts, read_indexed_csv, with_chunk
 from pricemill.operators.sampling import sample_exact
 from pricemill.schema import CHUNK_ROWS, SAMPLE_ROWS, SAMPLE_SEED, TEST_SCHEMA, TRAIN_SCHEMA
 from pricemill.sources.csv import read_products, write_csv
@@ -16,14 +16,15 @@ def land_file(
     output_path: str,
     priced: bool,
     mode: str = "errorifexists",
+    **options,
 ) -> DataFrame:
     """Convert CSV to Parquet once, with the row's position as ``idx``; returns the written table.
 
     A CSV file with quoted newlines is read by one task, Parquet by as many as needed. ``with_chunk``
-    on the result needs no shuffle.
+    on the result needs no shuffle. ``options`` are those of ``read_csv``, such as ``multi_line=False``.
     """
     with released_after(spark):
-        rows = file_row_index(read_products(spark, products_path, priced, file_order=True))
+        rows = read_indexed_csv(spark, products_path, TRAIN_SCHEMA if priced else TEST_SCHEMA, **options)
         rows.write.mode(mode).parquet(output_path)
     return spark.read.schema(rows.schema).parquet(output_path)
 
@@ -36,15 +37,16 @@ def split_file(
     chunk_rows: int = CHUNK_ROWS,
     mode: str = "errorifexists",
     one_file: bool = True,
+    **options,
 ) -> DataFrame:
     """Write ``output_path/chunk=k/``; returns the rows per chunk, counted on the written output.
 
-    ``one_file`` as in ``write_chunks``.
+    ``one_file`` as in ``write_chunks``, ``options`` as in ``read_csv``.
     """
-    rows = read_products(spark, products_path, priced, file_order=True)
-    with released_after(spark):
-        write_chunks(with_chunk(file_row_index(rows), chunk_rows), output_path, mode=mode, one_file=one_file)
     schema = TRAIN_SCHEMA if priced else TEST_SCHEMA
+    with released_after(spark):
+        rows = with_chunk(read_indexed_csv(spark, products_path, schema, **options), chunk_rows)
+        write_chunks(rows, output_path, mode=mode, one_file=one_file)
     return chunk_counts(read_chunks(spark, output_path, schema))
 
 

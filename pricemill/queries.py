@@ -1,23 +1,22 @@
 """The operators as queries over a folder of Parquet tables, each with its SQL twin."""
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricemill.functions.hashing import hash_price
-from pricemill.functions.links import link_basename
-from pricemill.operators.chunking import assign_chunks, chunk_counts, file_row_index, with_chunk
-from pricemill.operators.images import fetch_images, image_manifest, pending_images
+from pricemill.functions.links import link_basename, target_path
+from pricemill.operators import catalog
+from pricemill.operators.chunking import assign_chunks, chunk_counts, read_indexed_csv, with_chunk
+from pricemill.operators.images import fetch_images, image_manifest, pending_images, store_for
 from pricemill.operators.leaderboard import leaderboard, public_score
 from pricemill.operators.predict import batch_predictor, hash_predictor, predict, row_predictor
 from pricemill.operators.sampling import sample_exact
 from pricemill.operators.scoring import error_metrics, smape
 from pricemill.operators.validation import check_submission, evaluate_submission
 from pricemill.schema import NULL_TOKENS, SUBMISSION_SCHEMA, TRAIN_SCHEMA
-from pricemill.sources.csv import read_csv, read_products, read_submission, write_csv
-from pricemill.sources.files import read_chunks, write_chunks
-from pricemill.sources.staging import new_path
+from pricemill.sources.csv import headers, read_products, read_submission, write_csv
+from pricemill.sources.files import list_files, read_chunks, write_chunks
+from pricemill.sources.staging import new_path, staged
 
 IMAGE_FOLDER = "images"
 CHUNK_ROWS = 3750
@@ -54,20 +53,18 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One complete submission per team, and as the last one the order lines, which repeat and miss ids."""
     truth = _truth(spark, sf_dir)
-    complete = [
-        truth.select(
-            F.lit(team).alias("submission_id"),
-            "sample_id",
-            F.round(5 + 495 * _unit(F.lit(team), F.col("sample_id")), 2).alias("price"),
-        )
-        for team in range(1, TEAMS + 1)
-    ]
+    teams = F.explode(F.sequence(F.lit(1), F.lit(TEAMS))).alias("submission_id")
+    complete = truth.select("sample_id", teams).select(
+        "submission_id",
+        "sample_id",
+        F.round(5 + 495 * _unit(F.col("submission_id"), F.col("sample_id")), 2).alias("price"),
+    )
     lines = _table(spark, sf_dir, "lineitem").select(
         F.lit(TEAMS + 1).alias("submission_id"),
         F.col("l_orderkey").alias("sample_id"),
         F.col("l_extendedprice").alias("price"),
     )
-    return reduce(DataFrame.unionByName, complete, lines)
+    return complete.unionByName(lines)
 
 
 def _unit(*keys):
@@ -103,37 +100,78 @@ def submission_roundtrip(spark, sf_dir):
 
 
 def chunk_assign(spark, sf_dir):
-    rows = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    return assign_chunks(rows, ["o_totalprice", "o_orderkey"], CHUNK_ROWS)
+    return assign_chunks(_table(spark, sf_dir, "orders"), ["o_totalprice", "o_orderkey"], CHUNK_ROWS)
+
+
+def chunk_copies(spark, sf_dir):
+    """Rows with nothing but the priority: nearly all are whole copies of each other."""
+    return assign_chunks(_table(spark, sf_dir, "orders").select("o_orderpriority"), "o_orderpriority", CHUNK_ROWS)
+
+
+ORDERS_AS_PRODUCTS = """
+select o_orderkey as sample_id, concat(o_orderpriority, ' ', o_orderstatus, ' ', cast(o_custkey as string)) as catalog_content,
+       o_orderstatus as image_link, o_totalprice as price from orders
+"""
+
+
+def _order_products(spark, sf_dir):
+    text = ORDERS_AS_PRODUCTS.replace("from orders", "from {orders}")
+    return spark.sql(text, orders=_table(spark, sf_dir, "orders"))
 
 
 def chunk_file(spark, sf_dir):
     path = new_path(spark, "chunk-file")
-    write_csv(_truth(spark, sf_dir).orderBy("price", "sample_id"), path)
-    rows = read_csv(spark, path, SUBMISSION_SCHEMA, multi_line=False, file_order=True)
-    return with_chunk(file_row_index(rows), CHUNK_ROWS)
+    write_csv(_order_products(spark, sf_dir).orderBy("price", "sample_id"), path)
+    return with_chunk(read_indexed_csv(spark, path, TRAIN_SCHEMA, multi_line=False), CHUNK_ROWS)
 
 
 def chunk_counts_query(spark, sf_dir):
     return chunk_counts(chunk_assign(spark, sf_dir))
 
 
-def chunk_write(spark, sf_dir):
-    chunked = assign_chunks(_truth(spark, sf_dir), ["price", "sample_id"], CHUNK_ROWS)
+def _written_chunks(spark, sf_dir, **how):
+    chunked = assign_chunks(_order_products(spark, sf_dir), ["price", "sample_id"], CHUNK_ROWS)
     path = new_path(spark, "chunk-write")
-    write_chunks(chunked, path)
+    write_chunks(chunked, path, **how)
+    return path
+
+
+def chunk_write(spark, sf_dir):
+    path = _written_chunks(spark, sf_dir, one_file=False)
     return (
-        read_chunks(spark, path, SUBMISSION_SCHEMA)
+        read_chunks(spark, path, TRAIN_SCHEMA, multi_line=False)
         .groupBy("chunk")
         .agg(
             F.count("*").alias("n_rows"),
             F.min("price").alias("low"),
             F.max("price").alias("high"),
             F.sum("sample_id").alias("id_sum"),
+            F.sum(F.length("catalog_content")).alias("letters"),
         )
     )
 
 
+def list_chunks(spark, sf_dir):
+    files = list_files(spark, _written_chunks(spark, sf_dir))
+    chunk = F.regexp_extract("path", r"/chunk=(\d+)/", 1).cast("bigint")
+    return files.groupBy(chunk.alias("chunk")).agg(F.count("*").alias("n_files"), (F.min("n_bytes") > 0).alias("filled"))
+
+
+def header_check(spark, sf_dir):
+    """Ten folders of one file each, by the last digit of the id; three have headers that differ."""
+    path = new_path(spark, "header-check")
+    truth = _truth(spark, sf_dir).withColumn("digit", F.col("sample_id") % 10)
+    right = truth.filter("digit not in (3, 5, 7)")
+    wrong = truth.filter("digit in (3, 7)").withColumnRenamed("price", "Price")
+    extra = truth.filter("digit = 5").withColumn("note", F.lit("x"))
+    for part in (right, wrong, extra):
+        part.repartition("digit").write.mode("append").partitionBy("digit").option("header", True).csv(path)
+    found = headers(spark, path, SUBMISSION_SCHEMA).select(
+        F.regexp_extract("file", r"/digit=(\d)/", 1).cast("bigint").alias("digit"), "header", "good"
+    )
+    return found.groupBy("digit", "header", "good").agg(F.count("*").alias("n_files"))
+
+
 def sample_exact_query(spark, sf_dir):
     return sample_exact(_table(spark, sf_dir, "orders"), key="o_orderkey")
 
@@ -153,11 +191,17 @@ def predict_project(spark, sf_dir):
 
 def _example_price(sample_id, catalog_content, image_link):
     extra = 0.0 if image_link is not None else 0.5
-    return 5.0 + (len(catalog_content) + sample_id) % 496 + extra
+    if not isinstance(sample_id, (int, type(None))):
+        return -1.0
+    return 5.0 + (len(catalog_content) + (sample_id or 0)) % 496 + extra
 
 
 def predict_rows(spark, sf_dir):
-    return predict(products(spark, sf_dir), row_predictor(_example_price))
+    """Every 50th product has no id: the others keep whole numbers as ids, beyond 2**53 as well."""
+    table = products(spark, sf_dir).withColumn(
+        "sample_id", F.when(F.col("sample_id") % 50 != 0, F.col("sample_id") + 9007199254740993)
+    )
+    return predict(table, row_predictor(_example_price))
 
 
 def _per_letter_model():
@@ -185,6 +229,77 @@ def error_metrics_query(spark, sf_dir):
     return _rounded(error_metrics(predict(table), table), "smape", "mae", "rmse", "r2")
 
 
+def metrics_incomplete(spark, sf_dir):
+    """Order lines as predictions of the parts: ids missing, ids extra, ids repeated."""
+    lines = _table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("sample_id"), F.col("l_extendedprice").alias("price")
+    )
+    table = products(spark, sf_dir)
+    return error_metrics(lines, table)
+
+
+def truth_repeats(spark, sf_dir):
+    """Truth with repeated ids: one price per order line. Nothing can be scored against it."""
+    truth = _table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("sample_id"), F.col("l_extendedprice").alias("price")
+    )
+    return evaluate_submission(predict(truth.select("sample_id").distinct()), truth)
+
+
+FAULTS_SQL = """
+select sample_id, case when sample_id % 107 = 0 then -1 when sample_id % 107 = 1 then cast('NaN' as double)
+                       when sample_id % 107 = 2 then null else 10 end as price
+from (select p_partkey as sample_id from part where p_partkey % 101 != 0
+      union all select -p_partkey - 1 from part where p_partkey % 500 = 0
+      union all select p_partkey from part where p_partkey % 103 = 0 and p_partkey % 101 != 0)
+"""
+
+
+def submission_faults(spark, sf_dir):
+    part = _table(spark, sf_dir, "part")
+    submission = spark.sql(FAULTS_SQL.replace("from part", "from {part}"), part=part)
+    return check_submission(submission, part.select(F.col("p_partkey").alias("sample_id")))
+
+
+def holdout_split(spark, sf_dir):
+    rows = _table(spark, sf_dir, "orders")
+    return rows.select("o_orderkey", "o_totalprice", catalog.in_holdout("o_orderkey", 0.2).alias("holdout"))
+
+
+def catalog_clean(spark, sf_dir):
+    """Parts by name and size stand for products with repeated ids, blank texts and bad prices."""
+    rows = _table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("sample_id"),
+        F.when(F.col("l_linenumber") == 3, "  ").otherwise(F.concat_ws("  ", F.lit(" line"), "l_linenumber")).alias("catalog_content"),
+        (F.col("l_extendedprice") * F.col("l_discount")).alias("price"),
+    )
+    return catalog.clean(rows)
+
+
+def price_outliers(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("price"))
+    return catalog.flag_outliers(rows, 0.5)
+
+
+def price_ensemble(spark, sf_dir):
+    """Two hash models for all parts and one that covers two thirds of them."""
+    table = products(spark, sf_dir)
+    members = {
+        "a": (predict(table, hash_predictor("a")), 2.0),
+        "b": (predict(table, hash_predictor("b")), 1.0),
+        "c": (predict(table.filter("sample_id % 3 != 0"), hash_predictor("c")), 1.0),
+    }
+    return _rounded(catalog.ensemble(members), "price")
+
+
+def pack_quantity(spark, sf_dir):
+    return products(spark, sf_dir).select("sample_id", catalog.pack_quantity().alias("pack"))
+
+
+def catalog_profile(spark, sf_dir):
+    return catalog.profile(products(spark, sf_dir))
+
+
 def submission_check(spark, sf_dir):
     expected = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sample_id"))
     submission = _table(spark, sf_dir, "lineitem").select(
@@ -235,26 +350,27 @@ def image_pending(spark, sf_dir):
     return pending_images(manifest, status)
 
 
-class _DiscardingStore:
-    """Takes contents without keeping them, so that the query leaves no files."""
-
-    def size(self, path):
-        return None
-
-    def save(self, path, content):
-        pass
-
-
 def _echo_fetcher(url):
     if "#" in url:
         raise ValueError("link with a fragment")
     return url.encode()
 
 
+def _refusing_fetcher(url):
+    raise ValueError("not stored")
+
+
 def image_fetch(spark, sf_dir):
     manifest = image_manifest_query(spark, sf_dir)
+    folder = new_path(spark, "images")
+    folder = folder if "://" in folder else folder.removeprefix("file:")
     n_tasks = spark.sparkContext.defaultParallelism
-    return fetch_images(manifest, _echo_fetcher, _DiscardingStore(), n_tasks)
+    work = manifest.withColumn("path", target_path(folder, "filename"))
+    log = staged(fetch_images(work, _echo_fetcher, store_for(folder), n_tasks), "image-log")
+    # The second round finds what the first one stored: the sizes come from the files.
+    again = fetch_images(work, _refusing_fetcher, store_for(folder), n_tasks)
+    both = log.join(again.select("filename", F.col("n_bytes").alias("stored_bytes")), "filename")
+    return both.select("filename", "url", "status", "n_bytes", "stored_bytes", "error")
 
 
 QUERIES = {
@@ -263,7 +379,10 @@ QUERIES = {
     "chunk_assign": chunk_assign,
     "chunk_file": chunk_file,
     "chunk_counts": chunk_counts_query,
+    "chunk_copies": chunk_copies,
     "chunk_write": chunk_write,
+    "list_chunks": list_chunks,
+    "header_check": header_check,
     "sample_exact": sample_exact_query,
     "sample_third": sample_third,
     "sample_first_chunk": sample_first_chunk,
@@ -273,6 +392,15 @@ QUERIES = {
     "prediction_count": prediction_count,
     "smape": smape_query,
     "error_metrics": error_metrics_query,
+    "metrics_incomplete": metrics_incomplete,
+    "truth_repeats": truth_repeats,
+    "submission_faults": submission_faults,
+    "holdout_split": holdout_split,
+    "catalog_clean": catalog_clean,
+    "price_outliers": price_outliers,
+    "price_ensemble": price_ensemble,
+    "pack_quantity": pack_quantity,
+    "catalog_profile": catalog_profile,
     "submission_check": submission_check,
     "submission_evaluate": submission_evaluate,
     "public_score": public_score_query,
@@ -289,15 +417,46 @@ QUERIES = {
 _TOKENS = ", ".join("'" + token + "'" for token in NULL_TOKENS)
 
 
+def _sql_unit(text: str) -> str:
+    return f"(cast(('0x' || substr(md5({text}), 1, 8)) as bigint) / 4294967296.0)"
+
+
 def _sql_price(text: str) -> str:
-    bits = f"cast(('0x' || substr(md5({text}), 1, 8)) as bigint)"
-    return f"round(5 + 495 * ({bits} / 4294967296.0), 2)"
+    return f"round(5 + 495 * {_sql_unit(text)}, 2)"
+
+
+def _sql_check(submission: str, expected: str) -> str:
+    return f"""
+with submitted as ({submission}), expected as ({expected}),
+got as (select sample_id, count(*) as n, count(*) filter (where price is null or isnan(price) or isinf(price) or price <= 0) as bad
+        from submitted group by sample_id),
+wanted as (select sample_id, count(*) as copies from expected group by sample_id),
+ids as (select w.sample_id as e, g.sample_id as g, copies, n, bad
+        from wanted w full outer join got g on w.sample_id = g.sample_id),
+counts as (select count(e) as n_expected, cast(coalesce(sum(n), 0) as bigint) as n_got,
+                  count(*) filter (where g is null) as missing,
+                  count(*) filter (where e is null) as extra,
+                  count(*) filter (where n > 1) as dup_ids,
+                  cast(coalesce(sum(bad), 0) as bigint) as bad_price,
+                  count(*) filter (where copies > 1) as dup_truth
+           from ids)
+select *, missing + extra + dup_ids + bad_price + dup_truth = 0 as ok from counts
+"""
+
+
+# A complete output: the counts are computed all the same.
+_CLEAN_COUNTS = """count(*) as n_pairs, count(*) filter (where a is null or p is null or isnan(p)) as n_bad,
+       (select count(*) from part) - count(a) as n_missing, count(*) - count(a) as n_extra,
+       count(*) - (select count(distinct p_partkey) from part) as n_repeated"""
 
 
 _CHUNKED = f"""
-select o_orderkey, o_totalprice, idx, idx // {CHUNK_ROWS} + 1 as chunk
-from (select o_orderkey, o_totalprice,
-             row_number() over (order by o_totalprice, o_orderkey) - 1 as idx from orders)
+select *, idx // {CHUNK_ROWS} + 1 as chunk
+from (select *, row_number() over (order by o_totalprice, o_orderkey) - 1 as idx from orders)
+"""
+_CHUNKED_PRODUCTS = f"""
+select *, idx // {CHUNK_ROWS} + 1 as chunk
+from (select *, row_number() over (order by price, sample_id) - 1 as idx from ({ORDERS_AS_PRODUCTS}))
 """
 
 _PRICED = f"""
@@ -364,14 +523,26 @@ from documents
 """,
     "submission_roundtrip": "select o_orderkey as sample_id, o_totalprice as price from orders",
     "chunk_assign": _CHUNKED,
-    "chunk_file": f"""
-select o_orderkey as sample_id, o_totalprice as price, idx, chunk from ({_CHUNKED})
+    "chunk_copies": f"""
+select o_orderpriority, idx, idx // {CHUNK_ROWS} + 1 as chunk
+from (select o_orderpriority, row_number() over (order by o_orderpriority) - 1 as idx from orders)
 """,
+    "chunk_file": _CHUNKED_PRODUCTS,
     "chunk_counts": f"select chunk, count(*) as n_rows from ({_CHUNKED}) group by chunk",
     "chunk_write": f"""
-select chunk, count(*) as n_rows, min(o_totalprice) as low, max(o_totalprice) as high,
-       cast(sum(o_orderkey) as bigint) as id_sum
-from ({_CHUNKED}) group by chunk
+select chunk, count(*) as n_rows, min(price) as low, max(price) as high,
+       cast(sum(sample_id) as bigint) as id_sum, cast(sum(length(catalog_content)) as bigint) as letters
+from ({_CHUNKED_PRODUCTS}) group by chunk
+""",
+    "list_chunks": f"""
+select chunk, cast(1 as bigint) as n_files, count(*) > 0 as filled from ({_CHUNKED_PRODUCTS}) group by chunk
+""",
+    "header_check": """
+select digit, header, header = 'sample_id,price' as good, cast(1 as bigint) as n_files
+from (select distinct o_orderkey % 10 as digit,
+             case when o_orderkey % 10 in (3, 7) then 'sample_id,Price'
+                  when o_orderkey % 10 = 5 then 'sample_id,price,note' else 'sample_id,price' end as header
+      from orders)
 """,
     "sample_exact": """
 select * from orders order by md5(concat('42:', o_orderkey)), o_orderkey limit 50
@@ -388,10 +559,11 @@ select * from ({_CHUNKED}) where chunk = 1 order by md5(concat('42:', o_orderkey
 select sample_id, {_sql_price("concat('42:', sample_id)")} as price from ({PRODUCTS_SQL})
 """,
     "predict_rows": f"""
-select sample_id,
-       cast(5 + (length(catalog_content) + sample_id) % 496
+select id as sample_id,
+       cast(5 + (length(catalog_content) + coalesce(id, 0)) % 496
             + case when image_link is null then 0.5 else 0 end as double) as price
-from ({PRODUCTS_SQL})
+from (select *, case when sample_id % 50 != 0 then sample_id + 9007199254740993 end as id
+      from ({PRODUCTS_SQL}))
 """,
     "predict_batches": f"""
 select sample_id, cast(length(catalog_content) / 4 as double) as price from ({PRODUCTS_SQL})
@@ -399,40 +571,97 @@ select sample_id, cast(length(catalog_content) / 4 as double) as price from ({PR
     "prediction_count": "select count(*) as n_predictions from part",
     "smape": f"""
 {_PRICED}
-select count(*) as n_pairs, cast(0 as bigint) as n_bad, round(avg(s), 6) as smape from terms
+select {_CLEAN_COUNTS}, round(avg(s), 6) as smape from terms
 """,
     "error_metrics": f"""
 {_PRICED}
-select count(*) as n_pairs, cast(0 as bigint) as n_bad, round(avg(s), 6) as smape,
+select {_CLEAN_COUNTS}, round(avg(s), 6) as smape,
        round(avg(abs(e)), 6) as mae, round(sqrt(avg(e * e)), 6) as rmse,
        round(1 - sum(e * e) / (var_pop(a) * count(*)), 6) as r2
 from terms
 """,
-    "submission_check": """
-with got as (select l_orderkey as sample_id, count(*) as n,
-                    count(*) filter (where l_extendedprice * l_discount <= 0) as bad
-             from lineitem group by l_orderkey),
-ids as (select p_partkey as e, sample_id as g, n, bad
-        from part full outer join got on p_partkey = sample_id),
-counts as (select count(e) as n_expected, cast(sum(n) as bigint) as n_got,
-                  count(*) filter (where g is null) as missing,
-                  count(*) filter (where e is null) as extra,
-                  count(*) filter (where n > 1) as dup_ids,
-                  cast(sum(bad) as bigint) as bad_price
-           from ids)
-select *, missing = 0 and extra = 0 and dup_ids = 0 and bad_price = 0 as ok from counts
+    "metrics_incomplete": """
+with got as (select l_orderkey as g, count(*) as n from lineitem group by l_orderkey),
+ids as (select p_partkey as e, g, n from part full outer join got on p_partkey = g)
+select count(*) filter (where e is not null and g is not null) as n_pairs, cast(0 as bigint) as n_bad,
+       count(*) filter (where g is null) as n_missing, count(*) filter (where e is null) as n_extra,
+       count(*) filter (where n > 1) as n_repeated,
+       cast(null as double) as smape, cast(null as double) as mae, cast(null as double) as rmse,
+       cast(null as double) as r2
+from ids
+""",
+    "truth_repeats": f"""
+with ids as (select l_orderkey, count(*) as n from lineitem group by l_orderkey)
+select count(*) as n_expected, count(*) as n_got, count(*) filter (where n < 1) as missing,
+       count(*) filter (where n < 1) as extra, count(*) filter (where n < 1) as dup_ids,
+       count(*) filter (where not {_sql_price("concat('42:', l_orderkey)")} > 0) as bad_price,
+       count(*) filter (where n > 1) as dup_truth, count(*) filter (where n > 1) = 0 as ok,
+       cast(null as double) as smape, cast(null as double) as mae, cast(null as double) as rmse,
+       cast(null as double) as r2
+from ids
 """,
+    "submission_faults": _sql_check(FAULTS_SQL, "select p_partkey as sample_id from part"),
+    "submission_check": _sql_check(
+        "select l_orderkey as sample_id, l_extendedprice * l_discount as price from lineitem",
+        "select p_partkey as sample_id from part",
+    ),
     "submission_evaluate": f"""
-with pairs as (select o_totalprice as a, {_sql_price("concat('42:', o_orderkey)")} as p from orders),
+with pairs as (select o_orderkey, o_totalprice as a, {_sql_price("concat('42:', o_orderkey)")} as p from orders),
+checked as ({_sql_check("select o_orderkey as sample_id, p as price from pairs", "select o_orderkey as sample_id from orders")}),
 terms as (select a, p, p - a as e,
                  case when abs(a) + abs(p) = 0 then 0
-                      else 100 * (abs(p - a) / ((abs(a) + abs(p)) / 2)) end as s from pairs)
-select count(*) as n_expected, count(*) as n_got, cast(0 as bigint) as missing,
-       cast(0 as bigint) as extra, cast(0 as bigint) as dup_ids, cast(0 as bigint) as bad_price,
-       true as ok, round(avg(s), 6) as smape, round(avg(abs(e)), 6) as mae,
-       round(sqrt(avg(e * e)), 6) as rmse,
-       round(1 - sum(e * e) / (var_pop(a) * count(*)), 6) as r2
-from terms
+                      else 100 * (abs(p - a) / ((abs(a) + abs(p)) / 2)) end as s from pairs),
+metrics as (select round(avg(s), 6) as smape, round(avg(abs(e)), 6) as mae, round(sqrt(avg(e * e)), 6) as rmse,
+                   round(1 - sum(e * e) / (var_pop(a) * count(*)), 6) as r2 from terms)
+select * from checked, metrics
+""",
+    "holdout_split": f"""
+select o_orderkey, o_totalprice, {_sql_unit("concat('42:', o_orderkey)")} < 0.2 as holdout from orders
+""",
+    "catalog_clean": """
+with rows as (select l_orderkey as sample_id, concat('line ', l_linenumber) as catalog_content,
+                     l_extendedprice * l_discount as price
+              from lineitem where l_linenumber != 3 and l_extendedprice * l_discount > 0)
+select sample_id, catalog_content, price
+from (select *, row_number() over (partition by sample_id order by catalog_content, price) as k from rows)
+where k = 1
+""",
+    "price_outliers": """
+with places as (select l_extendedprice as p, row_number() over (order by l_extendedprice) as k,
+                       count(*) over () as n from lineitem),
+quartiles as (select max(p) filter (where k = (n + 3) // 4) as q1,
+                     max(p) filter (where k = (3 * n + 3) // 4) as q3 from places)
+select l_orderkey, l_linenumber, l_extendedprice as price,
+       l_extendedprice < q1 - 0.5 * (q3 - q1) or l_extendedprice > q3 + 0.5 * (q3 - q1) as outlier
+from lineitem, quartiles
+""",
+    "price_ensemble": f"""
+with models as (select sample_id, {_sql_price("concat('a:', sample_id)")} as a,
+                       {_sql_price("concat('b:', sample_id)")} as b,
+                       case when sample_id % 3 != 0 then {_sql_price("concat('c:', sample_id)")} end as c
+                from ({PRODUCTS_SQL}))
+select sample_id, round((2 * a + b + coalesce(c, 0)) / (case when c is null then 3 else 4 end), 6) as price,
+       cast(case when c is null then 2 else 3 end as bigint) as n_members,
+       cast(case when c is null then 1 else 0 end as double) as missing_weight
+from models
+""",
+    "pack_quantity": "select p_partkey as sample_id, cast(p_size as bigint) as pack from part",
+    "catalog_profile": f"""
+with products as ({PRODUCTS_SQL})
+select 'sample_id' as "column", count(*) as n_rows, count(*) - count(sample_id) as n_nulls,
+       cast(null as integer) as shortest, cast(null as integer) as longest, count(distinct sample_id) as n_distinct
+from products
+union all
+select 'catalog_content', count(*), count(*) - count(catalog_content),
+       cast(min(length(catalog_content)) as integer), cast(max(length(catalog_content)) as integer),
+       count(distinct catalog_content)
+from products
+union all
+select 'image_link', count(*), count(*) - count(image_link), cast(min(length(image_link)) as integer),
+       cast(max(length(image_link)) as integer), count(distinct image_link)
+from products
+union all
+select 'price', count(*), count(*) - count(price), null, null, count(distinct price) from products
 """,
     "public_score": f"""
 {_SCORES}
@@ -456,6 +685,7 @@ select * from ({_PAGE_MANIFEST}) where substr(md5(filename), 1, 1) >= '8'
 select filename, url,
        case when contains(url, '#') then 'error' else 'ok' end as status,
        case when not contains(url, '#') then cast(strlen(url) as bigint) end as n_bytes,
+       case when not contains(url, '#') then cast(strlen(url) as bigint) end as stored_bytes,
        case when contains(url, '#') then 'ValueError: link with a fragment' end as error
 from ({_PAGE_MANIFEST})
 """,

@@ -17,6 +17,7 @@ FETCH_SCHEMA = T.StructType(
     [
         T.StructField("filename", T.StringType()),
         T.StructField("url", T.StringType()),
+        T.StructField("path", T.StringType()),
         T.StructField("status", T.StringType()),
         T.StructField("n_bytes", T.LongType()),
         T.StructField("error", T.StringType()),

@@ -38,7 +38,7 @@ def read_chunks(
     full = T.StructType([*schema.fields, T.StructField("chunk", T.LongType())])
     if file_format == "parquet":
         return spark.read.schema(full).parquet(path)
-    return read_csv(spark, path, full, **options)
+    return read_csv(spark, path, full, from_folders=("chunk",), **options)
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql.types import StructType
 
-from pricemill.operators.chunking import file_row_index, row_index
+from pricemill.operators.chunking import read_indexed_csv, row_index
 from pricemill.schema import NULL_TOKENS, TRAIN_SCHEMA
 from pricemill.sources.csv import FILE_ORDER, read_csv, read_products, read_submission, write_csv
 
@@ -172,21 +172,20 @@ def ordered_files(spark, tmp_path, request):
         spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
         spark.conf.set("spark.sql.files.openCostInBytes", "0")
     schema = StructType.fromDDL("sample_id bigint, price double")
-    rows = read_csv(spark, str(tmp_path), schema, multi_line=not blocks, file_order=True)
-    yield rows, expected
+    yield {"path": str(tmp_path), "schema": schema, "multi_line": not blocks}, expected
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
     spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
-def test_file_order(ordered_files):
-    rows, expected = ordered_files
-    indexed = row_index(rows, list(FILE_ORDER))
+def test_file_order(spark, ordered_files):
+    how, expected = ordered_files
+    indexed = row_index(read_csv(spark, **how, file_order=True), list(FILE_ORDER))
     assert [r.sample_id for r in indexed.orderBy("idx").collect()] == expected
 
 
-def test_file_row_index(ordered_files):
-    rows, expected = ordered_files
-    indexed = file_row_index(rows)
+def test_indexed_csv(spark, ordered_files):
+    how, expected = ordered_files
+    indexed = read_indexed_csv(spark, **how)
     assert indexed.columns == ["sample_id", "price", "idx"]
     got = indexed.orderBy("idx").collect()
     assert [r.sample_id for r in got] == expected and [r.idx for r in got] == list(range(2100))
@@ -194,16 +193,49 @@ def test_file_row_index(ordered_files):
     assert "rangepartitioning" not in plan and "BroadcastHashJoin" in plan
 
 
-def test_file_row_index_needs_all_rows(ordered_files):
-    rows, expected = ordered_files
-    with pytest.raises(Exception, match="rows of a file are missing"):
-        file_row_index(rows.filter(f"sample_id <> {expected[900]}")).collect()
+def test_a_filter_comes_after_the_index(spark, ordered_files):
+    how, expected = ordered_files
+    late = read_indexed_csv(spark, **how).filter("sample_id % 2 = 0").orderBy("idx").collect()
+    assert [(r.idx, r.sample_id) for r in late] == [(i, s) for i, s in enumerate(expected) if s % 2 == 0]
 
 
-def test_file_row_index_of_no_rows(spark, tmp_path):
+@pytest.mark.parametrize("threshold", ["-1", "1g"])
+def test_written_rows_are_never_shuffled_again(spark, ordered_files, threshold):
+    how, _ = ordered_files
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        for indexed in (read_indexed_csv(spark, **how), row_index(spark.range(1000), "id", 300)):
+            plan = indexed._jdf.queryExecution().executedPlan().toString()
+            rows = plan.split("BroadcastExchange")[0]
+            assert "BroadcastHashJoin" in rows and "Exchange hashpartitioning" not in rows
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_numbers_in_file_names_count_as_numbers(spark, tmp_path):
+    names = ["part-99999", "part-100000", "part-9", "train2", "train10", "train010b", "x1y10", "x1y9"]
+    for i, name in enumerate(names):
+        (tmp_path / f"{name}.csv").write_text(f"sample_id,price\n{i},1.0\n")
+    got = read_indexed_csv(spark, str(tmp_path), StructType.fromDDL("sample_id bigint, price double"))
+    order = [names[r.sample_id] for r in got.orderBy("idx").collect()]
+    assert order == ["part-9", "part-99999", "part-100000", "train2", "train10", "train010b", "x1y9", "x1y10"]
+
+
+def test_indexed_csv_of_no_rows(spark, tmp_path):
     write_csv(spark.createDataFrame([], TRAIN_SCHEMA), f"{tmp_path}/t")
-    rows = read_products(spark, f"{tmp_path}/t", priced=True, file_order=True)
-    assert file_row_index(rows).collect() == []
+    assert read_indexed_csv(spark, f"{tmp_path}/t", TRAIN_SCHEMA).collect() == []
+
+
+@pytest.mark.parametrize("header", ["SAMPLE_ID,Price", "sample_id", "sample_id,price,note", "price,sample_id"])
+def test_every_header_is_compared_letter_by_letter(spark, tmp_path, header):
+    for i in range(4):
+        (tmp_path / f"{i}.csv").write_text(f"sample_id,price\n{i},1.0\n")
+    (tmp_path / "2.csv").write_text(header + "\n1,1.0\n")
+    schema = StructType.fromDDL("sample_id bigint, price double")
+    with pytest.raises(ValueError, match="2.csv"):
+        read_csv(spark, str(tmp_path), schema)
+    (tmp_path / "2.csv").write_text('"sample_id","price"\r\n1,1.0\r\n')
+    assert read_csv(spark, str(tmp_path), schema).count() == 4
 
 
 def test_unused_columns_are_not_parsed(spark, tmp_path):

@@ -25,7 +25,14 @@ def test_digest_is_md5_of_seed_and_key(spark):
     got = results(column(spark, [7], "bigint"), seeded_digest(42, "v"))
     assert got == [hashlib.md5(b"42:7").hexdigest()]
     two = results(column(spark, ["a"], "string"), seeded_digest(1, "v", "i"))
-    assert two == [hashlib.md5(b"1:a:0").hexdigest()]
+    assert two == [hashlib.md5(b"1:1:a:1:0").hexdigest()]
+
+
+def test_several_keys_do_not_run_into_each_other(spark):
+    rows = [("a:b", "c"), ("a", "b:c"), (None, "c"), ("c", None), ("", None), (None, None), ("-", "")]
+    table = spark.createDataFrame(rows, "x string, y string")
+    digests = [r[0] for r in table.select(seeded_digest(1, "x", "y")).collect()]
+    assert len(set(digests)) == len(rows)
 
 
 def test_hash_price_values(spark):

@@ -4,7 +4,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from pricemill.operators.images import FolderStore, fetch_images, image_manifest, pending_images
+from pricemill.operators.images import ArrowStore, FolderStore, fetch_images, image_manifest, pending_images
 from pricemill.plans import fetch
 from pricemill.sources.files import list_files
 
@@ -93,7 +93,7 @@ def test_repeated_run_does_not_fetch_present_files(spark, tmp_path):
     log, images = str(tmp_path / "log"), str(tmp_path / "images")
     os.mkdir(log)
     table = fetch_images(image_manifest(links(spark, ["h/a", "h/b"]), images), make_fetcher(log), n_tasks=2)
-    expected = [("a", "h/a", "ok", 3, None), ("b", "h/b", "ok", 3, None)]
+    expected = [("a", "h/a", f"{images}/a", "ok", 3, None), ("b", "h/b", f"{images}/b", "ok", 3, None)]
     assert rows(table) == expected and rows(table) == expected
     assert calls(log) == ["a", "b"]
 
@@ -148,3 +148,55 @@ def test_list_files(spark, tmp_path):
     assert list_files(spark, str(tmp_path / "empty")).isEmpty()
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         list_files(spark, str(tmp_path / "missing")).count()
+
+
+def test_another_folder_and_a_deleted_file_are_fetched(spark, tmp_path):
+    log, images, status = (str(tmp_path / n) for n in ("log", "images", "status"))
+    os.mkdir(log)
+    table = links(spark, ["http://h/a", "http://h/b"])
+    fetch(table, images, status, make_fetcher(log), n_tasks=2)
+    assert rows(fetch(table, images + "2", status, make_fetcher(log), n_tasks=2)) == [("ok", 2)]
+    assert sorted(os.listdir(images + "2")) == ["a", "b"] and calls(log) == ["a", "a", "b", "b"]
+    os.unlink(f"{images}/a")
+    assert rows(fetch(table, images, status, make_fetcher(log, failing="a"), n_tasks=2)) == [("error", 1), ("ok", 1)]
+    assert rows(fetch(table, images, status, make_fetcher(log), n_tasks=2)) == [("ok", 2)]
+    assert sorted(os.listdir(images)) == ["a", "b"]
+    os.unlink(f"{images}/b")
+    trusting = fetch(table, images, status, make_fetcher(log), n_tasks=2, trust_log=True)
+    assert rows(trusting) == [("ok", 2)] and os.listdir(images) == ["a"]
+
+
+@pytest.mark.parametrize("folder", ["hdfs://nn/images", "s3://bucket/x", "file:/tmp/x"])
+def test_a_plain_folder_has_no_scheme(spark, folder):
+    got = fetch_images(image_manifest(links(spark, ["h/a"]), folder), lambda url: b"1", FolderStore(), n_tasks=1)
+    assert [(r.status, "ArrowStore" in r.error) for r in got.collect()] == [("error", True)]
+    assert not os.path.exists("hdfs:") and not os.path.exists("s3:") and not os.path.exists("file:")
+
+
+def test_a_cluster_needs_a_shared_store(spark):
+    manifest = image_manifest(links(spark, ["h/a"]), "o")
+    master = spark.conf.get("spark.master")
+    try:
+        spark.conf.set("spark.master", "yarn")
+    except Exception:
+        pytest.skip("the master cannot be changed here")
+    try:
+        with pytest.raises(ValueError, match="ArrowStore"):
+            fetch_images(manifest, lambda url: b"1")
+        fetch_images(manifest, lambda url: b"1", FolderStore(shared=True))
+    finally:
+        spark.conf.set("spark.master", master)
+
+
+def test_store_by_scheme(spark, tmp_path):
+    log = str(tmp_path / "log")
+    os.mkdir(log)
+    folder = f"file://{tmp_path}/images"
+    table = links(spark, ["http://h/a", "http://h/b"])
+    assert rows(fetch(table, folder, str(tmp_path / "status"), make_fetcher(log), n_tasks=2)) == [("ok", 2)]
+    assert sorted(os.listdir(tmp_path / "images")) == ["a", "b"] and calls(log) == ["a", "b"]
+    store = ArrowStore()
+    assert store.size(f"{folder}/a") == 10 and store.size(f"{folder}/none") is None
+    with pytest.raises(TypeError):
+        store.save(f"{folder}/c", 1)
+    assert sorted(os.listdir(tmp_path / "images")) == ["a", "b"]

@@ -3,6 +3,9 @@ import glob
 import pandas as pd
 import pytest
 
+from pricemill.operators.chunking import assign_chunks
+from pricemill.sources import staging
+
 from pricemill import plans
 from pricemill.__main__ import main
 from pricemill.operators.chunking import chunk_counts, with_chunk
@@ -107,3 +110,50 @@ def test_command_line(spark, tmp_path, train_file, capsys):
     assert "true" in capsys.readouterr().out
     main(["rank", path, f"me={tmp_path}/out", "--public-rows", "70"])
     assert "me" in capsys.readouterr().out
+
+
+def test_one_large_file_is_read_by_several_tasks(spark, tmp_path, train_file):
+    rows = "".join(f"{i},text {i},h/{i}.jpg,{i}.5\n" for i in range(20000))
+    (tmp_path / "large.csv").write_text("sample_id,catalog_content,image_link,price\n" + rows)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        counts = plans.split_file(
+            spark, f"{tmp_path}/large.csv", f"{tmp_path}/chunks", True, 6000, one_file=False, multi_line=False
+        )
+        assert {r.chunk: r.n_rows for r in counts.collect()} == {1: 6000, 2: 6000, 3: 6000, 4: 2000}
+        import glob
+
+        assert len(glob.glob(f"{tmp_path}/chunks/chunk=1/part-*")) > 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    chunks = read_chunks(spark, f"{tmp_path}/chunks", TRAIN_SCHEMA)
+    assert chunks.filter("chunk = 2").agg({"sample_id": "min"}).first()[0] == 6000
+
+
+def test_an_empty_submission_is_on_the_board(spark, tmp_path, train_file):
+    _, frame = train_file
+    truth = spark.createDataFrame(frame[["sample_id", "price"]])
+    frame[["sample_id", "price"]].to_csv(f"{tmp_path}/good.csv", index=False)
+    (tmp_path / "none.csv").write_text("sample_id,price\n")
+    files = {"good": f"{tmp_path}/good.csv", "none": f"{tmp_path}/none.csv"}
+    board = {r.submission_id: r for r in plans.rank(spark, files, truth, n_public=75).collect()}
+    assert board.keys() == {"good", "none"}
+    assert (board["none"].ok, board["none"].final_rank, board["good"].final_rank) == (False, None, 1)
+    (tmp_path / "none.csv").write_text("Sample_id,price\n")
+    with pytest.raises(ValueError, match="none.csv"):
+        plans.rank(spark, files, truth, n_public=75)
+
+
+def test_nothing_staged_is_left_behind(spark, tmp_path, train_file):
+    path, _ = train_file
+    import os
+
+    folder = staging.shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(f"{folder}/pricemill")) if os.path.isdir(f"{folder}/pricemill") else set()
+    plans.split_file(spark, path, f"{tmp_path}/chunks", priced=True, chunk_rows=100)
+    plans.land_file(spark, path, f"{tmp_path}/table", priced=True)
+    with staging.released_after(spark):
+        assert assign_chunks(spark.range(50), "id", 10).count() == 50
+    assert set(os.listdir(f"{folder}/pricemill")) == before

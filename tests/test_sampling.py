@@ -3,7 +3,6 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from pricemill.operators import sampling
 from pricemill.operators.sampling import in_sample, sample_exact
 
 
@@ -15,23 +14,13 @@ def ids_of(df):
     return [r.id for r in df.select("id").collect()]
 
 
-@pytest.fixture(params=["top n", "counting", "counting small buckets"])
-def method(request, monkeypatch):
-    if request.param != "top n":
-        monkeypatch.setattr(sampling, "_TOP_N_ROWS", 0)
-    else:
-        monkeypatch.setattr(sampling, "_TOP_N_ROWS", 10**6)
-    if request.param == "counting small buckets":
-        monkeypatch.setattr(sampling, "_SMALL_BUCKET", 0)
-
-
 @pytest.mark.parametrize("n", [0, 1, 50, 1234, 2999, 3000])
-def test_exact_and_equal_to_brute_force(spark, method, n):
+def test_exact_and_equal_to_brute_force(spark, n):
     got = ids_of(sample_exact(spark.range(3000), n, "id", 42))
     assert len(got) == n and set(got) == brute_force(range(3000), n, 42)
 
 
-def test_more_rows_than_there_are(spark, method):
+def test_more_rows_than_there_are(spark):
     with pytest.raises(ValueError, match="31 rows out of 30"):
         sample_exact(spark.range(30), 31, "id")
     with pytest.raises(ValueError, match="1 rows out of 0"):
@@ -54,7 +43,7 @@ def test_seed_changes_the_sample(spark):
     assert a != b
 
 
-def test_copies_of_a_key_at_the_cutoff(spark, method):
+def test_copies_of_a_key_at_the_cutoff(spark):
     third_is_one_key = spark.range(900).withColumn(
         "k", F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id"))
     )

@@ -51,12 +51,12 @@ def test_bad_predictions_are_never_averaged_away(spark, bad):
     got = error_metrics(
         prices(spark, {1: 2.0, 2: bad, 3: 9.0}), prices(spark, {1: 2.0, 2: 5.0})
     ).first()
-    assert tuple(got) == (2, 1, None, None, None, None)
+    assert tuple(got) == (2, 1, 0, 1, 0, None, None, None, None)
 
 
 def test_no_pairs(spark):
     got = error_metrics(prices(spark, {1: 2.0}), prices(spark, {2: 2.0})).first()
-    assert tuple(got) == (0, 0, None, None, None, None)
+    assert tuple(got) == (0, 0, 1, 1, 0, None, None, None, None)
 
 
 def test_values_on_the_part_table(spark, sf_dir):
@@ -83,9 +83,9 @@ def faulty(table):
 def test_every_fault_is_counted(spark, sf_dir):
     table = products(spark, sf_dir)
     got = check_submission(faulty(table), table).first()
-    assert tuple(got) == (2000, 2003, 20, 4, 19, 56, False)
+    assert tuple(got) == (2000, 2003, 20, 4, 19, 56, 0, False)
     scored = evaluate_submission(faulty(table), table).first()
-    assert tuple(scored)[:7] == tuple(got) and tuple(scored)[7:] == (None,) * 4
+    assert tuple(scored)[:8] == tuple(got) and tuple(scored)[8:] == (None,) * 4
 
 
 @pytest.mark.parametrize(
@@ -106,9 +106,10 @@ def test_every_fault_is_counted(spark, sf_dir):
 )
 def test_check(spark, rows, expected):
     truth = prices(spark, {1: 4.0, 2: 6.0})
+    expected = (*expected[:-1], 0, expected[-1])
     assert tuple(check_submission(prices(spark, rows), truth).first()) == expected
     scored = evaluate_submission(prices(spark, rows), truth).first()
-    assert tuple(scored)[:7] == expected
+    assert tuple(scored)[:8] == expected
     assert (scored.smape is not None) == expected[-1]
 
 
@@ -205,4 +206,30 @@ def test_checks_agree_with_plain_python(spark):
     one = table.filter("submission_id = 3").drop("submission_id")
     alone = check_submission(one, truth_table).first()
     same = scored[3]
-    assert tuple(alone)[1:] == (same.n_got, same.missing, same.extra, same.dup_ids, same.bad_price, same.ok)
+    assert tuple(alone)[1:] == (same.n_got, same.missing, same.extra, same.dup_ids, same.bad_price, same.dup_truth, same.ok)
+
+
+def test_repeated_truth_scores_nothing_anywhere(spark):
+    truth = prices(spark, [(1, 10.0), (2, 20.0), (2, 999.0)])
+    submission = prices(spark, [(1, 10.0), (2, 20.0)])
+    row = evaluate_submission(submission, truth).first()
+    assert (row.dup_truth, row.ok, row.smape) == (1, False, None)
+    assert error_metrics(submission, truth).first()[4:] == (1, None, None, None, None)
+    board = leaderboard(submission.withColumn("submission_id", F.lit("a")), truth, 1).first()
+    assert (board.ok, board.final_smape, board.final_rank) == (False, None, None)
+
+
+def test_incomplete_predictions_have_no_metrics(spark):
+    got = error_metrics(prices(spark, {1: 2.0}), prices(spark, {1: 2.0, 2: 5.0})).first()
+    assert tuple(got) == (1, 0, 1, 0, 0, None, None, None, None)
+    got = error_metrics(prices(spark, [(1, 2.0), (1, 3.0)]), prices(spark, {1: 2.0})).first()
+    assert tuple(got) == (1, 0, 0, 0, 1, None, None, None, None)
+
+
+def test_a_listed_submission_without_rows_is_a_row(spark):
+    truth = prices(spark, {1: 4.0, 2: 6.0})
+    table = spark.createDataFrame([("a", 1, 4.0), ("a", 2, 6.0)], "submission_id string, sample_id bigint, price double")
+    listed = spark.createDataFrame([("a",), ("none",)], "submission_id string")
+    got = {r.submission_id: r for r in score_submissions(table, truth, F.col("sample_id") < 2, listed).collect()}
+    assert (got["none"].n_got, got["none"].missing, got["none"].ok, got["none"].final_smape) == (0, 2, False, None)
+    assert got["a"].ok and got["a"].final_smape == 0
