@@ -61,7 +61,7 @@ def mixed(rows: DataFrame, seed: int = SEED, **how) -> DataFrame:
     A source without words has target 0 and is not taken.
     """
     keyed = rows.withColumns(
-        {"_order": F.xxhash64(F.lit(seed), "doc_id"), "_named": F.col("source").isNotNull()}
+        {"_order": F.md5(F.concat_ws(":", F.lit(str(seed)), "doc_id")), "_named": F.col("source").isNotNull()}
     )
     placed = row_index(keyed, ["_named", "source", "size", "_order"])
     sources = staged(

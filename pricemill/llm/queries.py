@@ -135,4 +135,122 @@ QUERIES = {
     "pipeline": _pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# --- the same in SQL -------------------------------------------------------------------------------
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _sql_spans(kind: str, pattern: str, group: int, least: int) -> str:
+    """Spans of one kind: the pieces between matches and the matches give the places."""
+    pattern = pattern.replace("'", "''")
+    return f"""
+select doc_id, '{kind}' as kind, {[r.kind for r in secrets.RULES].index(kind)} as rank,
+       begins as start, begins + length(whole[i]) as "end"
+from (select *, cast(list_sum([length(x) for x in pieces[:i]]) + coalesce(list_sum([length(x) for x in whole[:i - 1]]), 0) as bigint) as begins
+      from (select doc_id, string_split_regex(text, '{pattern}') as pieces,
+                   regexp_extract_all(text, '{pattern}', 0) as whole,
+                   regexp_extract_all(text, '{pattern}', {group}) as inner_part,
+                   unnest(range(1, len(regexp_extract_all(text, '{pattern}', 0)) + 1)) as i from texts))
+where length(inner_part[i]) >= {least}
+"""
+
+
+_OP3 = f"""
+with texts as (select doc_id, coalesce(text, '') as text from documents),
+spans as ({" union all ".join(_sql_spans(r.kind, r.pattern, r.group, r.least) for r in secrets.RULES)}),
+joined as (select doc_id, string_agg(concat(kind, ':', start, ':', "end"), ',' order by start, rank) as spans,
+                  {", ".join(f"count(*) filter (where kind = '{r.kind}') as n_{r.kind}" for r in secrets.RULES)}
+           from spans group by doc_id)
+select doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) as n_{r.kind}" for r in secrets.RULES)},
+       sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans
+from documents left join joined using (doc_id)
+"""
+
+_OP4 = rf"""
+with texts as (select doc_id, source, coalesce(text, '') as text from documents),
+words as (select doc_id, regexp_extract_all(text, '{_WORD}') as ws from texts),
+windows as (select doc_id, i, array_to_string(ws[i:i + 2], ' ') as w
+            from (select *, unnest(range(1, len(ws) - 1)) as i from words)),
+repeated as (select doc_id, count(distinct place) as n_repeat_words
+             from (select doc_id, unnest([i, i + 1, i + 2]) as place
+                   from (select *, count(*) over (partition by doc_id, w) as n from windows) where n > 1)
+             group by doc_id),
+lines as (select doc_id, source, text, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as normal,
+                 len(regexp_extract_all(line, '{_WORD}')) as n
+          from (select doc_id, source, text, unnest(string_split(text, chr(10))) as line from texts)
+          where regexp_matches(line, '{_WORD}')),
+frequent as (select source, normal from lines group by source, normal
+             having count(distinct text) > {line_rules.MAX_LINE_DOCUMENTS}),
+cut as (select doc_id, cast(sum(n) as bigint) as removed
+        from lines join frequent on lines.source is not distinct from frequent.source and lines.normal = frequent.normal
+        group by doc_id),
+of_lines as (select doc_id, count(*) - count(distinct line) as n_dup_lines from lines group by doc_id),
+stats as (select doc_id, cast(len(ws) as bigint) as n_words,
+                 cast(coalesce(list_sum([length(w) for w in ws]), 0) as bigint) as word_chars,
+                 cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+                 coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
+                 coalesce(removed, 0) as removed
+          from texts join words using (doc_id) left join of_lines using (doc_id)
+               left join repeated using (doc_id) left join cut using (doc_id)),
+failed as (select *, n_words < {line_rules.MIN_WORDS}
+                  or 100 * n_repeat_words > {line_rules.MAX_REPEAT_PERCENT} * n_words as base_failed from stats)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and not 100 * removed > {line_rules.MAX_REMOVED_PERCENT} * n_words as kept
+from failed
+"""
+
+_OP7 = rf"""
+with docs as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) as bigint) as size
+              from documents),
+sources as (select source, cast(sum(size) as bigint) as source_size,
+                   [5.0, 2.0, 1.0][(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as weight
+            from docs group by source),
+steps as (select *, 2.0::double * source_size as cap,
+                 row_number() over (order by 2.0::double * source_size / weight, weight) as k from sources),
+levels as (select k, (1.5::double * (select sum(source_size) from sources)
+                      - coalesce(sum(cap) over (order by k rows between unbounded preceding and 1 preceding), 0))
+                     / sum(weight) over (order by k rows between current row and unbounded following) as level, cap, weight
+           from steps),
+level as (select coalesce(min_by(level, k) filter (where weight * level <= cap), max(cap / weight)) as level from levels),
+aims as (select source, source_size, least(weight * level, 2.0::double * source_size) as target from sources, level),
+slots as (select doc_id, size, source_size, target, docs.source,
+                 row_number() over (partition by docs.source order by size, md5(concat('{mixing.SEED}:', doc_id))) - 1 as slot,
+                 case when source_size > 0 then target / source_size else 0 end as expected,
+                 cast(concat('0x', substr(md5(concat('{mixing.SEED}:', coalesce('s' || docs.source, 'null'))), 1, 8)) as bigint)
+                   / 4294967296.0 as start
+          from docs join aims on docs.source is not distinct from aims.source)
+select doc_id, size, source_size, target,
+       cast(size * (floor((slot + 1) * expected + start) - floor(slot * expected + start)) as bigint) as taken
+from slots
+"""
+
+_BENCH_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+_OP8 = f"""
+with docs as (select doc_id, {_BENCH_WORDS} as ws from documents),
+items as (select cast(item_id as varchar) as item, ws, least({decontamination.WINDOW}, len(ws)) as span
+          from (select item_id, {_BENCH_WORDS} as ws from benchmark) where len(ws) > 0),
+windows as (select distinct item, span, array_to_string(ws[i:i + span - 1], ' ') as w
+            from (select *, unnest(range(1, len(ws) - span + 2)) as i from items)),
+places as (select doc_id, span, i, array_to_string(ws[i:i + span - 1], ' ') as w
+           from (select doc_id, ws, span, unnest(range(1, len(ws) - span + 2)) as i
+                 from docs, (select distinct span from items) where len(ws) >= span)),
+found as (select doc_id, i, places.span, item from places join windows on places.span = windows.span and places.w = windows.w),
+hits as (select doc_id, count(distinct place) as n_hit
+         from (select doc_id, unnest(range(i, i + span)) as place from (select distinct doc_id, i, span from found))
+         group by doc_id),
+named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names
+          from (select distinct doc_id, item from found) group by doc_id)
+select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * n_hit >= len(ws) as contaminated
+from docs left join hits using (doc_id) left join named using (doc_id)
+"""
+
+# Learned scores, the shard hash, token ids, checksums with context and the fingerprint hash have no SQL
+# form; tests/llm holds these queries against plain Python.
+ORACLE_SQL = {
+    "op3_secret_ledger": _OP3,
+    "op4_line_rules": _OP4,
+    "op7_systematic_mix": _OP7,
+    "op8_suffix_automaton": _OP8,
+}
