@@ -17,21 +17,24 @@ from pricemill.llm.worker import worker_state
 ORDER = 4
 DECAY = 0.6
 # A bounded sample of labelled documents is all that the fit sees.
-MAX_DOCUMENTS_PER_CLASS = 3000
+MAX_DOCUMENTS_PER_CLASS = 2000
 MAX_LANDMARKS = 48
 _PIECE = 24
 _PAIRS = 16384
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 200_000
 _CHUNK_CHARS = 1_000_000
 _NONE = -10.0
+_NO_SIGNS = str.maketrans("", "", string.punctuation)
 _SPACED = re.compile(r"(?<!\S)\w(?: \w){2,}(?!\S)")
 
 
 def candidates(text: str | None) -> set[str]:
-    """What may be an insult: words in lower case without punctuation around them, and runs of single
-    letters joined to one word. Long words give overlapping pieces, so nothing is left out."""
+    """What may be an insult: words in lower case without punctuation around them, those with signs inside
+    also without the signs, and runs of single letters joined to one word. Long words give overlapping
+    pieces, so nothing is left out."""
     low = (text or "").lower()
     words = {w.strip(string.punctuation) for w in low.split()}
+    words.update([w.translate(_NO_SIGNS) for w in words if not w.isalnum()])
     words.update(m[0].replace(" ", "") for m in _SPACED.finditer(low))
     words.discard("")
     long = [w for w in words if len(w) > _PIECE]
