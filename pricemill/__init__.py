@@ -30,6 +30,7 @@ from pricemill.operators.images import (
     pending_images,
 )
 from pricemill.operators.leaderboard import leaderboard, public_score, score_submissions
+from pricemill.operators.model import PriceModel, fit_price_model, text_features
 from pricemill.operators.predict import batch_predictor, hash_predictor, predict, row_predictor
 from pricemill.operators.sampling import in_sample, sample_exact
 from pricemill.operators.scoring import error_metrics, smape
@@ -44,6 +45,7 @@ register_pickle_by_value(sys.modules[__name__])
 __all__ = [
     "ArrowStore",
     "FolderStore",
+    "PriceModel",
     "assign_chunks",
     "batch_predictor",
     "check_submission",
@@ -53,6 +55,7 @@ __all__ = [
     "error_metrics",
     "evaluate_submission",
     "fetch_images",
+    "fit_price_model",
     "flag_outliers",
     "hash_predictor",
     "hash_price",
@@ -82,6 +85,7 @@ __all__ = [
     "seeded_digest",
     "smape",
     "target_path",
+    "text_features",
     "unit_hash",
     "with_chunk",
     "write_chunks",

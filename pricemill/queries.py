@@ -9,6 +9,7 @@ from pricemill.operators import catalog
 from pricemill.operators.chunking import assign_chunks, chunk_counts, read_indexed_csv, with_chunk
 from pricemill.operators.images import fetch_images, image_manifest, pending_images, store_for
 from pricemill.operators.leaderboard import leaderboard, public_score
+from pricemill.operators.model import fit_price_model
 from pricemill.operators.predict import batch_predictor, hash_predictor, predict, row_predictor
 from pricemill.operators.sampling import sample_exact
 from pricemill.operators.scoring import error_metrics, smape
@@ -296,6 +297,16 @@ def pack_quantity(spark, sf_dir):
     return products(spark, sf_dir).select("sample_id", catalog.pack_quantity().alias("pack"))
 
 
+def price_model(spark, sf_dir):
+    """Documents as products, their length as the price: a model of the texts prices the held-out ones."""
+    table = _table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("sample_id"), F.col("text").alias("catalog_content"), F.col("n_chars").cast("double").alias("price")
+    )
+    held = catalog.in_holdout("sample_id", 0.2)
+    model = fit_price_model(table.filter(~held), table.filter(held), 128)
+    return model.predict(table.filter(held))
+
+
 def catalog_profile(spark, sf_dir):
     return catalog.profile(products(spark, sf_dir))
 
@@ -400,6 +411,7 @@ QUERIES = {
     "price_outliers": price_outliers,
     "price_ensemble": price_ensemble,
     "pack_quantity": pack_quantity,
+    "price_model": price_model,
     "catalog_profile": catalog_profile,
     "submission_check": submission_check,
     "submission_evaluate": submission_evaluate,

@@ -14,14 +14,15 @@ def con(sf_dir):
     connection.close()
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_sql(spark, sf_dir, con, name):
     df = __spark_entry__.queries()[name](spark, sf_dir)
     assert differences(df, con, __spark_entry__.oracle_sql()[name]) == ""
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE_SQL)
+    # A fitted model is not the same in two engines; tests/test_catalog.py tests it.
+    assert set(QUERIES) == set(ORACLE_SQL) | {"price_model"}
     assert set(QUERIES) <= set(__spark_entry__.queries())
 
 
