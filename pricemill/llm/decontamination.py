@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pricemill.llm.worker import release_worker_state
 from pricemill.sources.staging import staged
 
 WINDOW = 13
@@ -190,6 +191,7 @@ def find_overlaps(
 def _matcher(shared):
     @F.pandas_udf(FOUND)
     def match(texts: pd.Series, starts: pd.Series, ends: pd.Series, items: pd.Series) -> pd.DataFrame:
+        release_worker_state()
         automaton, out = Automaton.restored(shared.value), []
         for text, old_starts, old_ends, old_items in zip(texts, starts, ends, items):
             words = words_of(text)
@@ -198,7 +200,8 @@ def _matcher(shared):
             out.append((len(words), [s for s, _ in spans], [e for _, e in spans], sorted(names.union(old_items))))
         return pd.DataFrame(out, columns=["n_words", "starts", "ends", "items"])
 
-    return match
+    # Else a filter on what is found would be moved below and the texts be searched twice.
+    return match.asNondeterministic()
 
 
 def hit_words():

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pricemill.llm.worker import release_worker_state
 from pricemill.sources.staging import staged
 
 MIN_WORDS = 50
@@ -57,6 +58,7 @@ def _repeat_words(words: list[bytes]) -> int:
 
 @F.pandas_udf(STATS)
 def _stats(texts: pd.Series) -> pd.DataFrame:
+    release_worker_state()
     return pd.DataFrame(map(text_stats, texts), columns=_NAMES)
 
 
@@ -128,9 +130,11 @@ def judged(
     cuts = hits.groupBy("host", "document").agg(
         F.collect_list("at").alias("cut_lines"), F.sum("words").alias("cut_words")
     )
+    # Else a filter on the result would be moved below and the texts be counted twice.
+    stats = _stats.asNondeterministic()
     rows = docs.select(
         F.struct("*").alias("row"),
-        _stats(F.col(text_col)).alias("stats"),
+        stats(F.col(text_col)).alias("stats"),
         host.alias("host"),
         F.xxhash64(text).alias("document"),
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricemill.llm.components import components
+from pricemill.llm.worker import release_worker_state
 from pricemill.sources.staging import staged
 
 SEED = 42
@@ -44,6 +45,7 @@ def fingerprint(text: str | None) -> int:
 
 @F.pandas_udf(T.LongType())
 def _fingerprints(texts: pd.Series) -> pd.Series:
+    release_worker_state()
     values = np.fromiter(map(fingerprint, texts), np.uint64, len(texts))
     return pd.Series(values.view(np.int64))
 
