@@ -21,26 +21,43 @@ END_ID = 0
 _HEADER = np.dtype([("magic", "<u4"), ("block_ids", "<u4"), ("n_ids", "<u8"), ("n_blocks", "<u4"), ("n_escapes", "<u4"), ("n_words", "<u8")])
 _MAGIC = 0x31423853
 _COUNTS = np.array([1, *(count for _, count in SELECTORS), 1], np.int64)
-_CACHE_PIECES = 200_000
+# Pieces a worker remembers twice over, about 200 bytes each: time against memory, never results.
+CACHE_PIECES = 400_000
+_BULK_PIECES = 10_000
+_END = END_ID.to_bytes(4, "little")
+_PUNCTUATION = ".,;:!?"
+# The byte-level sign for a space.
+_SPACE = "\u0120"
 _CHUNK_CHARS = 1_000_000
 # A space between two other signs that are no white space always starts a new pre-token.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 def _choices(values: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For a word that starts at each place: the selector that takes most ids, and how many."""
+    """For a word that starts at each place: the selector that takes most ids, and how many.
+
+    A selector fits where as many ids as it holds are small enough and stand before ``limit``; one that
+    fits all values may also be filled in part.
+    """
     n = len(values)
-    here = np.arange(n)
-    selector, take = np.zeros(n, np.int64), np.ones(n, np.int64)
+    room = (limit - np.arange(n)).astype(np.int32)
+    selector, take = np.zeros(n, np.uint8), np.ones(n, np.uint8)
+    if n and values.max() < 1 << 32:
+        values = values.astype(np.uint32)
     for code, (bits, count) in reversed(list(enumerate(SELECTORS, 1))):
-        small = values < np.uint64(1 << bits)
-        if not small.any():
-            break
-        following = np.where(small, n, here)
-        too_large = np.minimum.accumulate(following[::-1])[::-1]
-        wanted = np.minimum(count, limit - here)
-        fits = (too_large - here >= wanted) & ((wanted > take) | (selector == 0))
-        selector[fits], take[fits] = code, wanted[fits]
+        fits = values < (1 << bits)
+        if fits.all():
+            selector[:], take[:] = code, np.minimum(count, room)
+            continue
+        length = 1
+        while length < count:  # runs of twice the length, or what is left
+            step = min(length, count - length)
+            fits[:-step] &= fits[step:]
+            fits[-step:] = False
+            length += step
+        fits &= room >= count
+        np.putmask(selector, fits, code)
+        np.putmask(take, fits, count)
     return selector, take
 
 
@@ -54,12 +71,12 @@ def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
     n = len(values)
     limit = np.minimum((np.arange(n) // block_ids + 1) * block_ids, n)
     selector, take = _choices(values, limit)
-    starts, at, steps = [], 0, take.tolist()
+    marks, at, steps = bytearray(n), 0, take.tobytes()
     while at < n:
-        starts.append(at)
+        marks[at] = 1
         at += steps[at]
-    starts = np.array(starts, np.int64)
-    chosen = selector[starts]
+    starts = np.flatnonzero(np.frombuffer(marks, np.uint8))
+    chosen = selector[starts].astype(np.int64)
     words = chosen.astype(np.uint64) << np.uint64(60)
     padded = np.concatenate([values, np.zeros(60, np.uint64)])
     for code, (bits, count) in enumerate(SELECTORS, 1):
@@ -117,37 +134,82 @@ def decode(data: bytes, first_block: int = 0, end_block: int | None = None) -> n
 class PieceEncoder:
     """Ids of whole texts, from the ids of their pieces between single spaces, which repeat very often.
 
-    The byte-level pre-tokenizer never joins signs across such a space, so the ids are those of the text
-    encoded at once. Two generations of at most ``_CACHE_PIECES`` pieces are remembered.
+    The byte-level pre-tokenizer never joins signs across a space that stands between two other signs, so
+    the ids are those of the text encoded at once. New pieces are encoded in long strings and cut apart at
+    the tokens that begin with a space. Two generations of about ``cache_pieces`` pieces are remembered,
+    as packed ids of the piece with its space, or None for a piece with white space at an end.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         from tokenizers import Tokenizer
 
+        self.cache_pieces = cache_pieces
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith(_SPACE)]] = True
+        self.known: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
+        self.marks: dict[str, bytes] = {}
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        encodings = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in encodings]
+
+    def _missing(self, pieces: set[str]) -> set[str]:
+        """The pieces that are not known; those of the older generation become known again."""
+        missing = pieces.difference(self.known)
+        again = {p: self.older[p] for p in missing if p in self.older}
+        self.known.update(again)
+        missing.difference_update(again)
+        return missing
 
     def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) > _CACHE_PIECES:
+        if len(self.known) > self.cache_pieces:
             self.known, self.older = {}, self.known
-        missing = pieces.difference(self.known)
-        again = [p for p in missing if p in self.older]
-        self.known.update((p, self.older[p]) for p in again)
-        new = list(missing.difference(again))
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
-            encodings = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update((p, tuple(e.ids)) for p, e in zip(part, encodings))
+        words, ended = set(), []
+        for p in self._missing(pieces):
+            if not p or p.strip() is not p:
+                self.known[p] = None
+                continue
+            word = p.rstrip(_PUNCTUATION)
+            if word is p or not word or not word[-1].isalnum():
+                words.add(p)
+            else:  # a letter or digit and a punctuation mark are never one pre-token
+                words.add(word)
+                ended.append((p, word))
+        new = list(self._missing(words))
+        for at in range(0, len(new), _BULK_PIECES):
+            part = new[at : at + _BULK_PIECES]
+            bulk = [" " + " ".join(part[i : i + 500]) for i in range(0, len(part), 500)]
+            data = b"".join(self._plain(bulk))
+            starts = (4 * np.flatnonzero(self.opens[np.frombuffer(data, "<u4")])).tolist()
+            if len(starts) != len(part):
+                raise ValueError("this tokenizer does not keep pieces between spaces apart")
+            self.known.update(zip(part, map(data.__getitem__, map(slice, starts, [*starts[1:], len(data)]))))
+        known, marks = self.known, self.marks
+        for p, word in ended:
+            mark = p[len(word) :]
+            if mark not in marks:
+                marks[mark] = self._plain([mark])[0]
+            known[p] = known[word] + marks[mark]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """One array of ids per text, the end id last."""
-        cut = [_CUT.sub("\0 ", t).split("\0") if "\0" not in t else [t] for t in texts]
-        self._learn(set(chain.from_iterable(cut)))
-        get = self.known.__getitem__
-        return [
-            np.fromiter(chain(chain.from_iterable(map(get, pieces)), (END_ID,)), np.uint32) for pieces in cut
-        ]
+        cut = [t.split(" ") for t in texts]
+        self._learn(set(chain.from_iterable(pieces[1:] for pieces in cut)))
+        firsts = self._plain([pieces[0] for pieces in cut])
+        out = []
+        for text, first, pieces in zip(texts, firsts, cut):
+            rest = list(map(self.known.__getitem__, pieces[1:]))
+            if rest and (None in rest or not pieces[0] or pieces[0][-1].isspace()):
+                first, rest = self._with_white_space(text), []
+            out.append(np.frombuffer(b"".join((first, *rest, _END)), "<u4"))
+        return out
+
+    def _with_white_space(self, text: str) -> bytes:
+        """A text with spaces next to other white space: cut at single spaces only."""
+        return b"".join(self._plain(_CUT.sub("\0 ", text).split("\0") if "\0" not in text else [text]))
 
 
 def _chunks(rows):
@@ -167,9 +229,10 @@ def _chunks(rows):
 SEGMENTS = "part int, start long, n_ids long, doc_ids array<long>, lengths array<long>, blocks binary"
 
 
-def _segments(tokenizer_path: str, segment_ids: int, block_ids: int):
+def _segments(tokenizer_path: str, segment_ids: int, block_ids: int, cache_pieces: int):
     def write(batches):
-        encoder = worker_state(f"tokenizer {tokenizer_path}", lambda: PieceEncoder(tokenizer_path))
+        name = f"tokenizer {cache_pieces} {tokenizer_path}"
+        encoder = worker_state(name, lambda: PieceEncoder(tokenizer_path, cache_pieces))
         part, start = TaskContext.get().partitionId(), 0
         names, ids, held = [], [], 0
 
@@ -203,6 +266,7 @@ def write_token_files(
     text_col: str = "text",
     segment_ids: int = SEGMENT_IDS,
     block_ids: int = BLOCK_IDS,
+    cache_pieces: int = CACHE_PIECES,
 ) -> None:
     """Encode every text, append ``END_ID`` and write the ids in ascending order of the id, nulls first.
 
@@ -214,7 +278,7 @@ def write_token_files(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = [F.col("doc_id"), F.xxhash64("text")]
     ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranges.mapInPandas(_segments(tokenizer_path, segment_ids, block_ids), SEGMENTS).write.parquet(path)
+    ranges.mapInPandas(_segments(tokenizer_path, segment_ids, block_ids, cache_pieces), SEGMENTS).write.parquet(path)
 
 
 DOCUMENTS = "part int, doc_id long, start long, n_tokens long, ids array<int>"
