@@ -30,10 +30,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write the token ids as Simple-8b blocks; one row per document, from the files."""
     path = new_path(spark, "corpus-tokens")
-    tokens.write_token_files(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    # Workers that ran the stages before are large already.
+    tokens.write_token_files(docs, path, public_tokenizers.path("byte_bpe_50k.json"), cache_pieces=CACHE_PIECES)
     return tokens.read_token_digests(spark, path)
 
 
+CACHE_PIECES = 50_000
+
 STAGES = [
     ("quality rules", quality_rules),
     ("near duplicates", near_duplicates),
