@@ -1,5 +1,7 @@
 """Tables written once to the shared folder, so that later jobs read settled rows."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +15,8 @@ _job_folder: ContextVar[str | None] = ContextVar("job_folder", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only for an unset local session."""
+    """The folder named in ``spark.checkpoint.dir``; for a local session without it a temporary one, which
+    goes with the process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
@@ -21,6 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="pricemill-"))
+        atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
     return _own_folder[0]
 
 
