@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pricemill.llm.worker import release_worker_state
 from pricemill.sources.staging import staged
@@ -154,7 +153,7 @@ def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words
         yield block
 
 
-FOUND = "n_words long, starts array<int>, ends array<int>, items array<string>"
+FOUND = "n_words long, starts array<int>, ends array<int>, items array<string>, cut string"
 
 
 def find_overlaps(
@@ -166,10 +165,10 @@ def find_overlaps(
     window: int = WINDOW,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """(row, n_words, starts, ends, items) per row of ``docs``; ``row`` holds its columns.
+    """(row, n_words, starts, ends, items, cut) per row of ``docs``; ``row`` holds its columns.
 
     ``starts`` and ``ends`` bound the merged occurrences of item windows as word positions, ``items`` the ids of items with
-    an occurring window, as sorted text. Null texts have no words; items without an id or words are left
+    an occurring window, as sorted text; ``cut`` is the text without the spans, null if it has none. Null texts have no words; items without an id or words are left
     out; items that share an id count as one. An automaton is broadcast with ``block_words`` words (and
     one item) at most; a larger benchmark takes one pass over the written rows per block of items.
     """
@@ -197,8 +196,10 @@ def _matcher(shared):
             words = words_of(text)
             spans, names = automaton.hits(words)
             spans = merged([*spans, *zip(old_starts, old_ends)])
-            out.append((len(words), [s for s, _ in spans], [e for _, e in spans], sorted(names.union(old_items))))
-        return pd.DataFrame(out, columns=["n_words", "starts", "ends", "items"])
+            starts_, ends_ = [s for s, _ in spans], [e for _, e in spans]
+            cut = _cut(text, starts_, ends_) if spans else None
+            out.append((len(words), starts_, ends_, sorted(names.union(old_items)), cut))
+        return pd.DataFrame(out, columns=["n_words", "starts", "ends", "items", "cut"])
 
     # Else a filter on what is found would be moved below and the texts be searched twice.
     return match.asNondeterministic()
@@ -229,19 +230,12 @@ def _cut(text: str, first, end) -> str:
     return b"".join(kept).decode("utf-8", "surrogatepass")
 
 
-@F.pandas_udf(T.StringType())
-def without_spans(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-    """Column: the text without its spans."""
-    cut = [_cut(t, s, e) if t is not None and len(s) else t for t, s, e in zip(texts, starts, ends)]
-    return pd.Series(cut, dtype=object)
-
-
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """``docs`` without benchmark text: rows over the coverage limit are dropped whole, and from the others
     every span (``window`` or more item words) is cut out of the text. Rows without a span stay as they are."""
     found = find_overlaps(docs, benchmark, text_col, **how)
     kept = found.filter(~contaminated(hit_words(), F.col("n_words")))
-    text = without_spans(F.col(f"row.`{text_col}`"), F.col("starts"), F.col("ends"))
+    text = F.coalesce("cut", F.col(f"row.`{text_col}`"))
     return kept.select(
         *[text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     )
