@@ -25,6 +25,8 @@ _CACHE_WORDS = 200_000
 _CHUNK_CHARS = 1_000_000
 _NONE = -10.0
 _NO_SIGNS = str.maketrans("", "", string.punctuation)
+_NO_VOWELS = str.maketrans("", "", "aeiou")
+_DIGITS = str.maketrans("aeio", "4310")
 _SPACED = re.compile(r"(?<!\S)\w(?: \w){2,}(?!\S)")
 
 
@@ -79,12 +81,11 @@ def _norms(words: list[str]) -> np.ndarray:
     return np.sqrt(np.maximum(_subsequences(codes, other)[:, 0], 1e-12))
 
 
-def _letters(words: list[str]) -> np.ndarray:
-    """A 64-bit set of the letters of each word."""
-    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-    bits = np.uint64(1) << (flat % 64).astype(np.uint64)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    return np.bitwise_or.reduceat(bits, np.cumsum(lengths) - lengths)
+def _match_masks(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of the words in order, and per letter and word the places that hold it, as bits."""
+    letters = sorted(set("".join(words)))
+    masks = [[sum(1 << i for i, sign in enumerate(w) if sign == letter) for w in words] for letter in letters]
+    return np.array([ord(letter) for letter in letters], np.int32), np.array([*masks, [0] * len(words)], np.uint64)
 
 
 def _marked(words: list[str]) -> list[str]:
@@ -94,42 +95,50 @@ def _marked(words: list[str]) -> list[str]:
 class Landmarks:
     """Normalised kernel values with a fixed list of strings; a sign for the start of the word is a letter.
 
-    A word that lacks two or more of a landmark's letters has value 0 with it, and a word that lacks them
-    for every landmark is not compared at all.
+    A pair is compared only if its longest common subsequence has ``ORDER`` letters; else its value is 0.
     """
 
     def __init__(self, words: list[str]):
         self.words, words = words, _marked(words)
         self.codes = _codes(words, max(map(len, words)), -2)[None, :, :]
         self.norms = _norms(words)
-        self.letters = _letters(words)
-        self.sizes = np.bitwise_count(self.letters)
-
-    def near(self, words: list[str]) -> np.ndarray:
-        letters = _letters(words)
-        return np.column_stack(
-            [np.bitwise_count(letters & own) + np.uint8(1) >= size for own, size in zip(self.letters, self.sizes)]
-        )
+        # Candidates are no longer than a piece, so the places of a landmark fit into 64 bits.
+        self.letters, self.masks = _match_masks(words)
+        self.full = np.array([(1 << len(w)) - 1 for w in words], np.uint64)
+
+    def near(self, codes: np.ndarray) -> np.ndarray:
+        """Whether each row of ``codes`` has a common subsequence of ``ORDER`` letters with each landmark:
+        the longest one by a row of bits per pair, where a bit that turned 0 counts one letter."""
+        place = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
+        place[self.letters[place] != codes] = len(self.letters)
+        open_bits = np.repeat(self.full[None, :], len(codes), axis=0)
+        for x in range(codes.shape[1]):
+            met = open_bits & self.masks[place[:, x]]
+            open_bits = ((open_bits + met) | (open_bits - met)) & self.full
+        return np.bitwise_count(self.full ^ open_bits) >= ORDER
 
     def features(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.words)), np.float32)
         words = _marked(words)
-        word, mark = np.nonzero(self.near(words))
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        order = np.argsort(lengths[word], kind="stable")
-        word, mark = word[order], mark[order]
-        live, place = np.unique(word, return_inverse=True)
-        norms = np.ones(len(live), np.float32)
-        by_length = np.argsort(lengths[live], kind="stable")
+        by_length = np.argsort(lengths, kind="stable")
         for at in range(0, len(by_length), _PAIRS):
             part = by_length[at : at + _PAIRS]
-            norms[part] = _norms([words[i] for i in live[part].tolist()])
+            self._fill(out, part, [words[i] for i in part.tolist()], lengths[part])
+        return out
+
+    def _fill(self, out: np.ndarray, rows: np.ndarray, words: list[str], lengths: np.ndarray) -> None:
+        """The values of some words in order of length."""
+        codes = _codes(words, int(lengths[-1]), -1)
+        word, mark = np.nonzero(self.near(codes))
+        if not len(word):
+            return
+        live, place = np.unique(word, return_inverse=True)
+        norms = _norms([words[i] for i in live.tolist()])
         for at in range(0, len(word), _PAIRS):
             w, m = word[at : at + _PAIRS], mark[at : at + _PAIRS]
-            codes = _codes([words[i] for i in w.tolist()], int(lengths[w[-1]]), -1)
-            values = _subsequences(codes, self.codes[0][m][:, None, :])[:, 0]
-            out[w, m] = values / (norms[place[at : at + _PAIRS]] * self.norms[m])
-        return out
+            values = _subsequences(codes[w, : lengths[w[-1]]], self.codes[0][m][:, None, :])[:, 0]
+            out[rows[w], m] = values / (norms[place[at : at + _PAIRS]] * self.norms[m])
 
 
 def _fit_svm(features: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -177,9 +186,13 @@ class Model:
 
 
 def _gapped(word: str) -> list[str]:
-    """Ways to hide a word: signs between its letters, one sign inside, a letter twice."""
+    """Ways to hide a word: signs between its letters, one sign inside, a letter twice, its vowels left out or
+    as digits."""
     middle = len(word) // 2
-    return ["-".join(word), ".".join(word), word[:middle] + "*" + word[middle:], word[:middle] + word[middle - 1 :]]
+    ways = ["-".join(word), ".".join(word), word[:middle] + "*" + word[middle:], word[:middle] + word[middle - 1 :]]
+    # The first letter stays.
+    ways += [word[0] + word[1:].translate(_NO_VOWELS), word[0] + word[1:].translate(_DIGITS)]
+    return [way for way in ways if len(way) >= ORDER]
 
 
 def _witnesses(toxic: list[set[str]], clean: list[set[str]], least: int, most: int = 400) -> list[str]:
@@ -255,11 +268,13 @@ def fit(toxic: list[set[str]], clean: list[set[str]], rounds: int = 3) -> Model:
         hard = np.argsort(-(f_clean @ weights), kind="stable")[:2000]
         negatives = np.unique(np.concatenate([negatives, hard]))
     model = Model(landmarks, weights, bias)
-    return _calibrated(model, toxic, dict(zip(clean_words, f_clean @ weights + bias)), dict(zip(suspects, margin)), clean)
+    of_hidden = model.margins([v for w in positives for v in _gapped(w)])
+    return _calibrated(model, toxic, dict(zip(clean_words, f_clean @ weights + bias)), dict(zip(suspects, margin)), clean, of_hidden)
 
 
-def _calibrated(model, toxic, of_clean, of_suspects, clean) -> Model:
-    """Move the bias to the cut that parts toxic and clean documents best, in the middle of its gap."""
+def _calibrated(model, toxic, of_clean, of_suspects, clean, of_hidden) -> Model:
+    """Move the bias to the cut that parts toxic and clean documents best: in the middle of its gap, below the
+    hidden words that lie inside the gap."""
     of = of_clean | of_suspects
     top = np.array([max(map(of.__getitem__, bag), default=_NONE) for bag in chain(toxic, clean)])
     truth = np.repeat([1.0 / max(1, len(toxic)), -1.0 / max(1, len(clean))], [len(toxic), len(clean)])
@@ -267,7 +282,11 @@ def _calibrated(model, toxic, of_clean, of_suspects, clean) -> Model:
     gain, top = np.cumsum(truth[order]), top[order]
     ends = np.flatnonzero(np.append(top[1:] != top[:-1], True))
     best = ends[np.argmax(gain[ends])]
-    cut = (top[best] + top[best + 1]) / 2 if best + 1 < len(top) else top[best] - 1e-3
+    if best + 1 < len(top):
+        inside = of_hidden[(of_hidden > top[best + 1]) & (of_hidden < top[best])]
+        cut = (min(inside, default=top[best]) + top[best + 1]) / 2
+    else:
+        cut = top[best] - 1e-3
     return Model(model.landmarks, model.weights, model.bias - float(cut))
 
 

@@ -116,6 +116,41 @@ def test_string_kernel_counts_gapped_subsequences():
             assert value == pytest.approx(want, abs=1e-5) or (value == 0 and len(set(m) - set(w)) > 1)
 
 
+def test_string_kernel_skips_only_zeros():
+    from itertools import combinations
+
+    def slow(a, b, n=toxicity.ORDER, decay=toxicity.DECAY):
+        return sum(
+            decay ** (p[-1] - p[0] + 1 + q[-1] - q[0] + 1)
+            for p in combinations(range(len(a)), n)
+            for q in combinations(range(len(b)), n)
+            if [a[i] for i in p] == [b[i] for i in q]
+        )
+
+    marks = toxicity.Landmarks(["worthless", "pathetic", "stupid", "ee"])
+    words = ["wrthlss", "w0rthl3ss", "pthetc", "p4thet1c", "stpd", "stu", "the", "x", "eee", "\u00e9\U0001f600"]
+    for word, row in zip(words, marks.features(words)):
+        for mark, value in zip(marks.words, row):
+            w, m = "^" + word, "^" + mark
+            want = slow(w, m)
+            assert value == pytest.approx(want and want / (slow(w, w) * slow(m, m)) ** 0.5, abs=1e-5)
+            assert bool(value) == bool(want)
+
+
+def test_insults_without_vowels_or_with_digits_are_caught(spark):
+    draw = random.Random(8)
+    insults = ["worthless", "pathetic", "disgusting"]
+    rows = [(i, prose(500 + i, 40).split(), None, None, None) for i in range(300)]
+    for i in range(0, 300, 3):
+        rows[i][1].insert(draw.randrange(40), insults[i % 9 // 3])
+    docs = spark.createDataFrame([(i, " ".join(w), *rest) for i, w, *rest in rows], SCHEMA)
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int"))
+    hidden = ["a wrthlss one", "so w0rthl3ss", "pthetc", "you p4thet1c", "dsgstng!", "the12 and4 of7 to9"]
+    probe = spark.createDataFrame([(t,) for t in hidden], "text string").coalesce(1)
+    got = [r.s >= 0.5 for r in probe.select(toxicity.scored(probe, model).alias("s")).collect()]
+    assert got == [True] * 5 + [False]
+
+
 @pytest.mark.parametrize("make", [documents, clashing])
 @pytest.mark.parametrize("shards", [1, 8])
 def test_shards(spark, make, shards):
