@@ -27,17 +27,19 @@ _NONE = -10.0
 _NO_SIGNS = str.maketrans("", "", string.punctuation)
 _NO_VOWELS = str.maketrans("", "", "aeiou")
 _DIGITS = str.maketrans("aeio", "4310")
-_SPACED = re.compile(r"(?<!\S)\w(?: \w){2,}(?!\S)")
+_APART = re.compile(r"[\W_]+")
+# Three or more single letters or digits with any white space and signs between them.
+_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[\W_]++[^\W_](?![^\W_])){2,}")
 
 
 def candidates(text: str | None) -> set[str]:
     """What may be an insult: words in lower case without punctuation around them, those with signs inside
-    also without the signs, and runs of single letters joined to one word. Long words give overlapping
-    pieces, so nothing is left out."""
+    also without the signs, and runs of single letters, whatever blanks and signs part them, joined to one
+    word. Long words give overlapping pieces, so nothing is left out."""
     low = (text or "").lower()
     words = {w.strip(string.punctuation) for w in low.split()}
     words.update([w.translate(_NO_SIGNS) for w in words if not w.isalnum()])
-    words.update(m[0].replace(" ", "") for m in _SPACED.finditer(low))
+    words.update(_APART.sub("", m[0]) for m in _SPACED.finditer(low))
     words.discard("")
     long = [w for w in words if len(w) > _PIECE]
     words.difference_update(long)

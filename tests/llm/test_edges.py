@@ -96,6 +96,18 @@ def test_hidden_insults_are_caught(spark):
     assert got == [True] * 5 + [False]
 
 
+def test_letters_apart_are_one_word(spark):
+    apart = ["i  d  i  o  t", "i - d - i - o - t", "i. d. i. o. t.", "i\nd\ni\no\nt", "(i, d_i;\to t!)", "x1 i d i o t, y2"]
+    assert all("idiot" in toxicity.candidates(f"the12 {t} of7") for t in apart)
+    assert "abc" not in toxicity.candidates("a b cd") | toxicity.candidates("xa b c") | toxicity.candidates("a bc")
+    rows = [(i, prose(100 + i, 40) + " idiot" * (i % 3 == 0), None, None, None) for i in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int"))
+    probe = spark.createDataFrame([(t,) for t in [*apart, "t o the"]], "text string").coalesce(1)
+    got = [r.s >= 0.5 for r in probe.select(toxicity.scored(probe, model).alias("s")).collect()]
+    assert got == [True] * 6 + [False]
+
+
 def test_string_kernel_counts_gapped_subsequences():
     def slow(a, b, n=toxicity.ORDER, decay=toxicity.DECAY):
         from itertools import combinations
