@@ -84,13 +84,18 @@ def _phones(text):
 
 
 def _ibans(text):
-    for m in _IBAN.finditer(text):
+    at = 0
+    while m := _IBAN.search(text, at):
         # Words in capitals may follow the number: the longest confirmed beginning counts.
         for end in range(m.end(), m.start() + 14, -1):
             signs = text[m.start() : end]
             if signs[-1] != " " and (end == len(text) or not text[end].isalnum()) and mod_97(signs):
                 yield m.start(), end
+                at = end
                 break
+        else:
+            # Another number may begin inside what was proposed.
+            at = m.start() + 1
 
 
 def _ssns(text):

@@ -361,6 +361,14 @@ def test_context_and_checksums():
     assert near[0][3] > far[0][3]
 
 
+def test_account_numbers_in_a_row_are_all_found():
+    first, second = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    spans = lambda text: [(s, e) for s, rank, e, _ in pii.find(text) if pii.KINDS[rank] == "iban"]
+    assert spans(f"{first} {second}") == [(0, 27), (28, 55)] == spans(f"{first}\n{second}")
+    assert spans(f"AB12 CODE {second} {first} END") == [(10, 37), (38, 65)]
+    assert spans(f"DE88 3704 0044 0532 0130 00 {second}") == [(28, 55)]
+
+
 @pytest.mark.parametrize("make", [documents, clashing])
 def test_components_of_every_row(spark, make):
     docs, rows = make(spark)
