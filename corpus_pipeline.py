@@ -9,7 +9,7 @@ from pricemill.sources.staging import new_path, staged
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that fail the rules or are depleted; cut boilerplate lines from the others."""
-    return line_rules.cleaned(docs)
+    return line_rules.cleaned(docs, near_copies=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pricemill.llm.components import components
+from pricemill.llm.simhash import fingerprint_links, fingerprint_of
 from pricemill.llm.worker import release_worker_state
 from pricemill.sources.staging import staged
 
@@ -93,6 +95,24 @@ def frequent_lines(docs: DataFrame, text_col: str, host_col: str, max_documents:
     return distinct.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > max_documents)
 
 
+def frequent_lines_of_classes(docs: DataFrame, text_col: str, host_col: str, max_documents: int) -> DataFrame:
+    """Like ``frequent_lines``, but texts that are near copies of each other (see ``simhash``) count once."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    lines = F.array_distinct(F.transform(F.split(text, "\n", -1), _normal))
+    held = docs.select(
+        F.xxhash64(F.col(host_col).isNull(), F.col(host_col)).alias("host"),
+        fingerprint_of(F.col(text_col)).alias("fp"),
+        F.filter(lines, lambda line: line != "").alias("lines"),
+    ).select("host", "fp", F.explode("lines").alias("line"))
+    distinct = staged(held.select("host", F.xxhash64("line").alias("line"), "fp").distinct(), "line-holders")
+    found = components(fingerprint_links(distinct.select("fp").distinct()), "a", "b")
+    classes = distinct.join(found, distinct.fp == found.node, "left").select(
+        "host", "line", F.coalesce("root", "fp").alias("class")
+    )
+    counted = classes.distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
+    return counted.filter(F.col("n") > max_documents)
+
+
 def judged(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -100,6 +120,7 @@ def judged(
     host_col: str = "source",
     max_documents: int = MAX_LINE_DOCUMENTS,
     max_removed_percent: int = MAX_REMOVED_PERCENT,
+    near_copies: bool = False,
 ) -> DataFrame:
     """(row, stats, text, removed_words, base_failed, kept), one row per row of ``docs``.
 
@@ -108,13 +129,17 @@ def judged(
     false if the base rules fail or more than ``max_removed_percent`` of the words were removed. Empty and
     null texts fail the base rules.
 
+    Copies count once; with ``near_copies`` near copies do too, so that a large group of them is not rejected
+    for the lines that only its members share.
+
     Lines are counted and looked up by hashes. What to cut is joined back per (host, text): the rows stay
     where they are while that list is small enough to broadcast, else they are shuffled once. A line, a
     text or a host may occur in any share of the rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     host = F.xxhash64(F.col(host_col).isNull(), F.col(host_col))
-    frequent = staged(frequent_lines(docs, text_col, host_col, max_documents), "frequent-lines")
+    count = frequent_lines_of_classes if near_copies else frequent_lines
+    frequent = staged(count(docs, text_col, host_col, max_documents), "frequent-lines")
     salted = frequent.select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     words = F.coalesce(F.regexp_count(F.col("raw"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     lines = docs.select(

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 import brute
 import corpus_pipeline
 from pricemill.llm import components, decontamination, line_rules, mixing, pii, quality, secrets, sharding, simhash, tokens, toxicity
-from pricemill.sources.staging import new_path
+from pricemill.sources.staging import new_path, staged
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -244,6 +244,20 @@ def test_frequent_lines_are_cut(spark, make):
     assert line_rules.cleaned(docs, max_documents=10).columns == docs.columns
 
 
+def test_near_copies_do_not_reject_each_other(spark):
+    page = "\n".join(prose(700 + i, 100) for i in range(30))
+    rows = [(i, f"{page}\nseen on day {i}", None, "h", None) for i in range(150)]
+    rows += [(200 + i, f"{prose(800 + i, 60)}\nSign up now", None, "h", None) for i in range(101)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = staged(corpus_pipeline.quality_rules(spark, docs, ""), "kept")
+    got = {r.doc_id: r.text for r in kept.collect()}
+    assert got.keys() == {r[0] for r in rows}
+    assert all(got[r[0]] == r[1] for r in rows[:150])
+    assert all(got[200 + i] == prose(800 + i, 60) for i in range(101))
+    left = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, kept, "").collect()}
+    assert {n for n in left if n < 200} == {0}
+
+
 @pytest.mark.parametrize("make", [documents, clashing])
 def test_token_files_hold_every_row(spark, make):
     docs, rows = make(spark)
