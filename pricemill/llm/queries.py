@@ -1,14 +1,31 @@
 """The operators as queries over a folder of Parquet tables, with the same in SQL where SQL can say it."""
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricemill.llm import decontamination, line_rules, mixing, pii, quality, secrets, sharding, simhash, tokens, toxicity
+from pricemill.llm import (
+    alignment,
+    decontamination,
+    line_rules,
+    mixing,
+    pii,
+    quality,
+    secrets,
+    sharding,
+    simhash,
+    tokens,
+    toxicity,
+    turn_trie,
+    url_rules,
+)
 from pricemill.sources.staging import new_path
 
 SHARDS = 8
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def _table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -115,6 +132,20 @@ def op10_simhash_bytes(spark, sf_dir):
     return linked.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_glob_automaton(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.judged(pages).select("row.page_id", "host", "path", "rule", "verdict")
+
+
+def op12_token_alignment(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.alignment(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+
+
+def op13_turn_trie(spark, sf_dir):
+    return turn_trie.prefix_nodes(_table(spark, sf_dir, "conversations"))
+
+
 def _pipeline(spark, sf_dir):
     from corpus_pipeline import run
 
@@ -132,6 +163,9 @@ QUERIES = {
     "op8_suffix_automaton": op8_suffix_automaton,
     "op9_validated_pii": op9_validated_pii,
     "op10_simhash_bytes": op10_simhash_bytes,
+    "op11_glob_automaton": op11_glob_automaton,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_turn_trie": op13_turn_trie,
     "pipeline": _pipeline,
 }
 
@@ -246,6 +280,75 @@ select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit,
 from docs left join hits using (doc_id) left join named using (doc_id)
 """
 
+def _sql_glob(glob: str) -> str:
+    """The glob as a regular expression for a whole text."""
+    runs = {"**": "(?s:.*)", "*": "[^/?]*", "?": "(?s:.)"}
+    parts = re.findall(r"\*\*|\*|\?|\[!?.[^]]*\]|.", glob)
+    return "".join(runs.get(p) or (p.replace("[!", "[^") if len(p) > 1 else re.escape(p)) for p in parts).replace("'", "''")
+
+
+_LISTED = [
+    ("org/", "org", "/", "allow"),
+    ("example.org/es/", "example.org", "/es/", "block"),
+    ("example.org/en/1", "example.org", "/en/1", "block"),
+    ("com/fr/", "com", "/fr/", "allow"),
+    ("com/de/", "com", "/de/", "block"),
+]
+_SECOND = sorted((r for r in url_rules.RULES if not r.listed), key=lambda r: -r.rank[1])
+_OP11 = f"""
+with rests as (select page_id, case when strpos(url, '://') > 0 then split_part(substr(url, strpos(url, '://') + 3), '#', 1) else '' end as rest
+               from pages),
+parts as (select page_id, rest, regexp_extract(rest, '^[^/?]*') as h from rests),
+named as (select page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                 split_part(substr(rest, length(h) + 1), '?', 1) as path, substr(rest, length(h) + 1) as after from parts),
+listed(name, rule_host, start, verdict) as (values {", ".join(map(repr, _LISTED))}),
+fits as (select page_id, max_by(name, length(name)) as rule, max_by(verdict, length(name)) as verdict
+         from named join listed on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, start)
+         group by page_id)
+select page_id, host, path, rule, coalesce(verdict, case
+{chr(10).join(f"when regexp_full_match(concat(host, after), '{_sql_glob(r.globs[0])}') then '{r.verdict}'" for r in _SECOND)}
+else 'allow' end) as verdict
+from named left join fits using (page_id)
+"""
+
+_CRC_TABLE = """list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0],
+                lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end))"""
+_OP13 = f"""
+with ids as (select distinct conv_id as c from conversations where conv_id is not null),
+crc as (select {_CRC_TABLE} as t),
+heads as (select c, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(c as varchar), ''), lambda s: ascii(s)::bigint)),
+                 lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1])), 4294967295) % 4 as h from ids, crc),
+given as (select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text, turn from conversations where conv_id is not null),
+own as (select *, row_number() over (partition by c order by turn nulls first, role, sha256(concat(length(role), ':', role, text))) as d from given),
+built as (select heads.c, d, role, text from heads join own on own.c = heads.c - heads.c % 20 where d <= h
+          union all
+          select c, least(h, n) + d - h, role, text
+          from (select heads.c, d, role, text, h, (select count(*) from own o where o.c = heads.c - heads.c % 20) as n
+                from heads join own on own.c = heads.c where d > h)),
+hashed as (select c, d, concat(length(role), ':', role, text) as whole,
+                  len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words from built),
+rows as (select c, d, words, sha256(string_agg(sha256(whole), ',') over (partition by c order by d)) as node from hashed
+         union all select c, 0, 0, '' from ids),
+ends as (select c, max(d) as last from rows group by c),
+nodes as (select node, d, min(rows.c) as least, count(*) as n, any_value(words) as words,
+                 coalesce(string_agg(cast(rows.c as varchar), ',' order by rows.c) filter (where last = d), '') as ended,
+                 bool_and(last = d) as childless
+          from rows join ends on ends.c = rows.c group by node, d),
+paths as (select rows.c, rows.d, rows.node, above.node as parent from rows left join rows above on above.c = rows.c and above.d = rows.d - 1),
+parents as (select distinct node, parent from paths),
+sums as (select rows.node, sum(leaf) as n_leaves, sum(saved) as saved
+         from (select rows.c, rows.d, rows.node,
+                      sum(case when least = rows.c and childless then 1 else 0 end) over down as leaf,
+                      sum(case when least = rows.c then (n - 1) * nodes.words else 0 end) over down as saved
+               from rows join nodes on nodes.node = rows.node
+               window down as (partition by rows.c order by rows.d desc)) rows
+         group by rows.node)
+select nodes.least as conv_id, cast(nodes.d as bigint) as depth, up.least as parent_conv_id, nodes.n as n_convs,
+       (select count(*) from parents k where k.parent = nodes.node) as n_children,
+       cast(n_leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, sha256(nodes.ended) as ends_sha256
+from nodes join parents on parents.node = nodes.node left join nodes up on up.node = parents.parent join sums on sums.node = nodes.node
+"""
+
 # Learned scores, the shard hash, token ids, checksums with context and the fingerprint hash have no SQL
 # form; tests/llm holds these queries against plain Python.
 ORACLE_SQL = {
@@ -253,4 +356,6 @@ ORACLE_SQL = {
     "op4_line_rules": _OP4,
     "op7_systematic_mix": _OP7,
     "op8_suffix_automaton": _OP8,
+    "op11_glob_automaton": _OP11,
+    "op13_turn_trie": _OP13,
 }
