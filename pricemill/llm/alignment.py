@@ -2,7 +2,7 @@
 
 import hashlib
 import re
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +15,10 @@ from pricemill.llm.worker import worker_state
 from pricemill.sources.staging import staged
 
 # A block is what one task holds: its documents share one list of units and one list of id pairs.
-BLOCK_CHARS = 32_000_000
-_BATCH_CHARS = 2_000_000
+BLOCK_CHARS = 8_000_000
+# Units a worker remembers from block to block, about 400 bytes each: time against memory, never results.
+KNOWN_UNITS = 250_000
+_BATCH_CHARS = 1_000_000
 _ROW_CODES = 1 << 18
 _ROW_DOCS = 1 << 14
 _BULK = 200
@@ -71,29 +73,37 @@ class Tokenizers:
         self.bytes_b = pa.array([piece_bytes(p) for p in pieces], pa.binary())
         self.opens = np.array([token.startswith(b" ") for token in spelled])
 
-    def _bulk(self, units: list[str]) -> list[list[int]]:
-        """Units without white space, many at a time: a token that begins with a space begins a unit."""
+    def _bulk(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number per unit) of units without white space, many at a time: a token that begins
+        with a space begins a unit."""
         texts = [" " + " ".join(units[at : at + _BULK]) for at in range(0, len(units), _BULK)]
-        ids = np.fromiter(chain.from_iterable(e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)), np.int64)
+        ids = _flat([e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)])
         starts = np.flatnonzero(self.opens[ids])
         if len(starts) != len(units):
-            return [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
-        flat, ends = ids.tolist(), [*starts[1:].tolist(), len(ids)]
-        return [flat[s:e] for s, e in zip(starts.tolist(), ends)]
+            return self._alone(units)
+        return ids, np.diff(np.append(starts, len(ids)))
 
-    def ids_a(self, units: list[str]) -> list[list[int]]:
-        simple = [bool(u) and not _ODD.search(u) for u in units]
-        bulk = iter(self._bulk([u for u, yes in zip(units, simple) if yes]))
-        rest = [" " + u for u, yes in zip(units, simple) if not yes]
-        alone = (e.ids for e in self.a.encode_batch_fast(rest, add_special_tokens=False))
-        return [next(bulk) if yes else next(alone) for yes in simple]
+    def _alone(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
+        return _flat(lists), np.fromiter(map(len, lists), np.int64, len(lists))
 
-    def ids_b(self, units: list[str]) -> list[list[int]]:
-        return self.b.encode(units, num_threads=1)
+    def ids_a(self, units: list[str], n_simple: int) -> pa.ListArray:
+        """The first ``n_simple`` units hold no white space and are not empty."""
+        (ids, sizes), (more, more_sizes) = self._bulk(units[:n_simple]), self._alone(units[n_simple:])
+        return _lists(np.concatenate((ids, more)), np.concatenate((sizes, more_sizes)))
 
+    def ids_b(self, units: list[str]) -> pa.ListArray:
+        lists = self.b.encode(units, num_threads=1)
+        return _lists(_flat(lists), np.fromiter(map(len, lists), np.int64, len(lists)))
 
-def _lists(ids: list[list[int]]) -> pa.ListArray:
-    return pa.array(ids, pa.list_(pa.int64()))
+
+def _flat(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), np.int64)
+
+
+def _lists(ids: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
 
 
 def _ends(lists: pa.ListArray, spelled: pa.Array) -> pa.Table:
@@ -119,7 +129,7 @@ def _joined(texts: pa.Array, owner: np.ndarray, n: int, sign: str) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), texts), sign)
 
 
-def align(tokenizers: Tokenizers, units: list[str]) -> dict:
+def align(tokenizers: Tokenizers, units: list[str], n_simple: int = 0) -> dict:
     """Per unit: ``good`` (both tokenizers spell it), ``n_a``, ``n_b``, ``n_groups``, ``n_links``, its groups as
     ``text``, and its id pairs: ``pair_counts`` per unit, then ``pairs`` (a << 32 | b) and ``repeats``.
 
@@ -128,8 +138,8 @@ def align(tokenizers: Tokenizers, units: list[str]) -> dict:
     ids per group gives the linked pairs, so a long group costs its different ids, not its occurrences.
     """
     n = len(units)
-    a, b = _lists(tokenizers.ids_a(units)), _lists(tokenizers.ids_b(units))
-    wanted = pa.array([(" " + u).encode() for u in units], pa.binary())
+    a, b = tokenizers.ids_a(units, n_simple), tokenizers.ids_b(units)
+    wanted = pc.cast(pc.binary_join_element_wise("", pa.array(units, pa.string()), " "), pa.binary())
     good = _spelled_right(a, tokenizers.bytes_a, wanted) & _spelled_right(b, tokenizers.bytes_b, wanted)
     keep = pa.array(good)
     sides = []
@@ -172,52 +182,89 @@ def align(tokenizers: Tokenizers, units: list[str]) -> dict:
     }
 
 
-class _Block:
-    """Documents as codes of units, until they are a block."""
+class Units:
+    """Aligned units of a worker by their text, with what ``align`` says of them."""
 
     def __init__(self, tokenizers: Tokenizers):
         self.tokenizers = tokenizers
+        self.clear()
+
+    def clear(self) -> None:
         self.code: dict[str, int] = {}
-        self.parts: list[dict] = []
         self.texts: list[str] = []
-        self.numbers = {k: np.zeros(0, np.int64) for k in ("good", "n_a", "n_b", "n_groups", "n_links")}
-        self.rows: list[dict] = []
-        self.chars = 0
+        self.parts: list[dict] = []
+        self.numbers = {k: np.zeros(0, np.int64) for k in ("good", "n_a", "n_b", "n_groups", "n_links", "pair_counts")}
 
-    def _codes(self, pieces: list[str]) -> np.ndarray:
-        """Codes of different pieces; new ones are aligned."""
-        new = [p for p in pieces if p not in self.code]
+    def codes(self, pieces: list[str], wanted: np.ndarray) -> np.ndarray:
+        """Codes of different pieces; those that are wanted and new are aligned first."""
+        code = self.code
+        found = np.fromiter(map(code.get, pieces, repeat(-1)), np.int32, len(pieces))
+        new = [pieces[i] for i in np.flatnonzero(wanted & (found < 0))]
         if new:
-            part = align(self.tokenizers, new)
-            self.code.update(zip(new, range(len(self.code), len(self.code) + len(new))))
+            simple = [p for p in new if p and not _ODD.search(p)]
+            if len(simple) < len(new):
+                held = set(simple)
+                new = simple + [p for p in new if p not in held]
+            part = align(self.tokenizers, new, len(simple))
+            code.update(zip(new, range(len(code), len(code) + len(new))))
             self.texts += part.pop("text")
             for k in self.numbers:
                 self.numbers[k] = np.concatenate((self.numbers[k], part.pop(k).astype(np.int64)))
             self.parts.append(part)
-        return np.fromiter(map(self.code.__getitem__, pieces), np.int32, len(pieces))
+            found = np.fromiter(map(code.get, pieces, repeat(-1)), np.int32, len(pieces))
+        return found
+
+    def pairs_of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of pairs per code, pairs, repeats) of some units."""
+        for k in ("pairs", "repeats"):
+            if len(self.parts) > 1:
+                self.parts[0][k] = np.concatenate([p[k] for p in self.parts])
+        del self.parts[1:]
+        counts = self.numbers["pair_counts"]
+        at = _spread(np.cumsum(counts) - counts, counts, codes)
+        pairs, repeats = (self.parts[0][k] if self.parts else np.zeros(0, np.int64) for k in ("pairs", "repeats"))
+        return counts[codes], pairs[at], repeats[at]
+
+
+def _odd(pieces: pa.Array) -> np.ndarray:
+    """Whether white space other than the single spaces around it touches a piece."""
+    same = pc.equal(pc.utf8_trim_whitespace(pieces), pieces)
+    return pc.or_(pc.invert(same), pc.equal(pc.binary_length(pieces), 0)).to_numpy(zero_copy_only=False)
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The places of all entries of some lists that lie one after the other."""
+    size = sizes[codes]
+    return np.repeat(starts[codes] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+class _Block:
+    """Documents as codes of units, until they are a block."""
+
+    def __init__(self, units: Units):
+        self.units = units
+        self.rows: list[dict] = []
+        self.chars = 0
 
     def add(self, names: list, texts: pa.Array) -> None:
         """Documents with text; ids may be null."""
         lists = pc.split_pattern(texts, " ")
         words = pc.list_flatten(lists).dictionary_encode()
-        pieces = words.dictionary.to_pylist()
-        odd = np.fromiter((not p or p[0].isspace() or p[-1].isspace() for p in pieces), bool, len(pieces))
+        pieces, odd = words.dictionary.to_pylist(), _odd(words.dictionary)
         at = words.indices.to_numpy()
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         marked = np.concatenate(([0], np.cumsum(odd[at])))[offsets]
-        plain = np.flatnonzero(np.diff(marked) == 0)
-        used = np.zeros(len(pieces), bool)
-        inside = np.repeat(np.diff(marked) == 0, np.diff(offsets))
-        used[at[inside]] = True
-        chosen = np.flatnonzero(used)
-        codes = np.zeros(len(pieces), np.int32)
-        codes[chosen] = self._codes([pieces[i] for i in chosen])
-        self._row([names[i] for i in plain], codes[at[inside]], np.diff(offsets)[plain])
+        plain = np.diff(marked) == 0
+        inside = np.repeat(plain, np.diff(offsets))
+        wanted = np.zeros(len(pieces), bool)
+        wanted[at[inside]] = True
+        codes = self.units.codes(pieces, wanted)
+        self._row([names[i] for i in np.flatnonzero(plain)], codes[at[inside]], np.diff(offsets)[plain])
         # Spaces next to other white space: cut at the spaces where both tokenizers cut for certain.
-        for i in np.flatnonzero(np.diff(marked)):
+        for i in np.flatnonzero(~plain):
             pieces = _CUT.split(texts[i].as_py())
             different = list(dict.fromkeys(pieces))
-            code = dict(zip(different, self._codes(different)))
+            code = dict(zip(different, self.units.codes(different, np.ones(len(different), bool))))
             self._row([names[i]], np.fromiter(map(code.__getitem__, pieces), np.int32, len(pieces)), np.array([len(pieces)]))
         self.chars += pc.sum(pc.utf8_length(texts)).as_py() or 0
 
@@ -225,15 +272,16 @@ class _Block:
         """Numbers of whole documents; those that one tokenizer does not spell right have no units."""
         if not names:
             return
+        numbers, texts = self.units.numbers, self.units.texts
         ends = np.concatenate(([0], np.cumsum(lengths)))
-        bad = np.concatenate(([0], np.cumsum(self.numbers["good"][codes] == 0)))
+        bad = np.concatenate(([0], np.cumsum(numbers["good"][codes] == 0)))
         whole = np.diff(bad[ends]) == 0
         row = {"doc_ids": names, "digests": []}
         for i, (s, e) in enumerate(zip(ends[:-1], ends[1:])):
-            text = ";".join(map(self.texts.__getitem__, codes[s:e].tolist())) if whole[i] else ""
+            text = ";".join(map(texts.__getitem__, codes[s:e].tolist())) if whole[i] else ""
             row["digests"].append(hashlib.sha256(text.encode()).hexdigest() if whole[i] else "")
         for k in ("n_a", "n_b", "n_groups", "n_links"):
-            sums = np.concatenate(([0], np.cumsum(self.numbers[k][codes])))
+            sums = np.concatenate(([0], np.cumsum(numbers[k][codes])))
             row[k] = np.where(whole, np.diff(sums[ends]), 0)
         row["n_units"] = np.where(whole, lengths, 0).astype(np.int32)
         row["codes"] = codes[np.repeat(whole, lengths)]
@@ -246,18 +294,18 @@ class _Block:
 
     def finished(self, block: int):
         """The rows of the block as record batches: documents, units, and the pairs with their documents."""
-        joined = [np.concatenate([p[k] for p in self.parts]) if self.parts else np.zeros(0, np.int64) for k in ("pair_counts", "pairs", "repeats")]
-        counts, keys, repeats = joined
+        used, local = np.unique(np.concatenate([row["codes"] for row in self.rows]), return_inverse=True)
+        counts, keys, repeats = self.units.pairs_of(used)
         pairs, pair_codes = np.unique(keys, return_inverse=True)
-        bounds = np.concatenate(([0], np.cumsum(counts)))
-        n_docs = np.zeros(len(pairs), np.int64)
-        for row in self.rows:
+        bounds = np.cumsum(counts) - counts
+        n_docs, ends = np.zeros(len(pairs), np.int64), np.cumsum([len(row["codes"]) for row in self.rows])
+        for row, end in zip(self.rows, ends):
+            row["codes"] = local[end - len(row["codes"]) : end].astype(np.int32)
             doc = np.repeat(np.arange(len(row["n_units"])), row["n_units"])
             held = pa.table({"doc": doc, "code": row["codes"]}).group_by(["doc", "code"], use_threads=False).aggregate([])
             code, doc = held["code"].to_numpy(), held["doc"].to_numpy()
             size = counts[code]
-            step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            linked = pair_codes[np.repeat(bounds[code], size) + step]
+            linked = pair_codes[_spread(bounds, counts, code)]
             each = pa.table({"doc": np.repeat(doc, size), "pair": linked}).group_by(["doc", "pair"], use_threads=False)
             partial = each.aggregate([]).group_by("pair", use_threads=False).aggregate([([], "count_all")])
             n_docs[partial["pair"].to_numpy()] += partial["count_all"].to_numpy()
@@ -306,9 +354,9 @@ def _slices(batch: pa.RecordBatch):
 def _blocks(path_a: str, path_b: str, block_chars: int):
     def run(batches):
         pa.set_cpu_count(1)
-        tokenizers = worker_state(f"two tokenizers {path_a} {path_b}", lambda: Tokenizers(path_a, path_b))
+        units = worker_state(f"units {path_a} {path_b}", lambda: Units(Tokenizers(path_a, path_b)))
         number = TaskContext.get().partitionId() << 32
-        block = _Block(tokenizers)
+        block = _Block(units)
         for batch in batches:
             for start, end in _slices(batch):
                 some = pa.Table.from_batches([batch.slice(start, end - start)])
@@ -321,9 +369,13 @@ def _blocks(path_a: str, path_b: str, block_chars: int):
                     block.add(some["doc_id"].to_pylist(), pc.cast(some["text"], pa.string()).combine_chunks())
                 if block.chars >= block_chars:
                     yield from block.finished(number)
-                    number, block = number + 1, _Block(tokenizers)
+                    number, block = number + 1, _Block(units)
+                    if len(units.code) > KNOWN_UNITS:
+                        units.clear()
         if block.rows:
             yield from block.finished(number)
+        if len(units.code) > KNOWN_UNITS:
+            units.clear()
 
     return run
 
