@@ -7,11 +7,12 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricemill.llm.worker import worker_state
+from pricemill.llm.worker import release_worker_state, worker_state
 from pricemill.sources.staging import staged
 
 # A block is what one task holds: its documents share one list of units and one list of id pairs.
@@ -309,9 +310,9 @@ class _Block:
             each = pa.table({"doc": np.repeat(doc, size), "pair": linked}).group_by(["doc", "pair"], use_threads=False)
             partial = each.aggregate([]).group_by("pair", use_threads=False).aggregate([([], "count_all")])
             n_docs[partial["pair"].to_numpy()] += partial["count_all"].to_numpy()
-            yield _batch(block, _DOCS, 1, **{k: [row[k]] for k in row if k != "codes"}, codes=[row["codes"].tobytes()])
+            yield _batch(block, _DOCS, 1, **{k: [row[k]] for k in row if k != "codes"}, codes=[_packed(row["codes"])])
         payload = {"pair_counts": counts, "pair_codes": pair_codes, "pair_repeats": repeats}
-        yield _batch(block, _UNITS, 1, **{k: [v.astype(np.int32).tobytes()] for k, v in payload.items()})
+        yield _batch(block, _UNITS, 1, **{k: [_packed(v)] for k, v in payload.items()})
         for at in range(0, len(pairs), _ROW_CODES):
             some = pairs[at : at + _ROW_CODES]
             columns = {"place": np.arange(at, at + len(some)), "a": some >> _SHIFT, "b": some & _LOW, "n_docs": n_docs[at : at + len(some)]}
@@ -351,6 +352,14 @@ def _slices(batch: pa.RecordBatch):
         start = end
 
 
+def _packed(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(values.astype("<i4").tobytes())
+
+
+def _unpacked(data: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data.as_buffer()), "<i4")
+
+
 def _blocks(path_a: str, path_b: str, block_chars: int):
     def run(batches):
         pa.set_cpu_count(1)
@@ -382,6 +391,7 @@ def _blocks(path_a: str, path_b: str, block_chars: int):
 
 def _scored(key, blocks: pa.Table, counts: pa.Table) -> pa.Table:
     """The rows of one block's documents, from the corpus-wide counts of the block's pairs."""
+    release_worker_state()
     size = len(counts)
     place = counts["place"].to_numpy()
     n_docs, best = np.zeros(size, np.int64), np.zeros(size, np.int64)
@@ -389,9 +399,7 @@ def _scored(key, blocks: pa.Table, counts: pa.Table) -> pa.Table:
     best[place] = counts["best"].to_numpy(zero_copy_only=False)
     kinds = blocks["kind"].to_numpy()
     units = blocks.take(np.flatnonzero(kinds == _UNITS))
-    pair_counts, codes, repeats = (
-        np.frombuffer(units[k][0].as_buffer(), np.int32) for k in ("pair_counts", "pair_codes", "pair_repeats")
-    )
+    pair_counts, codes, repeats = (_unpacked(units[k][0]) for k in ("pair_counts", "pair_codes", "pair_repeats"))
     bounds = np.concatenate(([0], np.cumsum(pair_counts)))
 
     def per_unit(values):
@@ -400,7 +408,7 @@ def _scored(key, blocks: pa.Table, counts: pa.Table) -> pa.Table:
     of_unit = {"n_best": per_unit(best), "count_sum": per_unit(n_docs)}
     out = []
     for row in blocks.take(np.flatnonzero(kinds == _DOCS)).select(_DOC_COLUMNS).to_batches(max_chunksize=1):
-        used = np.frombuffer(row["codes"][0].as_buffer(), np.int32)
+        used = _unpacked(row["codes"][0])
         ends = np.concatenate(([0], np.cumsum(row["n_units"][0].values.to_numpy())))
         columns = {k: row[k][0].values for k in ("n_a", "n_b", "n_groups", "n_links")}
         columns |= {k: np.diff(np.concatenate(([0], np.cumsum(v[used])))[ends]) for k, v in of_unit.items()}
