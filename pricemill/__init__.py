@@ -13,7 +13,6 @@ from pricemill.operators.catalog import (
     in_holdout,
     pack_quantity,
     price_fences,
-    profile,
 )
 from pricemill.operators.chunking import (
     assign_chunks,
@@ -22,6 +21,7 @@ from pricemill.operators.chunking import (
     row_index,
     with_chunk,
 )
+from pricemill.operators.groups import grouped_holdout, leaks, product_groups
 from pricemill.operators.images import (
     ArrowStore,
     FolderStore,
@@ -32,11 +32,16 @@ from pricemill.operators.images import (
 from pricemill.operators.leaderboard import leaderboard, public_score, score_submissions
 from pricemill.operators.model import PriceModel, fit_price_model, text_features
 from pricemill.operators.predict import batch_predictor, hash_predictor, predict, row_predictor
+from pricemill.operators.profile import merge_profiles, profile, read_profile, sketch_profile, write_profile
+from pricemill.operators.quantiles import exact_quantiles, nth_values
 from pricemill.operators.sampling import in_sample, sample_exact
 from pricemill.operators.scoring import error_metrics, smape
+from pricemill.operators.segments import error_by_segment, leaderboard_bootstrap, price_band
+from pricemill.operators.tfidf import TextVocabulary, fit_vocabulary
 from pricemill.operators.validation import check_submission, evaluate_submission
 from pricemill.sources.csv import headers, read_csv, read_products, read_submission, write_csv
 from pricemill.sources.files import list_files, read_chunks, write_chunks
+from pricemill.sources.quarantine import read_csv_marked, read_csv_quarantined
 from pricemill.sources.staging import released_after
 
 # Functions of this package reach the Python workers by value, so executors need no copy of it.
@@ -46,17 +51,22 @@ __all__ = [
     "ArrowStore",
     "FolderStore",
     "PriceModel",
+    "TextVocabulary",
     "assign_chunks",
     "batch_predictor",
     "check_submission",
     "chunk_counts",
     "clean",
     "ensemble",
+    "error_by_segment",
     "error_metrics",
     "evaluate_submission",
+    "exact_quantiles",
     "fetch_images",
     "fit_price_model",
+    "fit_vocabulary",
     "flag_outliers",
+    "grouped_holdout",
     "hash_predictor",
     "hash_price",
     "headers",
@@ -64,18 +74,27 @@ __all__ = [
     "in_holdout",
     "in_sample",
     "leaderboard",
+    "leaderboard_bootstrap",
+    "leaks",
     "link_basename",
     "list_files",
+    "merge_profiles",
+    "nth_values",
     "pack_quantity",
     "pending_images",
     "predict",
+    "price_band",
     "price_fences",
+    "product_groups",
     "profile",
     "public_score",
     "read_chunks",
     "read_csv",
+    "read_csv_marked",
+    "read_csv_quarantined",
     "read_indexed_csv",
     "read_products",
+    "read_profile",
     "read_submission",
     "released_after",
     "row_index",
@@ -83,6 +102,7 @@ __all__ = [
     "sample_exact",
     "score_submissions",
     "seeded_digest",
+    "sketch_profile",
     "smape",
     "target_path",
     "text_features",
@@ -90,4 +110,5 @@ __all__ = [
     "with_chunk",
     "write_chunks",
     "write_csv",
+    "write_profile",
 ]

@@ -1,13 +1,12 @@
-"""Preparing a catalog for a model: holdout, cleaning, outliers, pack quantity, profile, ensemble."""
+"""Preparing a catalog for a model: holdout, cleaning, outliers, pack quantity, ensemble."""
 
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pricemill.functions.hashing import unit_hash
-from pricemill.operators.chunking import row_index
+from pricemill.operators.quantiles import exact_quantiles
 from pricemill.schema import SAMPLE_SEED
 
 PACK_PATTERN = r"(?i)\bpack of (\d+)"
@@ -44,16 +43,12 @@ def price_fences(products: DataFrame, k: float = 1.5, price: str = "price") -> D
     """One row ``q1, q3, low, high``: exact quartiles of the prices and the fences k spreads beyond them.
 
     The quartiles are the lowest prices that at least a quarter and three quarters of the rows do not
-    exceed. The prices alone are numbered in order (``row_index``) and two positions are read. Null, NaN
-    and no rows at all give no quartile.
+    exceed, found by ``exact_quantiles``: a few counting scans of the price column, no sort. Null, NaN and no
+    rows at all give no quartile.
     """
-    usable = products.filter(F.col(price).isNotNull() & ~F.isnan(price)).select(F.col(price).alias("p"))
-    indexed = row_index(usable, "p")
-    n = indexed.count()
-    first, third = (n + 3) // 4 - 1, (3 * n + 3) // 4 - 1
-    quartiles = indexed.agg(
-        F.max(F.when(F.col("idx") == first, F.col("p"))).alias("q1"),
-        F.max(F.when(F.col("idx") == third, F.col("p"))).alias("q3"),
+    q1, q3 = exact_quantiles(products, price, (0.25, 0.75))
+    quartiles = products.sparkSession.range(1).select(
+        F.lit(q1).cast("double").alias("q1"), F.lit(q3).cast("double").alias("q3")
     )
     spread = k * (F.col("q3") - F.col("q1"))
     return quartiles.select("q1", "q3", (F.col("q1") - spread).alias("low"), (F.col("q3") + spread).alias("high"))
@@ -98,41 +93,3 @@ def pack_quantity(text: str | Column = "catalog_content", pattern: str = PACK_PA
     """The whole number in the first group of the first match; null without a match."""
     text = F.col(text) if isinstance(text, str) else text
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1).try_cast("bigint"))
-
-
-def profile(products: DataFrame) -> DataFrame:
-    """One row per column: rows, nulls, distinct values and, for text, shortest and longest length.
-
-    One pass for all counts but the distinct ones; distinct values are counted exactly, each column by two
-    groupings that are partial before their shuffle.
-    """
-    fields = products.schema.fields
-    columns = []
-    for i, field in enumerate(fields):
-        column = F.col(f"`{field.name}`")
-        columns += [F.count_if(column.isNull()).alias(f"nulls_{i}")]
-        length = F.length(column) if isinstance(field.dataType, T.StringType) else F.lit(None).cast("int")
-        columns += [F.min(length).alias(f"short_{i}"), F.max(length).alias(f"long_{i}")]
-    counts = products.agg(F.count("*").alias("n_rows"), *columns)
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(f.name).alias("column"),
-                F.col("n_rows"),
-                F.col(f"nulls_{i}").alias("n_nulls"),
-                F.col(f"short_{i}").alias("shortest"),
-                F.col(f"long_{i}").alias("longest"),
-            )
-            for i, f in enumerate(fields)
-        ]
-    )
-    distinct = [
-        products.select(F.col(f"`{f.name}`").alias("v"))
-        .filter("v is not null")
-        .distinct()
-        .agg(F.count("*").alias("n_distinct"))
-        .select(F.lit(f.name).alias("column"), "n_distinct")
-        for f in fields
-    ]
-    per_column = counts.select(F.explode(entries).alias("e")).select("e.*")
-    return per_column.join(F.broadcast(reduce(DataFrame.unionByName, distinct)), "column")

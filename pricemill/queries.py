@@ -7,15 +7,21 @@ from pricemill.functions.hashing import hash_price
 from pricemill.functions.links import link_basename, target_path
 from pricemill.operators import catalog
 from pricemill.operators.chunking import assign_chunks, chunk_counts, read_indexed_csv, with_chunk
+from pricemill.operators.groups import grouped_holdout
 from pricemill.operators.images import fetch_images, image_manifest, pending_images, store_for
 from pricemill.operators.leaderboard import leaderboard, public_score
 from pricemill.operators.model import fit_price_model
 from pricemill.operators.predict import batch_predictor, hash_predictor, predict, row_predictor
+from pricemill.operators.profile import DISTINCT_ERROR, RANK_ERROR, merge_profiles, profile, sketch_profile
+from pricemill.operators.quantiles import exact_quantiles
 from pricemill.operators.sampling import sample_exact
 from pricemill.operators.scoring import error_metrics, smape
+from pricemill.operators.segments import PRICE_BANDS, error_by_segment, leaderboard_bootstrap
+from pricemill.operators.tfidf import TextVocabulary, fit_vocabulary
 from pricemill.operators.validation import check_submission, evaluate_submission
 from pricemill.schema import NULL_TOKENS, SUBMISSION_SCHEMA, TRAIN_SCHEMA
 from pricemill.sources.csv import headers, read_products, read_submission, write_csv
+from pricemill.sources.quarantine import read_csv_marked
 from pricemill.sources.files import list_files, read_chunks, write_chunks
 from pricemill.sources.staging import new_path, staged
 
@@ -308,7 +314,110 @@ def price_model(spark, sf_dir):
 
 
 def catalog_profile(spark, sf_dir):
-    return catalog.profile(products(spark, sf_dir))
+    return profile(products(spark, sf_dir))
+
+
+def price_quantiles(spark, sf_dir):
+    """Every twentieth of the line prices, from counts of their leading bits."""
+    shares = [i / 20 for i in range(21)]
+    values = exact_quantiles(_table(spark, sf_dir, "lineitem"), "l_extendedprice", shares)
+    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], "twentieth long, price double")
+
+
+QUARANTINE_LINES = """
+select o_orderkey as sample_id, o_orderkey % 10 as digit,
+       case when o_orderkey % 13 = 1 then concat(cast(o_orderkey as string), ',abc')
+            when o_orderkey % 13 = 2 then concat(cast(o_orderkey as string), ',5,extra')
+            when o_orderkey % 13 = 3 then cast(o_orderkey as string)
+            when o_orderkey % 13 = 4 then concat(cast(o_orderkey as string), ',-3.5')
+            when o_orderkey % 13 = 5 then concat('x', cast(o_orderkey as string), ',"1,5"')
+            else concat(cast(o_orderkey as string), ',', cast(o_custkey as string), '.5') end as line
+from orders
+"""
+
+
+def csv_quarantine(spark, sf_dir):
+    """Ten files by the last digit of the id: one with another header, and bad lines in all others."""
+    lines = spark.sql(QUARANTINE_LINES.replace("from orders", "from {orders}"), orders=_table(spark, sf_dir, "orders"))
+    titles = lines.select(F.lit(-1).cast("long").alias("sample_id"), "digit").distinct()
+    title = F.when(F.col("digit") == 7, "sample_id,Price").otherwise("sample_id,price").alias("line")
+    path = new_path(spark, "quarantine")
+    rows = lines.unionByName(titles.select("sample_id", "digit", title))
+    rows.repartition("digit").sortWithinPartitions("digit", "sample_id").select("digit", F.col("line").alias("value")).write.partitionBy(
+        "digit"
+    ).text(path)
+    marked = read_csv_marked(spark, path, SUBMISSION_SCHEMA, multi_line=False, positive=["price"])
+    digit = F.regexp_extract("file", r"/digit=(\d)/", 1).cast("bigint").alias("digit")
+    return marked.select(digit, "sample_id", "price", "record", "reason")
+
+
+def profile_merge(spark, sf_dir):
+    """Order profiles stored per priority and merged, beside the exact counts: the errors that are promised hold."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    stored = staged(sketch_profile(orders, "o_orderpriority"), "part-profiles")
+    merged = staged(merge_profiles(stored), "merged-profile")
+    exact = profile(orders).select("column", F.col("n_distinct").alias("exact"))
+    # The rank of every merged quartile, from one pass over the rows; three columns have quartiles.
+    quartiles = {r.column: r for r in merged.filter("median is not null").collect()}
+    shares = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    firm = F.lit(None).cast("boolean")
+    if quartiles:
+        at = {(c, q): F.avg((F.col(c) <= F.lit(r[q])).cast("double")) for c, r in quartiles.items() for q in shares}
+        under = {(c, q): F.avg((F.col(c) < F.lit(r[q])).cast("double")) for c, r in quartiles.items() for q in shares}
+        names = {key: f"r{i}" for i, key in enumerate(at)}
+        ranks = orders.agg(*[at[k].alias(n) for k, n in names.items()], *[under[k].alias("u" + n) for k, n in names.items()]).first()
+        good = {
+            c: all(ranks["u" + names[c, q]] - RANK_ERROR <= share <= ranks[names[c, q]] + RANK_ERROR for q, share in shares.items())
+            for c in quartiles
+        }
+        for c, yes in good.items():
+            firm = F.when(F.col("column") == c, F.lit(yes)).otherwise(firm)
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= DISTINCT_ERROR * F.col("exact")
+    joined = merged.join(exact, "column")
+    return joined.select(
+        "column", "n_rows", "n_nulls", "shortest", "longest", "low", "high", F.col("exact").alias("n_distinct"), near.alias("distinct_near"), firm.alias("quartiles_near")
+    )
+
+
+def text_tfidf(spark, sf_dir):
+    """Weights of all words of all documents, from a vocabulary that was saved and loaded."""
+    table = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.col("text").alias("catalog_content"))
+    path = new_path(spark, "text-vocabulary")
+    fit_vocabulary(table).save(path)
+    vectors = TextVocabulary.load(spark, path).vectors(table)
+    entries = vectors.select("sample_id", F.explode(F.arrays_zip("indices", "values")).alias("e"))
+    return entries.select("sample_id", F.col("e.indices").alias("idx"), F.round("e.values", 6).alias("weight"))
+
+
+# Three neighbours share a text, but for case and signs; every fifth part has the link of the part 7 further on.
+GROUPED_SQL = """
+select p_partkey as sample_id,
+       concat(case when p_partkey % 2 = 0 then 'LAMP, no. ' else 'lamp no  ' end, cast(floor(p_partkey / 3) as bigint)) as catalog_content,
+       case when p_partkey % 11 = 0 then null
+            else concat('https://img.example.com/', cast(p_partkey + case when p_partkey % 5 = 0 then 7 else 0 end as string), '.jpg') end as image_link
+from part
+"""
+
+
+def holdout_grouped(spark, sf_dir):
+    rows = spark.sql(GROUPED_SQL.replace("from part", "from {part}"), part=_table(spark, sf_dir, "part"))
+    return grouped_holdout(rows, 0.2).select("sample_id", "group", "holdout")
+
+
+def error_by_segment_query(spark, sf_dir):
+    """Hash prices of the parts that are no multiple of 7, by band of the true price, brand and type."""
+    table = products(spark, sf_dir)
+    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sample_id"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type"))
+    truth = table.select("sample_id", "price").join(part, "sample_id")
+    errors = error_by_segment(predict(table.filter("sample_id % 7 != 0")), truth, ["brand", "type"])
+    return _rounded(errors, "smape", "mae", "rmse", "r2")
+
+
+BOOTSTRAP_REPLICATES = 40
+
+
+def leaderboard_bootstrap_query(spark, sf_dir):
+    return leaderboard_bootstrap(_submissions(spark, sf_dir), _truth(spark, sf_dir), BOOTSTRAP_REPLICATES)
 
 
 def submission_check(spark, sf_dir):
@@ -413,6 +522,13 @@ QUERIES = {
     "pack_quantity": pack_quantity,
     "price_model": price_model,
     "catalog_profile": catalog_profile,
+    "price_quantiles": price_quantiles,
+    "csv_quarantine": csv_quarantine,
+    "profile_merge": profile_merge,
+    "text_tfidf": text_tfidf,
+    "holdout_grouped": holdout_grouped,
+    "error_by_segment": error_by_segment_query,
+    "leaderboard_bootstrap": leaderboard_bootstrap_query,
     "submission_check": submission_check,
     "submission_evaluate": submission_evaluate,
     "public_score": public_score_query,
@@ -509,6 +625,41 @@ scores as (select submission_id, ok, n_public,
                   case when ok then full_smape end as final_smape from checked)
 """
 
+def _sql_band(price: str) -> str:
+    names = [f"{e:g}" for e in PRICE_BANDS]
+    cases = [f"when {price} < {names[0]} then 'under {names[0]}'"]
+    cases += [f"when {price} < {high} then '{low}-{high}'" for low, high in zip(names, names[1:])]
+    return f"case {' '.join(cases)} else '{names[-1]} and over' end"
+
+
+_POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
+_BOOTSTRAP = f"""
+{_SCORES.replace("checked as", "unused as")},
+drawn as (select submission_id, sample_id, s, unnest(range({BOOTSTRAP_REPLICATES} + 1)) as r
+          from terms where known and not isnan(p) and not isinf(p)),
+digests as (select *, md5(concat('42:', length(cast(sample_id as varchar)), ':', sample_id, ':', length(cast(r // 8 as varchar)), ':', r // 8)) as d from drawn),
+bits as (select *, cast(concat('0x', substr(d, (r % 8) * 4 + 1, 4)) as int) as b from digests),
+weighed as (select submission_id, r, s, case when r = 0 then 1 else {" + ".join(f"(b >= {int(c * 65536 + 0.5)})::int" for c in _POISSON)} end as w from bits),
+sums as (select submission_id, r, cast(sum(w) as bigint) as n, round(sum(w * s) / sum(w), 6) as score from weighed group by all having sum(w) > 0),
+ranked as (select *, rank() over (partition by r order by score) as place from sums),
+placed as (select submission_id, place, row_number() over (partition by submission_id order by place, r) as k,
+                  count(*) over (partition by submission_id) as total from ranked where r > 0),
+intervals as (select submission_id, min(place) filter (where k >= total * 0.025) as low_rank, min(place) filter (where k >= total * 0.975) as high_rank,
+                     avg(cast(place = 1 as double)) as first_share from placed group by submission_id)
+select cast(submission_id as integer) as submission_id, n as n_scored, score as smape, cast(place as integer) as "rank",
+       cast(low_rank as integer) as low_rank, cast(high_rank as integer) as high_rank, first_share
+from ranked left join intervals using (submission_id) where r = 0
+"""
+
+_PROFILE_MERGE = " union all ".join(
+    f"""select '{c}' as "column", count(*) as n_rows, count(*) - count({c}) as n_nulls,
+       cast({f"min(length({c}))" if text else "null"} as integer) as shortest, cast({f"max(length({c}))" if text else "null"} as integer) as longest,
+       cast({"null" if text else f"min({c})"} as double) as low, cast({"null" if text else f"max({c})"} as double) as high,
+       count(distinct {c}) as n_distinct, true as distinct_near, cast({"null" if text else "true"} as boolean) as quartiles_near
+from orders"""
+    for c, text in (("o_orderkey", False), ("o_custkey", False), ("o_totalprice", False), ("o_orderstatus", True))
+)
+
 _BASENAME = (
     r"regexp_extract(regexp_replace(image_link, '(/+\.?)+$|^\.$', ''), '([^/]*)$', 1)"
 )
@@ -675,6 +826,51 @@ from products
 union all
 select 'price', count(*), count(*) - count(price), null, null, count(distinct price) from products
 """,
+    "price_quantiles": """
+with places as (select l_extendedprice as p, row_number() over (order by l_extendedprice) as k, count(*) over () as n from lineitem)
+select i as twentieth, max(p) filter (where k = greatest((i * n + 19) // 20, 1)) as price
+from places, (select unnest(range(21)) as i) group by i
+""",
+    "csv_quarantine": f"""
+with lines as ({QUARANTINE_LINES}), kinds as (select *, case when sample_id % 13 between 1 and 5 then sample_id % 13 else 0 end as k from lines)
+select digit, case when k = 0 then sample_id end as sample_id, case when k = 0 then cast(split_part(line, ',', 2) as double) end as price,
+       case when k > 0 then line end as record,
+       case k when 1 then 'price is no double: abc' when 2 then '3 fields, not 2' when 3 then '1 fields, not 2'
+              when 4 then 'price is not positive' when 5 then concat('sample_id is no bigint: x', sample_id) end as reason
+from kinds where digit != 7
+union all select distinct digit, cast(null as bigint), cast(null as double), 'sample_id,Price', 'header' from lines where digit = 7
+""",
+    "profile_merge": _PROFILE_MERGE,
+    "text_tfidf": """
+with words as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) as word from documents),
+counted as (select doc_id, word, count(*) as n from words group by all),
+vocabulary as (select word, count(*) as n_docs, row_number() over (order by count(*) desc, word) - 1 as idx from counted group by word)
+select doc_id as sample_id, idx, round(n * ln(((select count(*) from documents) + 1.0) / (n_docs + 1.0)), 6) as weight
+from counted join vocabulary using (word)
+""",
+    "holdout_grouped": f"""
+with recursive products as ({GROUPED_SQL}),
+keys as (select sample_id, trim(regexp_replace(lower(catalog_content), '[^a-z0-9]+', ' ', 'g')) as key from products
+         union all select sample_id, image_link from products where image_link is not null),
+edges as (select distinct a.sample_id as a, b.sample_id as b from keys a join keys b using (key)),
+reached as (select sample_id as a, sample_id as b from products
+            union select reached.a, edges.b from reached join edges on reached.b = edges.a),
+grouped as (select a as sample_id, min(b) as "group" from reached group by a)
+select sample_id, "group", {_sql_unit("""concat('42:', "group")""")} < 0.2 as holdout from grouped
+""",
+    "error_by_segment": f"""
+with products as ({PRODUCTS_SQL}),
+pairs as (select {_sql_band("price")} as band, p_brand as brand, p_type as type,
+                 case when sample_id % 7 != 0 then price end as a,
+                 case when sample_id % 7 != 0 then {_sql_price("concat('42:', sample_id)")} end as p
+          from products join part on p_partkey = sample_id)
+select band, brand, type, cast(grouping(band, brand, type) as bigint) as "grouping", count(*) as n_truth, count(p) as n_scored,
+       round(avg(case when abs(a) + abs(p) = 0 then 0 else 100 * (abs(p - a) / ((abs(a) + abs(p)) / 2)) end), 6) as smape,
+       round(avg(abs(p - a)), 6) as mae, round(sqrt(avg((p - a) * (p - a))), 6) as rmse,
+       round(case when var_pop(a) * count(a) = 0 then null else 1 - sum((p - a) * (p - a)) / (var_pop(a) * count(a)) end, 6) as r2
+from pairs group by cube (band, brand, type)
+""",
+    "leaderboard_bootstrap": _BOOTSTRAP,
     "public_score": f"""
 {_SCORES}
 select submission_id, n_public, ok, public_smape as smape from scores

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pricemill.operators import catalog
+from pricemill.operators import catalog, profile
 from pricemill.operators.model import fit_price_model, text_features
 from pricemill.schema import TRAIN_SCHEMA
 
@@ -72,7 +72,7 @@ def test_pack_quantity(spark):
 
 def test_profile(spark):
     rows = [(1, "ab", None, 1.0), (2, "", "x", 1.0), (3, None, "x", None)]
-    got = {r.column: tuple(r)[1:] for r in catalog.profile(products(spark, rows)).collect()}
+    got = {r.column: tuple(r)[1:] for r in profile.profile(products(spark, rows)).collect()}
     assert got == {
         "sample_id": (3, 0, None, None, 3), "catalog_content": (3, 1, 0, 2, 2),
         "image_link": (3, 1, 1, 1, 1), "price": (3, 1, None, None, 1),
