@@ -53,11 +53,14 @@ def read_csv_marked(
     ``record``. A file whose header differs in any letter is one row: its header, with reason 'header'; none
     of its lines is read as data, since their columns are unknown. Files without a line have no row.
 
-    All columns are parsed for every job that looks at ``reason``, so a line is good or bad whatever a job selects. ``multi_line`` as in ``read_csv``: a quote that is never closed takes the rest of the file.
+    All columns are parsed for every job that looks at ``reason``, so a line is good or bad whatever a job
+    selects. ``multi_line`` as in ``read_csv``: a quote that is never closed takes the rest of the file. The
+    headers are read at once (see ``headers``), the lines when a job asks for them.
     """
     written = T.StructType([f for f in schema.fields if f.name not in from_folders])
-    checked = headers(spark, path, written)
-    wrong = checked.filter(~F.col("good")).select("file", F.col("header").alias("record"), F.lit("header").alias("reason"))
+    # At most one row per file, and the driver lists the files in any case.
+    found = headers(spark, path, written).filter(~F.col("good")).select("file", "header").collect()
+    wrong = spark.createDataFrame([(r.file, r.header, "header") for r in found], QUARANTINE_SCHEMA)
     rows = (
         spark.read.schema(T.StructType([*schema.fields, T.StructField(_RECORD, T.StringType())]))
         .options(**FORMAT)
@@ -88,8 +91,8 @@ def read_csv_marked(
     marked = marked.select(
         *[F.when(F.col("reason").isNull(), value).alias(name) for name, value in values.items()], "file", "record", "reason"
     )
-    # The files of the wrong headers are few in any table that is worth reading; their names decide.
-    kept = marked.join(wrong.select("file"), "file", "left_anti").select(*schema.names, "file", "record", "reason")
+    kept = marked.join(F.broadcast(wrong.select("file")), "file", "left_anti") if found else marked
+    kept = kept.select(*schema.names, "file", "record", "reason")
     nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
     return kept.unionByName(wrong.select(*nothing, "file", "record", "reason"))
 

@@ -46,13 +46,26 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def released_after(spark: SparkSession) -> Iterator[None]:
-    """Delete the tables staged inside the block at its end, for jobs that write their own output."""
-    folder = new_path(spark, "job")
+def staged_in(folder: str) -> Iterator[None]:
+    """Put the tables staged inside the block into this folder, to be removed by ``remove``."""
     token = _job_folder.set(folder)
     try:
         yield
     finally:
         _job_folder.reset(token)
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def released_after(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables staged inside the block at its end, for jobs that write their own output."""
+    folder = new_path(spark, "job")
+    try:
+        with staged_in(folder):
+            yield
+    finally:
+        remove(spark, folder)
