@@ -15,8 +15,10 @@ from pricemill.sources.staging import staged
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-# A line that more than so many different documents of one host hold is boilerplate.
-MAX_LINE_DOCUMENTS = 100
+# A line is boilerplate if it stands in more than this share of the different documents of its host, and in
+# more than so many of them.
+MAX_LINE_PERCENT = 5
+MIN_LINE_DOCUMENTS = 10
 # A document that loses more than this share of its words is depleted.
 MAX_REMOVED_PERCENT = 50
 # Rows of one line are dealt to so many groups when the lines over the limit are looked up.
@@ -78,39 +80,54 @@ def _line_hash(line):
     return F.xxhash64(_normal(line))
 
 
-def frequent_lines(docs: DataFrame, text_col: str, host_col: str, max_documents: int) -> DataFrame:
-    """(host, line) hashes of the lines that more than ``max_documents`` different texts of a host hold.
+def _over_the_limit(distinct: DataFrame, members: DataFrame, max_percent: int, min_documents: int) -> DataFrame:
+    """(host, line) of distinct rows (host, line, document) that pass both limits; ``members`` has a row
+    (host, document) per document. Few lines pass the second limit, so the hosts join few rows."""
+    counted = distinct.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > min_documents)
+    hosts = members.distinct().groupBy("host").agg(F.count("*").alias("documents"))
+    over = 100 * F.col("n") > max_percent * F.col("documents")
+    return counted.join(hosts, "host").filter(over).select("host", "line", "n")
+
+
+def frequent_lines(
+    docs: DataFrame, text_col: str, host_col: str, max_percent: int = MAX_LINE_PERCENT, min_documents: int = MIN_LINE_DOCUMENTS
+) -> DataFrame:
+    """(host, line) hashes of the lines that more than ``max_percent`` of the different texts of a host hold, and
+    more than ``min_documents`` of them.
 
     Copies of a text are one document: they are one row per task before the first shuffle. A null host is
     a host of its own; lines without a word are no lines.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    host = F.xxhash64(F.col(host_col).isNull(), F.col(host_col)).alias("host")
     lines = F.array_distinct(F.transform(F.split(text, "\n", -1), _normal))
     held = docs.select(
-        F.xxhash64(F.col(host_col).isNull(), F.col(host_col)).alias("host"),
-        F.xxhash64(text).alias("document"),
-        F.explode(F.filter(lines, lambda line: line != "")).alias("line"),
+        host, F.xxhash64(text).alias("document"), F.explode(F.filter(lines, lambda line: line != "")).alias("line")
     )
     distinct = held.select("host", F.xxhash64("line").alias("line"), "document").distinct()
-    return distinct.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > max_documents)
+    return _over_the_limit(distinct, docs.select(host, F.xxhash64(text).alias("document")), max_percent, min_documents)
 
 
-def frequent_lines_of_classes(docs: DataFrame, text_col: str, host_col: str, max_documents: int) -> DataFrame:
+def frequent_lines_of_classes(
+    docs: DataFrame, text_col: str, host_col: str, max_percent: int = MAX_LINE_PERCENT, min_documents: int = MIN_LINE_DOCUMENTS
+) -> DataFrame:
     """Like ``frequent_lines``, but texts that are near copies of each other (see ``simhash``) count once."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.array_distinct(F.transform(F.split(text, "\n", -1), _normal))
+    # A text without lines still is a document of its host: it has one null line.
     held = docs.select(
         F.xxhash64(F.col(host_col).isNull(), F.col(host_col)).alias("host"),
         fingerprint_of(F.col(text_col)).alias("fp"),
         F.filter(lines, lambda line: line != "").alias("lines"),
-    ).select("host", "fp", F.explode("lines").alias("line"))
-    distinct = staged(held.select("host", F.xxhash64("line").alias("line"), "fp").distinct(), "line-holders")
+    ).select("host", "fp", F.explode_outer("lines").alias("line"))
+    line = F.when(F.col("line").isNotNull(), F.xxhash64("line")).alias("line")
+    distinct = staged(held.select("host", line, "fp").distinct(), "line-holders")
     found = components(fingerprint_links(distinct.select("fp").distinct()), "a", "b")
     classes = distinct.join(found, distinct.fp == found.node, "left").select(
-        "host", "line", F.coalesce("root", "fp").alias("class")
+        "host", "line", F.coalesce("root", "fp").alias("document")
     )
-    counted = classes.distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
-    return counted.filter(F.col("n") > max_documents)
+    lines = classes.filter(F.col("line").isNotNull()).distinct()
+    return _over_the_limit(lines, classes.select("host", "document"), max_percent, min_documents)
 
 
 def judged(
@@ -118,7 +135,8 @@ def judged(
     id_col: str = "doc_id",
     text_col: str = "text",
     host_col: str = "source",
-    max_documents: int = MAX_LINE_DOCUMENTS,
+    max_percent: int = MAX_LINE_PERCENT,
+    min_documents: int = MIN_LINE_DOCUMENTS,
     max_removed_percent: int = MAX_REMOVED_PERCENT,
     near_copies: bool = False,
 ) -> DataFrame:
@@ -129,7 +147,8 @@ def judged(
     false if the base rules fail or more than ``max_removed_percent`` of the words were removed. Empty and
     null texts fail the base rules.
 
-    Copies count once; with ``near_copies`` near copies do too, so that a large group of them is not rejected
+    A line is frequent if more than ``max_percent`` of the different documents of the host hold it, and more
+    than ``min_documents``. Copies count once; with ``near_copies`` near copies do too, so that a large group of them is not rejected
     for the lines that only its members share.
 
     Lines are counted and looked up by hashes. What to cut is joined back per (host, text): the rows stay
@@ -139,7 +158,7 @@ def judged(
     text = F.coalesce(F.col(text_col), F.lit(""))
     host = F.xxhash64(F.col(host_col).isNull(), F.col(host_col))
     count = frequent_lines_of_classes if near_copies else frequent_lines
-    frequent = staged(count(docs, text_col, host_col, max_documents), "frequent-lines")
+    frequent = staged(count(docs, text_col, host_col, max_percent, min_documents), "frequent-lines")
     salted = frequent.select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     words = F.coalesce(F.regexp_count(F.col("raw"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     lines = docs.select(

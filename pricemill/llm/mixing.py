@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricemill.llm.locate import PLACE, located
 from pricemill.operators.chunking import row_index
 from pricemill.sources.staging import staged
 
@@ -48,10 +49,11 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return ranked.select("source", "source_size", F.least(share_of, "cap").alias("target"))
 
 
-def mixed(rows: DataFrame, seed: int = SEED, **how) -> DataFrame:
+def mixed(rows: DataFrame, seed: int = SEED, ties: tuple[str, ...] = (), **how) -> DataFrame:
     """Add (source_size, target, copies) to rows (doc_id, source, size, ...): how often the mix takes each.
 
-    Within a source the rows stand in order of size and of a seeded hash of id and row. Every row expects
+    Within a source the rows stand in order of size, of a seeded hash of the id, of the columns ``ties`` and of a
+    hash of the row. Every row expects
     target / source_size copies; the running sum plus one random offset per source crosses whole numbers,
     and a row is taken once per crossing. Neighbours in the order have like sizes, so the words taken come
     within about one row of the target, and no row is taken more often than the expectation rounded up.
@@ -63,7 +65,7 @@ def mixed(rows: DataFrame, seed: int = SEED, **how) -> DataFrame:
     keyed = rows.withColumns(
         {"_order": F.md5(F.concat_ws(":", F.lit(str(seed)), "doc_id")), "_named": F.col("source").isNotNull()}
     )
-    placed = row_index(keyed, ["_named", "source", "size", "_order"])
+    placed = row_index(keyed, ["_named", "source", "size", "_order", *ties])
     sources = staged(
         placed.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("idx").alias("_first")), "mix-sources"
     )
@@ -85,12 +87,21 @@ def mixed(rows: DataFrame, seed: int = SEED, **how) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = SEED, id_col="doc_id", text_col="text", source_col="source", **how) -> DataFrame:
-    """The mixed corpus: the rows of ``docs``, each as often as the mix takes it."""
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).alias("source"),
-        word_count(F.col(text_col)).alias("size"),
-        F.struct("*").alias("row"),
+    """The mixed corpus: the rows of ``docs``, each as often as the mix takes it.
+
+    Only ids, sources, sizes and places of rows are numbered; the rows themselves meet the number of their
+    copies by place, in one join. Rows that share an id and a text are told apart by their place in the files.
+    """
+    rows = located(docs)
+    text = F.col(f"row.`{text_col}`")
+    numbers = rows.select(
+        F.col(f"row.`{id_col}`").alias("doc_id"),
+        F.col(f"row.`{source_col}`").alias("source"),
+        word_count(text).alias("size"),
+        F.xxhash64(text).alias("text_hash"),
+        *PLACE,
     )
-    taken = mixed(rows, seed, **how).filter("copies > 0")
-    return taken.select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")
+    taken = mixed(numbers, seed, ("text_hash",), **how).filter("copies > 0")
+    copies = staged(taken.select(*PLACE, F.col("copies").cast("int").alias("_copies")), "mix-copies")
+    joined = rows.join(copies, PLACE)
+    return joined.select(F.explode(F.array_repeat("row", F.col("_copies"))).alias("row")).select("row.*")

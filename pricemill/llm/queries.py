@@ -213,8 +213,10 @@ lines as (select doc_id, source, text, line, trim(regexp_replace(lower(line), '[
                  len(regexp_extract_all(line, '{_WORD}')) as n
           from (select doc_id, source, text, unnest(string_split(text, chr(10))) as line from texts)
           where regexp_matches(line, '{_WORD}')),
-frequent as (select source, normal from lines group by source, normal
-             having count(distinct text) > {line_rules.MAX_LINE_DOCUMENTS}),
+hosts as (select source, count(distinct text) as documents from texts group by source),
+counted as (select source, normal, count(distinct text) as n from lines group by source, normal),
+frequent as (select counted.source, normal from counted join hosts on counted.source is not distinct from hosts.source
+             where n > {line_rules.MIN_LINE_DOCUMENTS} and 100 * n > {line_rules.MAX_LINE_PERCENT} * documents),
 cut as (select doc_id, cast(sum(n) as bigint) as removed
         from lines join frequent on lines.source is not distinct from frequent.source and lines.normal = frequent.normal
         group by doc_id),

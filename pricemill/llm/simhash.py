@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricemill.llm.components import components
+from pricemill.llm.locate import PLACE, located
 from pricemill.llm.worker import release_worker_state
 from pricemill.sources.staging import staged
 
@@ -167,33 +168,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return with_components(prints)
 
 
-def with_components(prints: DataFrame) -> DataFrame:
-    """Add ``root`` and ``component_id`` to written rows (doc_id, fp)."""
+def members_of(prints: DataFrame) -> DataFrame:
+    """(fp, root, component_id) per different fingerprint of written rows (doc_id, fp)."""
     fps = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     found = components(fingerprint_links(fps), "a", "b")
     rooted = fps.join(found, fps.fp == found.node, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = staged(rooted.select("fp", "root").join(named, "root"), "components")
-    return prints.join(members, "fp", "left").select("doc_id", "fp", "root", "component_id")
+    return staged(rooted.select("fp", "root").join(named, "root"), "components")
+
+
+def with_components(prints: DataFrame) -> DataFrame:
+    """Add ``root`` and ``component_id`` to written rows (doc_id, fp)."""
+    return prints.join(members_of(prints), "fp", "left").select("doc_id", "fp", "root", "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest id (of repeated rows, any one)."""
-    rows = staged(
-        docs.select(
-            F.struct("*").alias("row"),
-            F.col(id_col).alias("doc_id"),
-            fingerprint_of(F.col(text_col)).alias("fp"),
-        ),
-        "fingerprinted",
-    )
-    linked = with_components(rows.select("doc_id", "fp"))
-    chosen = (
-        linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("root")
-        .agg(F.first("doc_id").alias("keep_id"), F.min("fp").alias("keep_fp"))
+    """``docs`` with one row of each component: the one with the smallest id.
+
+    Of repeated rows with that id the one with the smallest fingerprint stays, of equal ones that with the
+    smallest hash of its text, then the first in the files. Fingerprints and places are worked out alone; the
+    rows themselves meet only the list of places to keep, in one join.
+    """
+    rows = located(docs)
+    text = F.col(f"row.`{text_col}`")
+    numbers = rows.select(
+        F.col(f"row.`{id_col}`").alias("doc_id"), fingerprint_of(text).alias("fp"), F.xxhash64(text).alias("text_hash"), *PLACE
     )
-    same = rows.doc_id.eqNullSafe(chosen.keep_id) & (rows.fp == chosen.keep_fp)
-    return rows.join(chosen, same).dropDuplicates(["root"]).select("row.*")
+    prints = staged(numbers, "fingerprinted")
+    linked = prints.join(members_of(prints.select("doc_id", "fp")), "fp")
+    kept = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root")
+    kept = staged(kept.agg(F.min(F.struct("fp", "text_hash", *PLACE)).alias("k")).select("k.*").select(*PLACE), "kept-rows")
+    return rows.join(kept, PLACE, "left_semi").select("row.*")

@@ -76,6 +76,30 @@ def text_rules(text):
     }
 
 
+def normal_line(line):
+    return " ".join(WORD.findall(line.lower()))
+
+
+def frequent_lines(rows, max_percent, min_documents):
+    """Lines (host, line) over both limits; near copies (fingerprints joined over links) are one document."""
+    prints = {text: fingerprint(text) for _, text in rows}
+    values = sorted(set(prints.values()))
+    ids = dict(component_ids_of(values))
+    documents, holders = defaultdict(set), defaultdict(set)
+    for host, text in rows:
+        document = ids[prints[text]]
+        documents[host].add(document)
+        for line in (text or "").split("\n"):
+            if normal_line(line):
+                holders[host, normal_line(line)].add(document)
+    return {k for k, held in holders.items() if len(held) > min_documents and 100 * len(held) > max_percent * len(documents[k[0]])}
+
+
+def component_ids_of(values):
+    """(value, smallest value of its component) of different fingerprints."""
+    return zip(values, component_ids([(v, v) for v in values]))
+
+
 def benchmark_words(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)

@@ -236,12 +236,12 @@ def test_frequent_lines_are_cut(spark, make):
     rows += [(30 + i, f"{prose(77, 60)}\n{other}", None, "h", None) for i in range(15)]
     docs = spark.createDataFrame(rows, SCHEMA)
     docs = docs if make == "plain" else docs.withColumns({"row": F.lit(1), "stats": F.lit(2), "kept": F.lit(False)})
-    got = {r.doc_id: r.text for r in line_rules.cleaned(docs, max_documents=10).collect()}
+    got = {r.doc_id: r.text for r in line_rules.cleaned(docs, max_percent=0, min_documents=10).collect()}
     assert got.keys() == {*range(12), 20, *range(30, 45)}
     assert got[3] == f"{prose(3, 60)}\n\nend3" and got[4] == f"{prose(4, 60)}\n\nend4"
     assert got[20] == rows[12][1]  # another host
     assert got[30] == rows[14][1]  # fifteen copies are one document
-    assert line_rules.cleaned(docs, max_documents=10).columns == docs.columns
+    assert line_rules.cleaned(docs, max_percent=0, min_documents=10).columns == docs.columns
 
 
 def test_near_copies_do_not_reject_each_other(spark):
