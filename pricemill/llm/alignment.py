@@ -176,7 +176,7 @@ def align(tokenizers: Tokenizers, units: list[str], n_simple: int = 0) -> dict:
         "n_b": np.diff(b.offsets.to_numpy()),
         "n_groups": np.bincount(owner, minlength=n),
         "n_links": np.diff(ends),
-        "text": text.to_pylist(),
+        "text": text.to_numpy(zero_copy_only=False).tolist(),
         "pair_counts": counts,
         "pairs": per_unit["pair"].to_numpy()[order],
         "repeats": repeats,
@@ -251,7 +251,7 @@ class _Block:
         """Documents with text; ids may be null."""
         lists = pc.split_pattern(texts, " ")
         words = pc.list_flatten(lists).dictionary_encode()
-        pieces, odd = words.dictionary.to_pylist(), _odd(words.dictionary)
+        pieces, odd = words.dictionary.to_numpy(zero_copy_only=False).tolist(), _odd(words.dictionary)
         at = words.indices.to_numpy()
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         marked = np.concatenate(([0], np.cumsum(odd[at])))[offsets]

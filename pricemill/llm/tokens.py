@@ -2,10 +2,12 @@
 
 import re
 import zlib
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,14 +23,14 @@ END_ID = 0
 _HEADER = np.dtype([("magic", "<u4"), ("block_ids", "<u4"), ("n_ids", "<u8"), ("n_blocks", "<u4"), ("n_escapes", "<u4"), ("n_words", "<u8")])
 _MAGIC = 0x31423853
 _COUNTS = np.array([1, *(count for _, count in SELECTORS), 1], np.int64)
-# Pieces a worker remembers twice over, about 200 bytes each: time against memory, never results.
+# Pieces a worker remembers, about 200 bytes each: time against memory, never results.
 CACHE_PIECES = 400_000
 _BULK_PIECES = 10_000
 _END = END_ID.to_bytes(4, "little")
 _PUNCTUATION = ".,;:!?"
 # The byte-level sign for a space.
 _SPACE = "\u0120"
-_CHUNK_CHARS = 1_000_000
+_CHUNK_CHARS = 4_000_000
 # A space between two other signs that are no white space always starts a new pre-token.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -131,13 +133,19 @@ def decode(data: bytes, first_block: int = 0, end_block: int | None = None) -> n
     return out
 
 
+def _strings(texts: pa.Array) -> list[str]:
+    """A list of texts; several times faster than ``to_pylist``."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 class PieceEncoder:
     """Ids of whole texts, from the ids of their pieces between single spaces, which repeat very often.
 
     The byte-level pre-tokenizer never joins signs across a space that stands between two other signs, so
-    the ids are those of the text encoded at once. New pieces are encoded in long strings and cut apart at
-    the tokens that begin with a space. Two generations of about ``cache_pieces`` pieces are remembered,
-    as packed ids of the piece with its space, or None for a piece with white space at an end.
+    the ids are those of the text encoded at once; a tokenizer with other cuts raises ValueError. The pieces of a
+    batch are split and numbered by Arrow, so each different one is looked up once; its ids, those of a word and
+    those of the punctuation behind it, are gathered by their numbers. About ``cache_pieces`` pieces are
+    remembered, beyond that all are forgotten between two batches.
     """
 
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
@@ -148,63 +156,103 @@ class PieceEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for token, i in vocabulary.items() if token.startswith(_SPACE)]] = True
-        self.known: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
-        self.marks: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        # Entry 0 is nothing, entry 1 the end id. A word stands with its space, other entries as they are.
+        self.words: dict[str, int] = {}
+        self.alone: dict[str, int] = {"": 0}
+        self.ids, self.sizes = [np.array([END_ID], np.uint32)], [np.array([0, 1], np.int64)]
+        self.n_entries = 2
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         encodings = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in encodings]
 
-    def _missing(self, pieces: set[str]) -> set[str]:
-        """The pieces that are not known; those of the older generation become known again."""
-        missing = pieces.difference(self.known)
-        again = {p: self.older[p] for p in missing if p in self.older}
-        self.known.update(again)
-        missing.difference_update(again)
-        return missing
-
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) > self.cache_pieces:
-            self.known, self.older = {}, self.known
-        words, ended = set(), []
-        for p in self._missing(pieces):
-            if not p or p.strip() is not p:
-                self.known[p] = None
-                continue
-            word = p.rstrip(_PUNCTUATION)
-            if word is p or not word or not word[-1].isalnum():
-                words.add(p)
-            else:  # a letter or digit and a punctuation mark are never one pre-token
-                words.add(word)
-                ended.append((p, word))
-        new = list(self._missing(words))
+    def _add(self, names: dict[str, int], texts: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        names.update(zip(texts, range(self.n_entries, self.n_entries + len(texts))))
+        self.n_entries += len(texts)
+        self.ids.append(ids.astype(np.uint32))
+        self.sizes.append(sizes.astype(np.int64))
+
+    def _codes(self, names: dict[str, int], texts: list[str], learn) -> np.ndarray:
+        """Entries of different texts; new ones are learnt."""
+        found = np.fromiter(map(names.get, texts, repeat(-1)), np.int64, len(texts))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            learn([texts[i] for i in new])
+            found[new] = np.fromiter(map(names.__getitem__, map(texts.__getitem__, new.tolist())), np.int64, len(new))
+        return found
+
+    def _learn_words(self, new: list[str]) -> None:
         for at in range(0, len(new), _BULK_PIECES):
             part = new[at : at + _BULK_PIECES]
             bulk = [" " + " ".join(part[i : i + 500]) for i in range(0, len(part), 500)]
-            data = b"".join(self._plain(bulk))
-            starts = (4 * np.flatnonzero(self.opens[np.frombuffer(data, "<u4")])).tolist()
+            ids = np.frombuffer(b"".join(self._plain(bulk)), "<u4")
+            starts = np.flatnonzero(self.opens[ids])
             if len(starts) != len(part):
                 raise ValueError("this tokenizer does not keep pieces between spaces apart")
-            self.known.update(zip(part, map(data.__getitem__, map(slice, starts, [*starts[1:], len(data)]))))
-        known, marks = self.known, self.marks
-        for p, word in ended:
-            mark = p[len(word) :]
-            if mark not in marks:
-                marks[mark] = self._plain([mark])[0]
-            known[p] = known[word] + marks[mark]
+            self._add(self.words, part, ids, np.diff(np.append(starts, len(ids))))
+
+    def _learn_alone(self, new: list[str]) -> None:
+        encoded = self._plain(new)
+        sizes = np.fromiter(map(len, encoded), np.int64, len(new)) // 4
+        self._add(self.alone, new, np.frombuffer(b"".join(encoded), "<u4"), sizes)
+
+    def _gathered(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all entries one after the other, their number per entry)."""
+        for k in ("ids", "sizes"):
+            if len(getattr(self, k)) > 1:
+                setattr(self, k, [np.concatenate(getattr(self, k))])
+        sizes = self.sizes[0]
+        size = sizes[entries]
+        starts = (np.cumsum(sizes) - sizes)[entries]
+        at = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return self.ids[0][at], size
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """One array of ids per text, the end id last."""
-        cut = [t.split(" ") for t in texts]
-        self._learn(set(chain.from_iterable(pieces[1:] for pieces in cut)))
-        firsts = self._plain([pieces[0] for pieces in cut])
-        out = []
-        for text, first, pieces in zip(texts, firsts, cut):
-            rest = list(map(self.known.__getitem__, pieces[1:]))
-            if rest and (None in rest or not pieces[0] or pieces[0][-1].isspace()):
-                first, rest = self._with_white_space(text), []
-            out.append(np.frombuffer(b"".join((first, *rest, _END)), "<u4"))
+        if not texts:
+            return []
+        if self.n_entries > self.cache_pieces:
+            self._forget()
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        numbered = pc.list_flatten(lists).dictionary_encode()
+        pieces, at = numbered.dictionary, numbered.indices.to_numpy()
+        bounds = lists.offsets.to_numpy()
+        touched = pc.or_(pc.not_equal(pc.utf8_trim_whitespace(pieces), pieces), pc.equal(pc.binary_length(pieces), 0))
+        # A letter or digit and a punctuation mark are never one pre-token.
+        bare = pc.utf8_rtrim(pieces, characters=_PUNCTUATION)
+        words = pc.if_else(pc.match_substring_regex(bare, r"[\p{L}\p{N}]$"), bare, pieces)
+        behind = pc.subtract(pc.binary_length(pieces), pc.binary_length(words)).to_numpy()
+        touched = touched.to_numpy(zero_copy_only=False)
+        first = np.zeros(len(at), bool)
+        first[bounds[:-1]] = True
+        # White space next to a space, but for the first piece, which is encoded as it stands.
+        odd = touched[at] & ~first
+        odd[bounds[:-1]] = touched[at[bounds[:-1]]] & (np.diff(bounds) > 1)
+        whole = np.add.reduceat(odd, bounds[:-1]) == 0
+        used = np.zeros(len(pieces), bool)
+        used[at[~first & np.repeat(whole, np.diff(bounds))]] = True
+        entries = np.zeros((len(at), 3), np.int32)
+        chosen = np.flatnonzero(used)
+        code = np.zeros((len(pieces), 2), np.int64)
+        picked = words.take(pa.array(chosen)).dictionary_encode()
+        code[chosen, 0] = self._codes(self.words, _strings(picked.dictionary), self._learn_words)[picked.indices.to_numpy()]
+        chosen = chosen[behind[chosen] > 0]
+        marks = [p[-k:] for p, k in zip(_strings(pieces.take(pa.array(chosen))), behind[chosen].tolist())]
+        self._codes(self.alone, list(set(marks)), self._learn_alone)
+        code[chosen, 1] = np.fromiter(map(self.alone.__getitem__, marks), np.int64, len(marks))
+        entries[:, :2] = code[at]
+        heads = pieces.take(pa.array(at[bounds[:-1]])).dictionary_encode()
+        entries[bounds[:-1], 0] = self._codes(self.alone, _strings(heads.dictionary), self._learn_alone)[heads.indices.to_numpy()]
+        entries[bounds[:-1], 1] = 0
+        entries[bounds[1:] - 1, 2] = 1
+        ids, size = self._gathered(entries.ravel())
+        ends = np.concatenate(([0], np.cumsum(size)))[3 * bounds]
+        out = [ids[s:e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        for i in np.flatnonzero(~whole):
+            out[i] = np.frombuffer(self._with_white_space(texts[i]) + _END, "<u4")
         return out
 
     def _with_white_space(self, text: str) -> bytes:
