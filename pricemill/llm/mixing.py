@@ -103,5 +103,6 @@ def mix(docs: DataFrame, seed: int = SEED, id_col="doc_id", text_col="text", sou
     )
     taken = mixed(numbers, seed, ("text_hash",), **how).filter("copies > 0")
     copies = staged(taken.select(*PLACE, F.col("copies").cast("int").alias("_copies")), "mix-copies")
-    joined = rows.join(copies, PLACE)
+    # One plan at every size: the rows are shuffled once.
+    joined = rows.join(copies.hint("merge"), PLACE)
     return joined.select(F.explode(F.array_repeat("row", F.col("_copies"))).alias("row")).select("row.*")

@@ -200,4 +200,5 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     linked = prints.join(members_of(prints.select("doc_id", "fp")), "fp")
     kept = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root")
     kept = staged(kept.agg(F.min(F.struct("fp", "text_hash", *PLACE)).alias("k")).select("k.*").select(*PLACE), "kept-rows")
-    return rows.join(kept, PLACE, "left_semi").select("row.*")
+    # One plan at every size: the rows are shuffled once.
+    return rows.join(kept.hint("merge"), PLACE, "left_semi").select("row.*")
