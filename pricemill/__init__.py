@@ -36,8 +36,10 @@ from pricemill.operators.profile import merge_profiles, profile, read_profile, s
 from pricemill.operators.quantiles import exact_quantiles, nth_values
 from pricemill.operators.sampling import in_sample, sample_exact
 from pricemill.operators.scoring import error_metrics, smape
+from pricemill.operators.selection import LinearPrices, cross_validate, stack_weights, stacked
 from pricemill.operators.segments import error_by_segment, leaderboard_bootstrap, price_band
 from pricemill.operators.tfidf import TextVocabulary, fit_vocabulary
+from pricemill.operators.throttle import Refused, Throttle, fetch_throttled
 from pricemill.operators.validation import check_submission, evaluate_submission
 from pricemill.sources.csv import headers, read_csv, read_products, read_submission, write_csv
 from pricemill.sources.files import list_files, read_chunks, write_chunks
@@ -50,19 +52,24 @@ register_pickle_by_value(sys.modules[__name__])
 __all__ = [
     "ArrowStore",
     "FolderStore",
+    "LinearPrices",
     "PriceModel",
+    "Refused",
     "TextVocabulary",
+    "Throttle",
     "assign_chunks",
     "batch_predictor",
     "check_submission",
     "chunk_counts",
     "clean",
+    "cross_validate",
     "ensemble",
     "error_by_segment",
     "error_metrics",
     "evaluate_submission",
     "exact_quantiles",
     "fetch_images",
+    "fetch_throttled",
     "fit_price_model",
     "fit_vocabulary",
     "flag_outliers",
@@ -104,6 +111,8 @@ __all__ = [
     "seeded_digest",
     "sketch_profile",
     "smape",
+    "stack_weights",
+    "stacked",
     "target_path",
     "text_features",
     "unit_hash",

@@ -16,8 +16,10 @@ from pricemill.operators.profile import DISTINCT_ERROR, RANK_ERROR, merge_profil
 from pricemill.operators.quantiles import exact_quantiles
 from pricemill.operators.sampling import sample_exact
 from pricemill.operators.scoring import error_metrics, smape
+from pricemill.operators.selection import LinearPrices, cross_validate, stack_weights, stacked
 from pricemill.operators.segments import PRICE_BANDS, error_by_segment, leaderboard_bootstrap
 from pricemill.operators.tfidf import TextVocabulary, fit_vocabulary
+from pricemill.operators.throttle import Clock, Refused, Throttle, fetch_throttled
 from pricemill.operators.validation import check_submission, evaluate_submission
 from pricemill.schema import NULL_TOKENS, SUBMISSION_SCHEMA, TRAIN_SCHEMA
 from pricemill.sources.csv import headers, read_products, read_submission, write_csv
@@ -420,6 +422,79 @@ def leaderboard_bootstrap_query(spark, sf_dir):
     return leaderboard_bootstrap(_submissions(spark, sf_dir), _truth(spark, sf_dir), BOOTSTRAP_REPLICATES)
 
 
+PRICE_FEATURES = ["sample_id % 1000 / 1000D", "sample_id / 10000D", "length(catalog_content)", "length(catalog_content) * (sample_id % 1000) / 1000D"]
+
+
+def price_cv(spark, sf_dir):
+    """Folds of the parts: the price by id, as the catalog sets it, and text length; the model is stored and reloaded."""
+    table = products(spark, sf_dir)
+    model, scores = cross_validate(table, PRICE_FEATURES)
+    path = new_path(spark, "price-weights")
+    model.save(spark, path)
+    n_priced = LinearPrices.load(spark, path).predict(table).agg(F.count_if(F.col("price") > 0).alias("n")).scalar()
+    per_fold = scores.groupBy("fold").agg(
+        F.max("n_rows").alias("n_rows"),
+        F.round(F.max("baseline_smape"), 6).alias("baseline_smape"),
+        (F.min("smape") < F.max("baseline_smape")).alias("better"),
+    )
+    return per_fold.withColumn("n_priced", n_priced)
+
+
+def price_stack(spark, sf_dir):
+    """Two noisy models of the part prices, weighted on a tenth of the parts, applied to all."""
+    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sample_id"), F.col("p_retailprice").alias("price"))
+    key = F.col("sample_id")
+    table = part.select(
+        "sample_id", "price", (F.col("price") * (0.8 + 0.4 * _unit(F.lit("a"), key))).alias("a"), (F.col("price") * (0.5 + 0.6 * _unit(F.lit("b"), key))).alias("b")
+    )
+    members = {m: table.select("sample_id", F.col(m).alias("price")) for m in "ab"}
+    weights = stack_weights(members, table.filter(catalog.in_holdout("sample_id", 0.1)).select("sample_id", "price"))
+    return _rounded(stacked(members, weights), "price")
+
+
+class _RefusingFetcher:
+    """Refuses the first try of half of the links and every try of some."""
+
+    def __init__(self):
+        self.seen = set()
+
+    def __call__(self, url):
+        import hashlib
+
+        kind = hashlib.md5(url.encode()).hexdigest()[0]
+        if "#" in url:
+            raise ValueError("link with a fragment")
+        first = url not in self.seen
+        self.seen.add(url)
+        if kind == "0" or (kind < "8" and first):
+            raise Refused("come back later")
+        return url.encode()
+
+
+class _TaskTime:
+    """A clock that only sleeping moves."""
+
+    def __init__(self):
+        self.time = 0.0
+
+    def now(self):
+        return self.time
+
+    def sleep(self, seconds):
+        self.time += seconds
+
+
+def image_fetch_throttled(spark, sf_dir):
+    folder = new_path(spark, "throttled-images")
+    folder = folder if "://" in folder else folder.removeprefix("file:")
+    work = image_manifest_query(spark, sf_dir).withColumn("path", target_path(folder, "filename"))
+    time = _TaskTime()
+    throttle = Throttle(rate=50, attempts=3, clock=Clock(time.now, time.sleep))
+    log = fetch_throttled(work, _RefusingFetcher(), store_for(folder), throttle, spark.sparkContext.defaultParallelism)
+    log = staged(log, "throttled-log")
+    return log.select("filename", "url", "status", "n_bytes", "error", "host", "attempts")
+
+
 def submission_check(spark, sf_dir):
     expected = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sample_id"))
     submission = _table(spark, sf_dir, "lineitem").select(
@@ -523,6 +598,9 @@ QUERIES = {
     "price_model": price_model,
     "catalog_profile": catalog_profile,
     "price_quantiles": price_quantiles,
+    "price_cv": price_cv,
+    "price_stack": price_stack,
+    "image_fetch_throttled": image_fetch_throttled,
     "csv_quarantine": csv_quarantine,
     "profile_merge": profile_merge,
     "text_tfidf": text_tfidf,
@@ -839,6 +917,32 @@ select digit, case when k = 0 then sample_id end as sample_id, case when k = 0 t
               when 4 then 'price is not positive' when 5 then concat('sample_id is no bigint: x', sample_id) end as reason
 from kinds where digit != 7
 union all select distinct digit, cast(null as bigint), cast(null as double), 'sample_id,Price', 'header' from lines where digit = 7
+""",
+    "price_cv": f"""
+with products as ({PRODUCTS_SQL}),
+folds as (select price, cast(floor({_sql_unit("concat('42:', sample_id)")} * 5) as integer) as fold from products where price > 0),
+sums as (select fold, sum(ln(price)) as s, count(*) as n from folds group by fold),
+means as (select fold, exp(((select sum(s) from sums) - s) / ((select sum(n) from sums) - n)) as mean from sums)
+select folds.fold, count(*) as n_rows, round(avg(100 * (abs(mean - price) / ((mean + price) / 2))), 6) as baseline_smape, true as better,
+       (select count(*) from products) as n_priced
+from folds join means using (fold) group by folds.fold
+""",
+    "price_stack": f"""
+with rows as (select p_partkey as sample_id, p_retailprice as y, p_retailprice * (0.8::double + 0.4::double * {_sql_unit("concat('a:', p_partkey)")}) as a,
+                     p_retailprice * (0.5::double + 0.6::double * {_sql_unit("concat('b:', p_partkey)")}) as b from part),
+sums as (select sum(a * a) as aa, sum(a * b) as ab, sum(b * b) as bb, sum(a * y) as ay, sum(b * y) as by_
+         from rows where {_sql_unit("concat('42:', sample_id)")} < 0.1),
+weights as (select (ay * bb - by_ * ab) / (aa * bb - ab * ab) as wa, (by_ * aa - ay * ab) / (aa * bb - ab * ab) as wb from sums)
+select sample_id, round(wa * a + wb * b, 6) as price, cast(2 as bigint) as n_members from rows, weights
+""",
+    "image_fetch_throttled": f"""
+with kinds as (select *, substr(md5(url), 1, 1) as k, contains(url, '#') as lost from ({_PAGE_MANIFEST}))
+select filename, url, case when lost or k = '0' then 'error' else 'ok' end as status,
+       case when not lost and k != '0' then cast(strlen(url) as bigint) end as n_bytes,
+       case when lost then 'ValueError: link with a fragment' when k = '0' then 'Refused: come back later' end as error,
+       lower(regexp_extract(url, '://(?:[^/?#@]*@)?([^/?#]*)', 1)) as host,
+       cast(case when lost then 1 when k = '0' then 3 when k < '8' then 2 else 1 end as integer) as attempts
+from kinds
 """,
     "profile_merge": _PROFILE_MERGE,
     "text_tfidf": """
