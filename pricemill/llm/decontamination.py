@@ -12,8 +12,9 @@ from pricemill.sources.staging import staged
 
 WINDOW = 13
 MIN_COVERAGE = 0.05
-# Words of one automaton; a larger benchmark is streamed in blocks of items.
-BLOCK_WORDS = 2_000_000
+# Words of one automaton, about 150 MB in the driver and in each worker; a larger benchmark is streamed in
+# blocks of items.
+BLOCK_WORDS = 250_000
 
 # ASCII letters are lower-cased, other ASCII signs but digits divide words.
 _TABLE = bytes(
@@ -32,7 +33,7 @@ class Automaton:
     ``window`` words, or a whole item of fewer.
     """
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -117,13 +118,17 @@ class Automaton:
             if end - start < self.spans[0]:
                 continue
             run = known[start:end].tolist()
-            for span in self.spans:
-                if span <= len(run):
-                    for at, (state, matched) in enumerate(self.walk(run, span)):
-                        names = self.windows.get((state, span)) if matched == span else None
-                        if names:
-                            found.append((start + at + 1 - span, start + at + 1))
-                            items.update(names)
+            # One walk finds the longest match; shorter windows are suffixes of it, up the links.
+            for at, (state, matched) in enumerate(self.walk(run, self.spans[-1])):
+                for span in reversed(self.spans):
+                    if span > matched:
+                        continue
+                    while self.length[self.link[state]] >= span:
+                        state = self.link[state]
+                    names = self.windows.get((state, span))
+                    if names:
+                        found.append((start + at + 1 - span, start + at + 1))
+                        items.update(name for name in names if name is not None)
         return merged(found), items
 
 
@@ -142,7 +147,7 @@ def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words
     block, held = [], 0
     for name, text in benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).toLocalIterator():
         words = words_of(text)
-        if name is None or not words:
+        if not words:
             continue
         block.append((name, words))
         held += len(words)
@@ -168,8 +173,9 @@ def find_overlaps(
     """(row, n_words, starts, ends, items, cut) per row of ``docs``; ``row`` holds its columns.
 
     ``starts`` and ``ends`` bound the merged occurrences of item windows as word positions, ``items`` the ids of items with
-    an occurring window, as sorted text; ``cut`` is the text without the spans, null if it has none. Null texts have no words; items without an id or words are left
-    out; items that share an id count as one. An automaton is broadcast with ``block_words`` words (and
+    an occurring window, as sorted text; ``cut`` is the text without the spans, null if it has none. Null texts
+    have no words; items without words are left out; the windows of an item without an id are hit like others,
+    but it is not listed; items that share an id count as one. An automaton is broadcast with ``block_words`` words (and
     one item) at most; a larger benchmark takes one pass over the written rows per block of items.
     """
     rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))

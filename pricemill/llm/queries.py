@@ -275,7 +275,7 @@ found as (select doc_id, i, places.span, item from places join windows on places
 hits as (select doc_id, count(distinct place) as n_hit
          from (select doc_id, unnest(range(i, i + span)) as place from (select distinct doc_id, i, span from found))
          group by doc_id),
-named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names
+named as (select doc_id, count(item) as n_items, string_agg(item, ',' order by item) as names
           from (select distinct doc_id, item from found) group by doc_id)
 select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
        sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * n_hit >= len(ws) as contaminated

@@ -454,3 +454,17 @@ def test_pipeline_takes_odd_rows(spark, tmp_path):
     empty(spark).write.parquet(f"{tmp_path}/none/documents.parquet")
     benchmark.write.parquet(f"{tmp_path}/none/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize("block_words", [20, 100_000])
+def test_windows_of_items_without_an_id_are_hit(spark, block_words):
+    words = [prose(60 + i, 30).split() for i in range(4)]
+    items = [(None, " ".join(words[0])), ("a", " ".join(words[1])), (None, " ".join(words[2][:5])), ("b", " ".join(words[2][2:6])), ("c", words[3][0])]
+    texts = [" ".join(words[0][3:20]), " ".join(words[1]), " ".join(words[2]), f"{words[3][0]} x " * 3, None, "nothing here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    found = decontamination.find_overlaps(docs, benchmark, block_words=block_words)
+    got = sorted((r.row.doc_id, r.n_words, r.n_hit, sorted(r["items"])) for r in found.withColumn("n_hit", decontamination.hit_words()).collect())
+    want = brute.overlaps(texts, [(name or "", text) for name, text in items])
+    assert [g[:3] for g in got] == [(i, w[0], w[1]) for i, w in enumerate(want)]
+    assert [g[3] for g in got] == [[], ["a"], ["b"], ["c"], [], []]
