@@ -16,10 +16,10 @@ from pricemill.llm.worker import release_worker_state, worker_state
 from pricemill.sources.staging import staged
 
 # A block is what one task holds: its documents share one list of units and one list of id pairs.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 3_000_000
 # Units a worker remembers from block to block, about 400 bytes each: time against memory, never results.
-KNOWN_UNITS = 100_000
-_BATCH_CHARS = 1_000_000
+KNOWN_UNITS = 60_000
+_BATCH_CHARS = 400_000
 _ROW_CODES = 1 << 18
 _ROW_DOCS = 1 << 14
 _BULK = 200
