@@ -10,7 +10,7 @@ from pricemill.llm.tokens import PieceEncoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SIGNS = [" ", " ", " ", "\n", "\t", "a", "b", "the", "ing", "é", "日", "🙂", ".", ",", "'s", "1", "23", "!?", "<|endoftext|>", "\xa0", "　", "_", "-"]
-SIGNS += ["\r\n", "\x1c", "\x85", "...", "\x00", "word", "Ⅷ", "½"]
+SIGNS += ["\r\n", "\x1c", "\x85", "...", "\x00", "word", "Ⅷ", "½", "***", "$$$", "ß", "Жы", "ªº", "Ǆ", "Ελ", "don't", ".\nThe", "\x7f", "\xad"]
 
 
 @pytest.mark.parametrize("cache_pieces", [0, 500, 400_000])
