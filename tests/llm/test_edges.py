@@ -195,6 +195,29 @@ def test_secrets_of_every_row(spark, make):
     assert secrets.scanned(spark, empty(spark), ledger).count() == 0
 
 
+def test_only_texts_that_may_be_open_are_moved(spark):
+    old = spark.range(3000).selectExpr("id as doc_id", "concat('old ', id, ' password=abcdef', id) as text")
+    new = spark.range(40).selectExpr("id + 3000 as doc_id", "concat('new ', id, ' token=ghijkl', id) as text")
+    ledger = new_path(spark, "ledger")
+    secrets.scan_unseen(spark, old, ledger)
+    both = old.unionByName(new)
+    fresh = new.select(secrets.blob_of(F.col("text")).alias("blob"))
+    moved = secrets.maybe_open(both, fresh)
+    # All 40 new texts; an old one passes only if 28 bits agree.
+    assert moved.join(fresh, "blob").count() == 40 and moved.count() < 45
+    found = secrets.scanned(spark, both, ledger)
+    assert found.count() == 3040 and found.filter("size(spans) = 1").count() == 3040
+    assert spark.read.parquet(ledger).select("blob").distinct().count() == 3040
+
+
+def test_very_many_matches_in_one_text(spark):
+    text = "".join(f"password=abc{i} é " if i % 3 else f"token=a{i % 10} " for i in range(20000))
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "token=abcdef " * 256), (4, "token=abcdef " * 257)], "doc_id long, text string")
+    for r in secrets.scanned(spark, docs, new_path(spark, "ledger")).select("path.doc_id", "spans").collect():
+        own = {1: text, 2: "", 3: "token=abcdef " * 256, 4: "token=abcdef " * 257}[r.doc_id]
+        assert [tuple(x) for x in r.spans] == [(s, k + 1, e, n) for s, k, e, n in sorted(brute.secrets(own))]
+
+
 def test_ledger_scans_only_what_it_has_not_seen(spark):
     docs, rows = documents(spark)
     ledger = new_path(spark, "ledger")
