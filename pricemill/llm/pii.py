@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Order of the kinds, patterns and digit counts of the base kinds.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "routing", "dni", "nir")
 BASE_KINDS = KINDS[:4]
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A run of digits is tried from its first digit only: from a later one the rest of the pattern is the same.
@@ -15,11 +15,20 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
+_ROUTING = re.compile(r"(?<![0-9A-Za-z.-])[0-9]{9}(?![0-9A-Za-z-])")
+_DNI = re.compile(r"(?<![0-9A-Za-z.-])([0-9]{8}|[XYZ][0-9]{7})-?([A-Z])(?![0-9A-Za-z-])")
+_NIR = re.compile(r"(?<![0-9A-Za-z.-])([12](?:\x20?[0-9]){12})\x20?([0-9]{2})(?![0-9A-Za-z-])")
+# Check letters of Spanish identity numbers, weights of American bank routing numbers.
+_DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+_ROUTING_WEIGHTS = (3, 7, 1) * 3
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
-# Score of a confirmed match, and the words nearby that add to it.
-_SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
+# Score of a confirmed match, the words nearby that add to it and those that take from it. The checksum of an account
+# number is strong, the others need their words.
+_SCORES = {
+    "email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.7, "ssn": 0.3, "routing": 0.3, "dni": 0.4, "nir": 0.4
+}
 _CONTEXT = {
     "email": re.compile(r"(?i)\b(?:e-?mail|contact|write)\b"),
     "ip": re.compile(r"(?i)\b(?:ip|address|server|host)\b"),
@@ -27,7 +36,13 @@ _CONTEXT = {
     "phone": re.compile(r"(?i)\b(?:phone|tel|call|mobile|fax)\b"),
     "iban": re.compile(r"(?i)\b(?:iban|bank|account)\b"),
     "ssn": re.compile(r"(?i)\b(?:ssn|social security)\b"),
+    "routing": re.compile(r"(?i)\b(?:routing|aba|rtn)\b"),
+    "dni": re.compile(r"(?i)\b(?:dni|nif|nie|identidad)\b"),
+    "nir": re.compile(r"(?i)\b(?:nir|insee|s[ée]curit[ée] sociale)\b"),
 }
+_AGAINST = re.compile(
+    r"(?i)\b(?:order|invoice|serial|part|model|sku|isbn|ean|version|build|ticket|tracking|example|sample|dummy|placeholder)\b"
+)
 _CONTEXT_SIGNS = 40
 _CONTEXT_GAIN = 0.3
 MIN_SCORE = 0.5
@@ -99,20 +114,52 @@ def _ibans(text):
 
 
 def _ssns(text):
-    yield from (m.span() for m in _SSN.finditer(text))
+    """Numbers that can be given out: no area 000, 666 or 900 to 999, no group 00, no serial 0000."""
+    for m in _SSN.finditer(text):
+        area, group, serial = map(int, m.groups())
+        if area not in (0, 666) and area < 900 and group and serial:
+            yield m.span()
 
 
-_FINDERS = {"email": _emails, "ip": _ips, "card": _cards, "phone": _phones, "iban": _ibans, "ssn": _ssns}
+def _routings(text):
+    """Bank routing numbers: a used district in front and a weighted sum that 10 divides."""
+    for m in _ROUTING.finditer(text):
+        district = int(m[0][:2])
+        used = district <= 12 or 21 <= district <= 32 or 61 <= district <= 72 or district == 80
+        if used and int(m[0]) and sum(w * int(d) for w, d in zip(_ROUTING_WEIGHTS, m[0])) % 10 == 0:
+            yield m.span()
+
+
+def _dnis(text):
+    """Spanish identity numbers: the letter is the number modulo 23; X, Y, Z in front stand for 0, 1, 2."""
+    for m in _DNI.finditer(text):
+        if _DNI_LETTERS[int(m[1].translate(str.maketrans("XYZ", "012"))) % 23] == m[2]:
+            yield m.span()
+
+
+def _nirs(text):
+    """French social security numbers: the last two digits are 97 less the others modulo 97."""
+    for m in _NIR.finditer(text):
+        if 97 - int(m[1].replace(" ", "")) % 97 == int(m[2]):
+            yield m.span()
+
+
+_FINDERS = dict(zip(KINDS, (_emails, _ips, _cards, _phones, _ibans, _ssns, _routings, _dnis, _nirs)))
 
 
 def find(text: str | None) -> list[tuple[int, int, int, float]]:
-    """(start, rank of the kind, end, score), in order: all base matches, and others of ``MIN_SCORE`` or more."""
+    """(start, rank of the kind, end, score), in order: all base matches, and others of ``MIN_SCORE`` or more.
+
+    Words of the kind within 40 signs raise the score of a confirmed match, words of order numbers, versions and
+    examples lower it; matches of the kinds that are not base ones go or stay by that score.
+    """
     text = text or ""
     found = []
     for rank, kind in enumerate(KINDS):
         for start, end in _FINDERS[kind](text):
             around = f"{text[max(0, start - _CONTEXT_SIGNS) : start]} {text[end : end + _CONTEXT_SIGNS]}"
-            score = min(1.0, _SCORES[kind] + _CONTEXT_GAIN * bool(_CONTEXT[kind].search(around)))
+            moved = _CONTEXT_GAIN * (bool(_CONTEXT[kind].search(around)) - bool(_AGAINST.search(around)))
+            score = round(min(1.0, _SCORES[kind] + moved), 6)
             if kind in BASE_KINDS or score >= MIN_SCORE:
                 found.append((start, rank, end, score))
     return sorted(found)

@@ -116,13 +116,16 @@ def op9_validated_pii(spark, sf_dir):
             F.element_at(kinds, s["ranks"] + 1).alias("kind"), s["starts"].alias("start"), s["ends"].alias("end")
         ),
     )
-    rows = docs.select("doc_id", pii.personal_data(F.col("text")).alias("found")).select("doc_id", spans.alias("spans"))
+    scores = F.array_join(F.transform("found.scores", lambda s: F.format_string("%.2f", s)), ",")
+    found = docs.select("doc_id", pii.personal_data(F.col("text")).alias("found"))
+    rows = found.select("doc_id", spans.alias("spans"), scores.alias("scores"))
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
     return rows.select(
         "doc_id",
         *[_count(kind).alias(f"n_{kind}") for kind in pii.BASE_KINDS],
         F.sha2(_joined(base), 256).alias("base_sha256"),
         _joined(F.col("spans")).alias("spans"),
+        "scores",
     )
 
 

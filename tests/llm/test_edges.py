@@ -396,6 +396,34 @@ def test_context_and_checksums():
     assert kinds("ssn 123-45-6789") == ["ssn"] and kinds("part 123-45-6789") == []
     near, far = pii.find("call +1 706 555 31 38"), pii.find("code +1 706 555 31 38")
     assert near[0][3] > far[0][3]
+    # Numbers that are never given out.
+    assert all(kinds(f"ssn {n}") == [] for n in ("000-45-6789", "666-12-3456", "912-12-3456", "123-00-4567", "123-45-0000"))
+    assert kinds("routing 021000021") == ["routing"] and kinds("routing 021000022") == [] and kinds("code 021000021") == []
+    assert kinds("routing 000000000") == [] and kinds("routing 990000023") == []
+    assert kinds("DNI 12345678Z") == ["dni"] and kinds("DNI 12345678A") == [] and kinds("12345678Z") == []
+    assert kinds("NIE X1234567L") == ["dni"]
+    # These fifteen digits pass Luhn as well, so the base kind stays beside the other.
+    assert kinds("NIR 2 55 08 14 168 025 38") == ["card", "nir"] and kinds("NIR 2 55 08 14 168 025 39") == []
+
+
+def test_context_decides_on_method_spans_and_never_on_base_spans():
+    found = lambda text: [(pii.KINDS[rank], score) for _, rank, _, score in pii.find(text)]
+    iban = "DE89 3704 0044 0532 0130 00"
+    assert found(f"IBAN {iban}") == [("iban", 1.0)] and found(iban) == [("iban", 0.7)]
+    assert found(f"sample {iban}") == [] and found(f"bank sample {iban}") == [("iban", 0.7)]
+    assert found("ssn 123-45-6789, an example") == []
+    assert found("order 10.0.0.1") == [("ip", 0.3)] and found("host 10.0.0.1") == [("ip", 0.9)]
+    far = " " * 41
+    assert found(f"sample{far}{iban}") == [("iban", 0.7)]
+    assert found(None) == found("") == []
+
+
+def test_scores_stand_beside_the_spans(spark, sf_dir):
+    from pricemill.llm.queries import QUERIES
+
+    for r in QUERIES["op9_validated_pii"](spark, sf_dir).select("spans", "scores").collect():
+        spans, scores = (x.split(",") if x else [] for x in (r.spans, r.scores))
+        assert len(spans) == len(scores) and all(0 <= float(x) <= 1 for x in scores)
 
 
 def test_account_numbers_in_a_row_are_all_found():
