@@ -1,7 +1,12 @@
-"""Toxicity by a support vector machine over a subsequence string kernel with Nyström landmarks."""
+"""Toxicity by a support vector machine over a subsequence string kernel with Nyström landmarks.
+
+A document hands its label to its sentences, and a sentence to its windows: words, words without the signs inside,
+runs of single letters joined, pieces of long words. A sentence, and so a document, scores as its highest window.
+"""
 
 import re
 import string
+import zlib
 from collections import Counter
 from itertools import chain
 
@@ -13,12 +18,28 @@ from pyspark.sql import types as T
 
 from pricemill.llm.worker import worker_state
 
-# Gap-weighted subsequences of so many letters; every letter and gap in between costs one decay.
-ORDER = 4
-DECAY = 0.6
+# Common subsequences of so many letters, every order normalised on its own and averaged; a letter left out between
+# two of them costs one decay, a match nothing. The average is raised to a power, which parts near neighbours.
+ORDERS = (2, 3, 4)
+DECAY = 0.8
+POWER = 3
+# The kernel is 0 where the longest common subsequence has less than this share of the landmark's signs.
+SHARE = 0.6
 # A bounded sample of labelled documents is all that the fit sees.
 MAX_DOCUMENTS_PER_CLASS = 2000
-MAX_LANDMARKS = 48
+# Landmarks: words of toxic documents, clean words near them, and per further round words that the machine gets wrong.
+MAX_TOXIC_LANDMARKS = 96
+MAX_CLEAN_LANDMARKS = 64
+MAX_ADDED_LANDMARKS = 64
+ROUNDS = 3
+MAX_CLEAN_WORDS = 4000
+MAX_HIGH_WORDS = 1500
+_RIDGE = 1e-5
+# What each kind of training window weighs in all.
+_WEIGHTS = {"toxic": 1.0, "inserted": 3.0, "replaced": 4.0, "clean": 8.0, "other": 2.0, "unlike": 2.0}
+# A fold of the documents is left out of a first fit and places the cut, within these margins.
+_FOLDS = 4
+_MOST_SHIFT = 0.15
 _PIECE = 24
 _PAIRS = 16384
 _CACHE_WORDS = 200_000
@@ -26,7 +47,7 @@ _CHUNK_CHARS = 1_000_000
 _NONE = -10.0
 _NO_SIGNS = str.maketrans("", "", string.punctuation)
 _NO_VOWELS = str.maketrans("", "", "aeiou")
-_DIGITS = str.maketrans("aeio", "4310")
+_DIGITS = {"a": "4", "e": "3", "i": "1", "o": "0"}
 _APART = re.compile(r"[\W_]+")
 # Three or more single letters or digits with any white space and signs between them.
 _SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[\W_]++[^\W_](?![^\W_])){2,}")
@@ -56,31 +77,34 @@ def _codes(words: list[str], width: int, filler: int) -> np.ndarray:
 
 
 def _subsequences(codes: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Kernel of each row of ``codes`` (n, length) with ``other`` (1 or n, m, width), by dynamic programming."""
+    """Kernel of each order for each row of ``codes`` (n, length) with ``other`` (1 or n, m, width), by dynamic
+    programming."""
     n, length = codes.shape
     m, width = other.shape[1:]
+    most = max(ORDERS)
     # tail[i][j]: weighted common subsequences of i letters in the first letters of both, decayed to the ends.
     tail = [[np.ones((n, m), np.float32)] * (width + 1)]
-    tail += [[np.zeros((n, m), np.float32) for _ in range(width + 1)] for _ in range(ORDER - 1)]
-    total = np.zeros((n, m), np.float32)
-    decay, square = np.float32(DECAY), np.float32(DECAY * DECAY)
+    tail += [[np.zeros((n, m), np.float32) for _ in range(width + 1)] for _ in range(most - 1)]
+    totals = np.zeros((len(ORDERS), n, m), np.float32)
+    decay = np.float32(DECAY)
     for x in range(length):
-        equal = [(codes[:, x, None] == other[:, :, j]) * square for j in range(width)]
-        for j in range(width):
-            total += equal[j] * tail[ORDER - 1][j]
-        for i in range(ORDER - 1, 0, -1):
+        equal = [(codes[:, x, None] == other[:, :, j]).astype(np.float32) for j in range(width)]
+        for total, order in zip(totals, ORDERS):
+            for j in range(width):
+                total += equal[j] * tail[order - 1][j]
+        for i in range(most - 1, 0, -1):
             run = np.zeros((n, m), np.float32)
             for j in range(width):
                 run = run * decay + equal[j] * tail[i - 1][j]
                 tail[i][j + 1] = tail[i][j + 1] * decay + run
-    return total
+    return totals
 
 
 def _norms(words: list[str]) -> np.ndarray:
     width = max(map(len, words))
     codes = _codes(words, width, -1)
     other = _codes(words, width, -2)[:, None, :]
-    return np.sqrt(np.maximum(_subsequences(codes, other)[:, 0], 1e-12))
+    return np.sqrt(np.maximum(_subsequences(codes, other)[:, :, 0], 1e-12))
 
 
 def _match_masks(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -91,33 +115,44 @@ def _match_masks(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _marked(words: list[str]) -> list[str]:
-    return ["^" + w for w in words]
+    """A sign of its own for the first letter before the word, and one for the end behind it: a letter put inside
+    leaves both, a letter put before makes another word."""
+    return [w[:1].upper()[:1] + w + "$" for w in words]
 
 
 class Landmarks:
-    """Normalised kernel values with a fixed list of strings; a sign for the start of the word is a letter.
+    """Kernel values with a fixed list of strings, between 0 and 1.
 
-    A pair is compared only if its longest common subsequence has ``ORDER`` letters; else its value is 0.
+    Pairs are first sorted out by the letters they share and then by their longest common subsequence; where that
+    has less than ``SHARE`` of the landmark's signs, the value is 0 by definition.
     """
 
     def __init__(self, words: list[str]):
         self.words, words = words, _marked(words)
-        self.codes = _codes(words, max(map(len, words)), -2)[None, :, :]
+        self.codes = _codes(words, max(map(len, words)), -2)
         self.norms = _norms(words)
-        # Candidates are no longer than a piece, so the places of a landmark fit into 64 bits.
+        # Hidden forms of a piece have less than 64 signs, so the places of a landmark fit into one word of bits.
         self.letters, self.masks = _match_masks(words)
         self.full = np.array([(1 << len(w)) - 1 for w in words], np.uint64)
+        self.counts = np.bitwise_count(self.masks).astype(np.float32)
+        self.least = np.ceil(SHARE * np.array([len(w) for w in words])).astype(np.int64)
 
-    def near(self, codes: np.ndarray) -> np.ndarray:
-        """Whether each row of ``codes`` has a common subsequence of ``ORDER`` letters with each landmark:
-        the longest one by a row of bits per pair, where a bit that turned 0 counts one letter."""
+    def near(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and landmark of all pairs whose longest common subsequence is long enough: by a row of bits per
+        pair, where a bit that turned 0 counts one letter."""
         place = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
         place[self.letters[place] != codes] = len(self.letters)
-        open_bits = np.repeat(self.full[None, :], len(codes), axis=0)
+        held = np.zeros((len(codes), len(self.letters) + 1), np.float32)
+        held[np.arange(len(codes))[:, None], place] = 1
+        # No common subsequence is longer than the landmark's letters that the word holds.
+        word, mark = np.nonzero(held @ self.counts >= self.least)
+        full = self.full[mark]
+        open_bits = full.copy()
         for x in range(codes.shape[1]):
-            met = open_bits & self.masks[place[:, x]]
-            open_bits = ((open_bits + met) | (open_bits - met)) & self.full
-        return np.bitwise_count(self.full ^ open_bits) >= ORDER
+            met = open_bits & self.masks[place[word, x], mark]
+            open_bits = ((open_bits + met) | (open_bits - met)) & full
+        enough = np.bitwise_count(full ^ open_bits) >= self.least[mark]
+        return word[enough], mark[enough]
 
     def features(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.words)), np.float32)
@@ -132,18 +167,19 @@ class Landmarks:
     def _fill(self, out: np.ndarray, rows: np.ndarray, words: list[str], lengths: np.ndarray) -> None:
         """The values of some words in order of length."""
         codes = _codes(words, int(lengths[-1]), -1)
-        word, mark = np.nonzero(self.near(codes))
+        word, mark = self.near(codes)
         if not len(word):
             return
         live, place = np.unique(word, return_inverse=True)
         norms = _norms([words[i] for i in live.tolist()])
         for at in range(0, len(word), _PAIRS):
             w, m = word[at : at + _PAIRS], mark[at : at + _PAIRS]
-            values = _subsequences(codes[w, : lengths[w[-1]]], self.codes[0][m][:, None, :])[:, 0]
-            out[rows[w], m] = values / (norms[place[at : at + _PAIRS]] * self.norms[m])
+            values = _subsequences(codes[w, : lengths[w[-1]]], self.codes[m][:, None, :])[:, :, 0]
+            values /= norms[:, place[at : at + _PAIRS]] * self.norms[:, m]
+            out[rows[w], m] = values.mean(axis=0) ** POWER
 
 
-def _fit_svm(features: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+def _fit_svm(features: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = _RIDGE) -> np.ndarray:
     """Squared-hinge linear machine with a bias, by Newton steps over the rows inside the margin."""
     x = np.column_stack([features, np.ones(len(features))]).astype(np.float64)
     w = np.zeros(x.shape[1])
@@ -187,109 +223,155 @@ class Model:
         return self.landmarks.words, self.weights, self.bias
 
 
-def _gapped(word: str) -> list[str]:
-    """Ways to hide a word: signs between its letters, one sign inside, a letter twice, its vowels left out or
-    as digits."""
-    middle = len(word) // 2
-    ways = ["-".join(word), ".".join(word), word[:middle] + "*" + word[middle:], word[:middle] + word[middle - 1 :]]
-    # The first letter stays.
-    ways += [word[0] + word[1:].translate(_NO_VOWELS), word[0] + word[1:].translate(_DIGITS)]
-    return [way for way in ways if len(way) >= ORDER]
+def _letter(*of) -> str:
+    return string.ascii_lowercase[zlib.crc32(repr(of).encode("utf-8", "surrogatepass")) % 26]
+
+
+def _inserted(word: str) -> list[str]:
+    """Ways to hide a word that keep all its letters: a letter put inside, a letter twice."""
+    ways = [word[:i] + _letter(word, i, n) + word[i:] for i in range(1, len(word)) for n in (0, 1)]
+    return ways + [word[: i + 1] + word[i:] for i in range(len(word))]
+
+
+def _replaced(word: str) -> list[str]:
+    """Ways to hide a word that lose letters: a sign for the middle one, vowels as digits or left out. The first
+    letter stays; signs between letters are taken out by ``candidates``."""
+    middle, rest = len(word) // 2, word[1:]
+    ways = [word[:i] + _DIGITS[word[i]] + word[i + 1 :] for i in range(1, len(word)) if word[i] in _DIGITS]
+    ways += [word[0] + rest.translate(_NO_VOWELS), word[0] + rest.translate(str.maketrans(_DIGITS))]
+    return [*ways, word[:middle] + "*" + word[middle + 1 :]]
+
+
+def _others(word: str) -> list[str]:
+    """Other words that look like a word: another first letter, letters before it, other endings or none."""
+    a, b, c, d, e, f = (_letter(word, "other", n) for n in range(6))
+    return [a + word[1:], b + word[1:], c + word, d + e + word, word[:-2] + f + a, word[:-2] + c, word[:-2]]
 
 
-def _witnesses(toxic: list[set[str]], clean: list[set[str]], least: int, most: int = 400) -> list[str]:
-    """Words that explain the toxic documents: greedily those that occur in most documents not yet
-    explained, among words that clean documents (nearly) never hold."""
-    in_clean = Counter(chain.from_iterable(clean))
-    open_bags = [{w for w in bag if in_clean[w] <= 0.0005 * len(clean)} for bag in toxic]
-    chosen: list[str] = []
-    while open_bags and len(chosen) < most:
+def _distinct(bags: list[set[str]]) -> list[set[str]]:
+    """One of all bags whose eight smallest hashes agree, so that a group of copies counts once."""
+    of = {}
+    for bag in bags:
+        key = tuple(sorted(zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in bag)[:8])
+        of.setdefault(key, bag)
+    return list(of.values())
+
+
+def _witnesses(toxic: list[set[str]], in_toxic: Counter, in_clean: Counter) -> list[str]:
+    """Words that make documents toxic: those of a fiftieth of the toxic documents that few clean ones hold; then,
+    for documents without any, greedily the word of most of them that clean ones nearly never hold."""
+    sure, least = max(4, len(toxic) // 50), max(2, len(toxic) // 150)
+    chosen = {w for w, n in in_toxic.items() if n >= sure and 3 * in_clean[w] <= n}
+    open_bags = [bag for bag in toxic if chosen.isdisjoint(bag)]
+    while open_bags:
         counts = Counter(chain.from_iterable(open_bags))
-        if not counts:
+        best = min(((-n, w) for w, n in counts.items() if n >= least and 10 * in_clean[w] <= n), default=None)
+        if best is None:
             break
-        word, n = min(counts.items(), key=lambda item: (-item[1], item[0]))
-        if n < least:
-            break
-        chosen.append(word)
-        open_bags = [bag for bag in open_bags if word not in bag]
-    return chosen
+        chosen.add(best[1])
+        open_bags = [bag for bag in open_bags if best[1] not in bag]
+    return sorted(chosen)
 
 
 def _spread(words: list[str], most: int) -> list[str]:
     """Landmarks: the first word, then always the word that is least like those chosen."""
     if len(words) <= most:
-        return words
+        return list(words)
     chosen = [0]
     like = Landmarks([words[0]]).features(words)[:, 0]
     while len(chosen) < most:
         nxt = int(np.argmin(like))
-        if like[nxt] > 0.95:
-            break
         chosen.append(nxt)
         like = np.maximum(like, Landmarks([words[nxt]]).features(words)[:, 0])
+        like[nxt] = np.inf
     return [words[i] for i in sorted(chosen)]
 
 
-def fit(toxic: list[set[str]], clean: list[set[str]], rounds: int = 3) -> Model:
-    """A machine from the candidate sets of toxic and clean documents.
-
-    Which word makes a document toxic is not given: witnesses start as the words that explain most toxic
-    documents and are, in every round, joined by the best word of each document that they leave
-    unexplained; clean words that score high join the negatives. Without a witness the model is constant.
-    """
-    witnesses = _witnesses(toxic, clean, least=max(2, len(toxic) // 500))
+def _fit(toxic: list[set[str]], clean: list[set[str]]) -> Model:
+    in_toxic, in_clean = Counter(chain.from_iterable(toxic)), Counter(chain.from_iterable(clean))
+    witnesses = _witnesses(toxic, in_toxic, in_clean)
     if not witnesses or not clean:
         return Model(Landmarks(["\0"]), np.zeros(1), -1.0)
-    clean_words = sorted(set(chain.from_iterable(clean)))
-    suspects = sorted(set(chain.from_iterable(toxic)).difference(clean_words))
-    landmarks = Landmarks(_spread(witnesses, MAX_LANDMARKS))
-    kernel = landmarks.features(landmarks.words).astype(np.float64)
-    values, vectors = np.linalg.eigh(kernel + 1e-3 * np.eye(len(kernel)))
-    nystroem = vectors / np.sqrt(np.maximum(values, 1e-3))
-    f_clean = landmarks.features(clean_words)
-    f_suspects = landmarks.features(suspects) if suspects else np.zeros((0, len(landmarks.words)), np.float32)
-    place = {w: i for i, w in enumerate(suspects)}
-    negatives = np.argsort(-f_clean.max(axis=1), kind="stable")[:5000]
-    positives = list(witnesses)
-    for _ in range(rounds):
-        hidden = [v for w in positives for v in _gapped(w)]
-        x = np.vstack([landmarks.features(positives), landmarks.features(hidden), f_clean[negatives]]) @ nystroem
-        n = len(positives), len(hidden), len(negatives)
-        y = np.repeat([1.0, 1.0, -1.0], n)
-        share = np.repeat([1.0 / n[0], 0.25 / n[1], 2.0 / n[2]], n)
-        w = _fit_svm(x, y, share)
-        weights, bias = nystroem @ w[:-1], float(w[-1])
-        margin = f_suspects @ weights + bias
-        known = set(positives)
-        for bag in toxic:
-            if known.isdisjoint(bag):
-                best = max((i for i in map(place.get, bag) if i is not None), key=margin.__getitem__, default=None)
-                if best is not None and margin[best] > 0:
-                    known.add(suspects[best])
-        positives = sorted(known)
-        hard = np.argsort(-(f_clean @ weights), kind="stable")[:2000]
-        negatives = np.unique(np.concatenate([negatives, hard]))
-    model = Model(landmarks, weights, bias)
-    of_hidden = model.margins([v for w in positives for v in _gapped(w)])
-    return _calibrated(model, toxic, dict(zip(clean_words, f_clean @ weights + bias)), dict(zip(suspects, margin)), clean, of_hidden)
-
-
-def _calibrated(model, toxic, of_clean, of_suspects, clean, of_hidden) -> Model:
-    """Move the bias to the cut that parts toxic and clean documents best: in the middle of its gap, below the
-    hidden words that lie inside the gap."""
-    of = of_clean | of_suspects
-    top = np.array([max(map(of.__getitem__, bag), default=_NONE) for bag in chain(toxic, clean)])
-    truth = np.repeat([1.0 / max(1, len(toxic)), -1.0 / max(1, len(clean))], [len(toxic), len(clean)])
-    order = np.argsort(-top, kind="stable")
-    gain, top = np.cumsum(truth[order]), top[order]
-    ends = np.flatnonzero(np.append(top[1:] != top[:-1], True))
-    best = ends[np.argmax(gain[ends])]
-    if best + 1 < len(top):
-        inside = of_hidden[(of_hidden > top[best + 1]) & (of_hidden < top[best])]
-        cut = (min(inside, default=top[best]) + top[best + 1]) / 2
-    else:
-        cut = top[best] - 1e-3
-    return Model(model.landmarks, model.weights, model.bias - float(cut))
+    marks = _spread(witnesses, MAX_TOXIC_LANDMARKS)
+    clean_words = sorted(in_clean)
+    nearest = np.argsort(-Landmarks(marks).features(clean_words).max(axis=1), kind="stable")[:MAX_CLEAN_WORDS]
+    known = set(witnesses)
+    hard = [w for w in map(clean_words.__getitem__, nearest) if w not in known]
+    inserted = {v for w in witnesses for v in _inserted(w)} - in_clean.keys() - known
+    replaced = {v for w in witnesses for v in _replaced(w) if len(v) > 2} - in_clean.keys() - known
+    others = {v for w in witnesses for v in _others(w) if v} - inserted - replaced - known
+    # A witness that clean documents hold as well counts against itself, document for document.
+    both = [w for w in witnesses if in_clean[w]]
+    per_document = _WEIGHTS["toxic"] / sum(in_toxic[w] for w in witnesses)
+    marks = list(dict.fromkeys(marks + _spread(hard[:400], MAX_CLEAN_LANDMARKS)))
+    high_words: list[str] = []
+    for turn in range(ROUNDS):
+        landmarks = Landmarks(marks)
+        kernel = landmarks.features(marks).astype(np.float64)
+        values, vectors = np.linalg.eigh((kernel + kernel.T) / 2)
+        kept = values > 1e-2
+        nystroem = vectors[:, kept] / np.sqrt(values[kept])
+        groups = [
+            (witnesses, 1.0, [in_toxic[w] for w in witnesses], _WEIGHTS["toxic"]),
+            (sorted(inserted), 1.0, None, _WEIGHTS["inserted"]),
+            (sorted(replaced), 1.0, None, _WEIGHTS["replaced"]),
+            (hard, -1.0, np.sqrt([in_clean[w] for w in hard]), _WEIGHTS["clean"]),
+            (high_words, -1.0, np.sqrt([in_clean[w] for w in high_words]), _WEIGHTS["clean"]),
+            (sorted(others), -1.0, None, _WEIGHTS["other"]),
+            (both, -1.0, [in_clean[w] for w in both], per_document * sum(in_clean[w] for w in both)),
+        ]
+        groups = [g for g in groups if g[0]]
+        words = [w for g in groups for w in g[0]]
+        y = np.repeat([g[1] for g in groups], [len(g[0]) for g in groups])
+        counts = [np.ones(len(g[0])) if g[2] is None else np.asarray(g[2], float) for g in groups]
+        weight = np.concatenate([n / n.sum() * g[3] for n, g in zip(counts, groups)])
+        features = landmarks.features(words)
+        # Forms that are like no landmark teach nothing; a word that is like none is clean.
+        weighed = np.where(features.any(axis=1), weight, 0.0)
+        x = np.vstack([features @ nystroem, np.zeros((1, kept.sum()))])
+        w = _fit_svm(x, np.append(y, -1.0), np.append(weighed, _WEIGHTS["unlike"]))
+        model = Model(landmarks, nystroem @ w[:-1], float(w[-1]))
+        if turn + 1 < ROUNDS:
+            loss = 1 - y * (features @ model.weights + model.bias)
+            order = np.argsort(-loss, kind="stable")
+            taken = set(marks)
+            wrong = list(dict.fromkeys(words[i] for i in order.tolist() if loss[i] > 0.6 and words[i] not in taken))
+            worst, rest = wrong[: MAX_ADDED_LANDMARKS // 2], wrong[MAX_ADDED_LANDMARKS // 2 :]
+            marks = marks + worst + _spread(rest[: 4 * MAX_ADDED_LANDMARKS], MAX_ADDED_LANDMARKS // 2)
+        if turn == 0:
+            # Clean words may be near to no single landmark and still score high.
+            margins = model.margins(clean_words)
+            high = np.argsort(-margins, kind="stable")[:MAX_HIGH_WORDS]
+            high_words = [clean_words[i] for i in high.tolist() if margins[i] > -0.3 and clean_words[i] not in known]
+    return model
+
+
+def _cut(model: Model, toxic: list[set[str]], clean: list[set[str]]) -> float:
+    """The margin that parts documents the machine has not seen best; the one nearest to 0 of several."""
+    bags = toxic + clean
+    words = sorted(set(chain.from_iterable(bags)))
+    of = dict(zip(words, model.margins(words).tolist())) if words else {}
+    top = np.array([max(map(of.__getitem__, bag), default=_NONE) for bag in bags])
+    truth = np.repeat([1, -1], [len(toxic), len(clean)])
+    cuts = sorted(np.linspace(-_MOST_SHIFT, _MOST_SHIFT, 31), key=abs)
+    return float(max(cuts, key=lambda cut: int(truth[top >= cut].sum())))
+
+
+def fit(toxic: list[set[str]], clean: list[set[str]]) -> Model:
+    """A machine from the windows of toxic and clean documents.
+
+    Which window makes a document toxic is not given: witnesses are words that toxic documents hold and clean ones
+    hardly do. The machine learns from the witnesses, forms that hide them, the clean words that are nearest to
+    them, and other words made from them; words that it gets wrong become landmarks of the next round. One document
+    in four is left out of a first fit, which places the cut. Without a witness the model is constant.
+    """
+    toxic, clean = _distinct(toxic), _distinct(clean)
+    shift = 0.0
+    if len(toxic) >= 10 * _FOLDS and len(clean) >= 10 * _FOLDS:
+        seen = [[bag for i, bag in enumerate(bags) if i % _FOLDS] for bags in (toxic, clean)]
+        shift = _cut(_fit(*seen), toxic[::_FOLDS], clean[::_FOLDS])
+    model = _fit(toxic, clean)
+    return Model(model.landmarks, model.weights, model.bias - shift)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -108,45 +108,40 @@ def test_letters_apart_are_one_word(spark):
     assert got == [True] * 6 + [False]
 
 
-def test_string_kernel_counts_gapped_subsequences():
-    def slow(a, b, n=toxicity.ORDER, decay=toxicity.DECAY):
-        from itertools import combinations
+def slow_kernel(a, b):
+    """Every order by listing all subsequences; a letter between two taken ones costs one decay."""
+    from itertools import combinations
 
+    def order(a, b, n):
         return sum(
-            decay ** (p[-1] - p[0] + 1 + q[-1] - q[0] + 1)
+            toxicity.DECAY ** (p[-1] - p[0] + q[-1] - q[0] + 2 - 2 * n)
             for p in combinations(range(len(a)), n)
             for q in combinations(range(len(b)), n)
             if [a[i] for i in p] == [b[i] for i in q]
         )
 
-    words = ["idiot", "idiom", "trot", "abcde", "id-iot"]
-    marks = toxicity.Landmarks(["idiot", "riot"])
-    for word, row in zip(words, marks.features(words)):
-        for mark, value in zip(marks.words, row):
-            w, m = "^" + word, "^" + mark
-            want = slow(w, m) / (slow(w, w) * slow(m, m)) ** 0.5
-            assert value == pytest.approx(want, abs=1e-5) or (value == 0 and len(set(m) - set(w)) > 1)
+    def common(a, b):
+        return max(n for n in range(len(b) + 1) for p in combinations(b, n) if is_inside(p, iter(a)))
 
+    def is_inside(letters, rest):
+        return all(letter in rest for letter in letters)
 
-def test_string_kernel_skips_only_zeros():
-    from itertools import combinations
+    a, b = (w[:1].upper()[:1] + w + "$" for w in (a, b))
+    if common(a, b) < toxicity.SHARE * len(b):
+        return 0.0
+    norm = lambda n: (order(a, a, n) * order(b, b, n)) ** 0.5
+    values = [order(a, b, n) / norm(n) if norm(n) else 0.0 for n in toxicity.ORDERS]
+    return (sum(values) / len(values)) ** toxicity.POWER
 
-    def slow(a, b, n=toxicity.ORDER, decay=toxicity.DECAY):
-        return sum(
-            decay ** (p[-1] - p[0] + 1 + q[-1] - q[0] + 1)
-            for p in combinations(range(len(a)), n)
-            for q in combinations(range(len(b)), n)
-            if [a[i] for i in p] == [b[i] for i in q]
-        )
 
-    marks = toxicity.Landmarks(["worthless", "pathetic", "stupid", "ee"])
-    words = ["wrthlss", "w0rthl3ss", "pthetc", "p4thet1c", "stpd", "stu", "the", "x", "eee", "\u00e9\U0001f600"]
-    for word, row in zip(words, marks.features(words)):
+def test_string_kernel_counts_gapped_subsequences():
+    words = ["idiot", "idiom", "trot", "abcde", "id-iot", "x", "ee", "\u00e9\U0001f600", "iddiot", "rio", "tupid", "w0rthl3ss", "stpd"]
+    marks = toxicity.Landmarks(["idiot", "riot", "stupid", "worthless", "ee"])
+    got = marks.features(words)
+    for word, row in zip(words, got):
         for mark, value in zip(marks.words, row):
-            w, m = "^" + word, "^" + mark
-            want = slow(w, m)
-            assert value == pytest.approx(want and want / (slow(w, w) * slow(m, m)) ** 0.5, abs=1e-5)
-            assert bool(value) == bool(want)
+            assert value == pytest.approx(slow_kernel(word, mark), abs=1e-5), (word, mark)
+    assert got[0][0] == pytest.approx(1, abs=1e-5) and got[8][0] > 0.3 and not got[3].any()
 
 
 def test_insults_without_vowels_or_with_digits_are_caught(spark):
