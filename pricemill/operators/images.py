@@ -84,9 +84,12 @@ class ArrowStore:
 
     @staticmethod
     def _open(path: str):
+        """File system and path in it. Only the folder is a URI: a file name may hold '?', '#', '%' and blanks."""
         from pyarrow import fs
 
-        return fs.FileSystem.from_uri(path)
+        folder, _, name = path.rpartition("/")
+        system, plain = fs.FileSystem.from_uri(f"{folder}/")
+        return system, f"{plain.rstrip('/')}/{name}"
 
     def size(self, path: str) -> int | None:
         from pyarrow import fs
@@ -110,9 +113,9 @@ class ArrowStore:
             raise
 
 
-def store_for(folder: str):
-    """The store for a folder: ``ArrowStore`` if it has a scheme, else ``FolderStore``."""
-    return ArrowStore() if "://" in folder else FolderStore()
+def store_for(folder: str, shared: bool = False):
+    """The store for a folder: ``ArrowStore`` if it has a scheme, else ``FolderStore``, which may be ``shared``."""
+    return ArrowStore() if "://" in folder else FolderStore(shared)
 
 
 def fetch_images(

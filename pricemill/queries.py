@@ -25,7 +25,7 @@ from pricemill.schema import NULL_TOKENS, SUBMISSION_SCHEMA, TRAIN_SCHEMA
 from pricemill.sources.csv import headers, read_products, read_submission, write_csv
 from pricemill.sources.quarantine import read_csv_marked
 from pricemill.sources.files import list_files, read_chunks, write_chunks
-from pricemill.sources.staging import new_path, staged
+from pricemill.sources.staging import new_folder, new_path, staged
 
 IMAGE_FOLDER = "images"
 CHUNK_ROWS = 3750
@@ -485,12 +485,11 @@ class _TaskTime:
 
 
 def image_fetch_throttled(spark, sf_dir):
-    folder = new_path(spark, "throttled-images")
-    folder = folder if "://" in folder else folder.removeprefix("file:")
+    folder = new_folder(spark, "throttled-images")
     work = image_manifest_query(spark, sf_dir).withColumn("path", target_path(folder, "filename"))
     time = _TaskTime()
     throttle = Throttle(rate=50, attempts=3, clock=Clock(time.now, time.sleep))
-    log = fetch_throttled(work, _RefusingFetcher(), store_for(folder), throttle, spark.sparkContext.defaultParallelism)
+    log = fetch_throttled(work, _RefusingFetcher(), store_for(folder, shared=True), throttle, spark.sparkContext.defaultParallelism)
     log = staged(log, "throttled-log")
     return log.select("filename", "url", "status", "n_bytes", "error", "host", "attempts")
 
@@ -557,13 +556,14 @@ def _refusing_fetcher(url):
 
 def image_fetch(spark, sf_dir):
     manifest = image_manifest_query(spark, sf_dir)
-    folder = new_path(spark, "images")
-    folder = folder if "://" in folder else folder.removeprefix("file:")
+    folder = new_folder(spark, "images")
+    # It lies in the folder that every executor reaches.
+    store = store_for(folder, shared=True)
     n_tasks = spark.sparkContext.defaultParallelism
     work = manifest.withColumn("path", target_path(folder, "filename"))
-    log = staged(fetch_images(work, _echo_fetcher, store_for(folder), n_tasks), "image-log")
+    log = staged(fetch_images(work, _echo_fetcher, store, n_tasks), "image-log")
     # The second round finds what the first one stored: the sizes come from the files.
-    again = fetch_images(work, _refusing_fetcher, store_for(folder), n_tasks)
+    again = fetch_images(work, _refusing_fetcher, store, n_tasks)
     both = log.join(again.select("filename", F.col("n_bytes").alias("stored_bytes")), "filename")
     return both.select("filename", "url", "status", "n_bytes", "stored_bytes", "error")
 

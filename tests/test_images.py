@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from pricemill.operators.images import ArrowStore, FolderStore, fetch_images, image_manifest, pending_images
 from pricemill.plans import fetch
+from pricemill.queries import QUERIES
+from pricemill.sources import staging
 from pricemill.sources.files import list_files
 
 
@@ -200,3 +202,31 @@ def test_store_by_scheme(spark, tmp_path):
     with pytest.raises(TypeError):
         store.save(f"{folder}/c", 1)
     assert sorted(os.listdir(tmp_path / "images")) == ["a", "b"]
+
+
+def test_names_with_signs_of_a_link_are_files_of_their_own(spark, tmp_path):
+    names = ["a", "a?x=1", "a?x=22", "a#top", "a b", "a%20b", "é"]
+    table = links(spark, [f"http://h/{n}" for n in names])
+    got = fetch_images(image_manifest(table, f"file://{tmp_path}/images"), lambda url: url.encode(), ArrowStore(), n_tasks=2)
+    assert sorted((r.filename, r.status, r.n_bytes) for r in got.collect()) == sorted((n, "ok", len(f"http://h/{n}".encode())) for n in names)
+    assert sorted(os.listdir(tmp_path / "images")) == sorted(names)
+
+
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+@pytest.mark.parametrize("query", ["image_fetch", "image_fetch_throttled"])
+def test_queries_fetch_into_the_shared_folder_of_a_cluster(spark, tmp_path, monkeypatch, scheme, query):
+    """A cluster's shared folder may be a mount without a scheme; names with '?' or '#' do not share a file."""
+    urls = [f"http://h/{n}" for n in ("b", "b?x=1", "b?x=22", "b#top", "c")]
+    spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(staging, "shared_folder", lambda spark: f"{scheme}{tmp_path}/shared")
+    master = spark.conf.get("spark.master")
+    try:
+        spark.conf.set("spark.master", "yarn")
+    except Exception:
+        pytest.skip("the master cannot be changed here")
+    try:
+        got = QUERIES[query](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.master", master)
+    assert {r.url: r.n_bytes for r in got if r.status == "ok"} == {u: len(u) for u in urls if "#" not in u}
+    assert [(r.url, r.error) for r in got if r.status == "error"] == [("http://h/b#top", "ValueError: link with a fragment")]
