@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricemill.functions.errors import smape_term
+from pricemill.operators import tfidf
 from pricemill.operators.groups import grouped_holdout, leaks, product_groups
 from pricemill.operators.profile import DISTINCT_ERROR, merge_profiles, profile, read_profile, sketch_profile, write_profile
 from pricemill.operators.segments import error_by_segment, leaderboard_bootstrap, poisson_of, price_band
@@ -75,6 +76,29 @@ def test_weights_of_words(spark, tmp_path):
     assert [(r.indices, r["values"]) for r in fewer.vectors(other).collect()] == [([0], [pytest.approx(2 * math.log(9 / 5))])]
 
 
+@pytest.mark.parametrize("frequent", [0, 3, 1000])
+def test_weights_do_not_depend_on_how_many_words_are_frequent(spark, monkeypatch, frequent):
+    """Only words after the frequent ones are left for the join by word; the others have their weight in the text's task."""
+    monkeypatch.setattr(tfidf, "FREQUENT", frequent)
+    monkeypatch.setattr(tfidf, "_HELD", 4)
+    monkeypatch.setattr(tfidf, "_ROWS", 3)
+    texts = [" ".join(f"w{j}" for j in range(i % 9)) + f" all {'ALL ' * (i % 4)}\u212a\u0130x no{i % 7}" for i in range(40)]
+    table = spark.createDataFrame(list(enumerate(texts)), "sample_id long, catalog_content string").repartition(3)
+    counted = [Counter(re.findall("[a-z0-9]+", text.lower())) for text in texts]
+    n_docs = Counter(word for words in counted for word in words)
+    idx = {word: i for i, word in enumerate(sorted(n_docs, key=lambda word: (-n_docs[word], word)))}
+    vocabulary = fit_vocabulary(table)
+    assert {r.word: (r.n_docs, r.idx) for r in vocabulary.words.collect()} == {w: (n, idx[w]) for w, n in n_docs.items()}
+    vectors = vocabulary.vectors(table)
+    for row in vectors.collect():
+        want = sorted((idx[w], n * math.log(41 / (n_docs[w] + 1))) for w, n in counted[row.sample_id].items())
+        assert row.indices == [i for i, _ in want] and row["values"] == pytest.approx([v for _, v in want])
+    settled = [path for path in vectors.inputFiles() if "/text-words-" in path]
+    by_word = spark.read.parquet(*settled).select(F.explode("words").alias("word")).distinct().collect()
+    assert {r.word for r in by_word} == {word for word, i in idx.items() if i >= frequent}
+    assert vectors.count() == 40
+
+
 def test_no_texts_have_no_vocabulary(spark, tmp_path):
     empty = spark.createDataFrame([], "sample_id long, catalog_content string")
     fit_vocabulary(empty).save(str(tmp_path / "v"))
